@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from lexloom.llm.warc import op1_warc
 from lexloom.llm.secret_scan import op4_secret_scan
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op4_secret_scan": op4_secret_scan,
 }
 
