@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from lexloom.llm.packing import op3_best_fit_packing
+from lexloom.llm.simhash import op2_simhash
 from lexloom.llm.warc import op1_warc
 from lexloom.llm.secret_scan import op4_secret_scan
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_simhash": op2_simhash,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_scan": op4_secret_scan,
 }
 
