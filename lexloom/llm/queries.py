@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from lexloom.llm.packing import op3_best_fit_packing
 from lexloom.llm.simhash import op2_simhash
+from lexloom.llm.winnowing import op5_winnowing
+from lexloom.llm.toxicity import op10_toxicity
 from lexloom.llm.warc import op1_warc
 from lexloom.llm.secret_scan import op4_secret_scan
 
@@ -12,6 +14,8 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_scan": op4_secret_scan,
+    "op5_winnowing": op5_winnowing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
