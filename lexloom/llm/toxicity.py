@@ -32,7 +32,7 @@ from lexloom.llm.common import staged, table
 #: Bounds of the sample that the classifier is fitted on, of each label.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
 #: Features: how many, and the least likelihood ratio statistic (G squared) of one.
-FEATURES, LEAST_G2 = 4096, 25.0
+FEATURES, LEAST_G2 = 4096, 10.0
 #: Weights of the squared logit changes under swaps, and of the squared weights.
 SWAP_PENALTY, RIDGE, SWAPS = 1.0, 0.02, 3
 THRESHOLD, FOLDS, HELD_OUT = 0.3, 4, 2
