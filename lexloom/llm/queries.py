@@ -6,6 +6,8 @@ from lexloom.llm.packing import op3_best_fit_packing
 from lexloom.llm.simhash import op2_simhash
 from lexloom.llm.winnowing import op5_winnowing
 from lexloom.llm.toxicity import op10_toxicity
+from lexloom.llm.mixing import op8_mixing
+from lexloom.llm.token_rollup import TOKEN_ROLLUP_WORDS_SQL, op7_token_rollup, token_rollup_words
 from lexloom.llm.warc import op1_warc
 from lexloom.llm.secret_scan import op4_secret_scan
 
@@ -15,7 +17,10 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_scan": op4_secret_scan,
     "op5_winnowing": op5_winnowing,
+    "op7_token_rollup": op7_token_rollup,
+    "token_rollup_words": token_rollup_words,
+    "op8_mixing": op8_mixing,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"token_rollup_words": TOKEN_ROLLUP_WORDS_SQL}
