@@ -6,6 +6,7 @@ from lexloom.llm.packing import op3_best_fit_packing
 from lexloom.llm.simhash import op2_simhash
 from lexloom.llm.winnowing import op5_winnowing
 from lexloom.llm.toxicity import op10_toxicity
+from lexloom.llm.embedding_dedup import op9_embedding_dedup
 from lexloom.llm.mixing import op8_mixing
 from lexloom.llm.token_rollup import TOKEN_ROLLUP_WORDS_SQL, op7_token_rollup, token_rollup_words
 from lexloom.llm.warc import op1_warc
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_token_rollup": op7_token_rollup,
     "token_rollup_words": token_rollup_words,
     "op8_mixing": op8_mixing,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
