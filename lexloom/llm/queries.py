@@ -7,6 +7,7 @@ from lexloom.llm.simhash import op2_simhash
 from lexloom.llm.winnowing import op5_winnowing
 from lexloom.llm.toxicity import op10_toxicity
 from lexloom.llm.embedding_dedup import op9_embedding_dedup
+from lexloom.llm.gru_lm import op6_gru_lm
 from lexloom.llm.mixing import op8_mixing
 from lexloom.llm.token_rollup import TOKEN_ROLLUP_WORDS_SQL, op7_token_rollup, token_rollup_words
 from lexloom.llm.warc import op1_warc
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_scan": op4_secret_scan,
     "op5_winnowing": op5_winnowing,
+    "op6_gru_lm": op6_gru_lm,
     "op7_token_rollup": op7_token_rollup,
     "token_rollup_words": token_rollup_words,
     "op8_mixing": op8_mixing,
