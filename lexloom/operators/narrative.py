@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from lexloom.functions import scoring as S
 from lexloom.functions import weights as w
@@ -16,7 +17,7 @@ PRODUCT = "lexloom"
 FOOTER = f"Generated by {PRODUCT} from templates. Not a clinical assessment."
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def exact2(x: pd.Series) -> pd.Series:
     """To two digits by the exact binary value, which no built-in function does."""
     return x.map(lambda v: None if v is None or v != v else f"{v:.2f}")

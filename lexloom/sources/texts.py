@@ -25,7 +25,7 @@ class Config:
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
     """(name, text) of the ``.txt`` files in ``folder``, whatever the case of the ending, not below it."""
     files = spark.read.format("binaryFile").load(folder).where(F.lower("path").endswith(".txt"))
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.decode("content", "UTF-8").alias("text"))
 
 
 def joined_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,0 +1,136 @@
+"""Features, scores, confidence, labels against fixed goldens."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexloom.functions import scoring as S
+from lexloom.functions import weights as w
+from lexloom.operators import features as feat
+from lexloom.operators import profile as P
+from lexloom.sources import lexicon as L
+
+LEX = L.load()
+MINI = L.entries({"positive_emotion": ["happy"], "negative_emotion": ["sad"]})
+
+
+def vectors(spark, *given):
+    names = feat.category_names(LEX)
+    rows = [(i, *[float(g.get(c, 0)) for c in names]) for i, g in enumerate(given)]
+    return spark.createDataFrame(rows, "i long, " + ", ".join(f"pct_{c} double" for c in names))
+
+
+def test_lexicon():
+    assert (len(LEX), sum(n for *_, n in LEX), len({x for _, x, _ in LEX})) == (1551, 1560, 1309)
+    assert len(feat.category_names(LEX)) == 35
+    assert L.entries({"a": [" Hello ", "hello", " ", ""]}) == [("a", "hello", 2)]
+    assert L.parse('{"x": ["y"]}') == {"x": ["y"]}
+
+
+def test_lookup(spark):
+    words = spark.createDataFrame([("HELLO",), ("other",), (None,)], "word string")
+    got = {r["word"]: r["categories"] for r in L.lookup(words, L.lexicon(spark, [("t", "hello", 1)])).collect()}
+    assert got == {"HELLO": ["t"], "other": [], None: []}
+
+
+def test_percents(spark):
+    df = spark.createDataFrame([(1, "happy sad happy"), (2, ""), (3, None), (4, "!!!!!!!!!!")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in feat.features(df, MINI).collect()}
+    assert got[1]["coverage"] == 1.0 and got[1]["pct_positive_emotion"] == 2 / 3 * 100
+    for k in (2, 3, 4):
+        assert (got[k]["word_count"], got[k]["coverage"], got[k]["pct_negative_emotion"]) == (0, 0.0, 0.0)
+
+
+def test_multiplicity(spark):
+    df = spark.createDataFrame([(1, "and and reason goal")], "doc_id long, text string")
+    r = feat.features(df, LEX).first()
+    assert (r["coverage"], r["pct_inclusive"], r["pct_cause"]) == (1.0, 100.0, 75.0)
+    assert [r[f"pct_{c}"] for c in ("cognitive_process", "analytic_thinking", "achievement", "future_focus", "promotion_focus")] == [25.0] * 5
+
+
+def test_lexicon_order_does_not_matter(spark):
+    df = spark.createDataFrame([(1, "happy think and and the I always")], "doc_id long, text string")
+    turned = random.Random(1).sample(LEX, len(LEX))
+    a, b = feat.features(df, LEX).first().asDict(), feat.features(df, turned).first().asDict()
+    assert a == b
+
+
+GIVEN = [
+    ({"cognitive_process": 15, "tentative": 10, "negative_emotion": 12, "pronoun": 8, "article": 5, "inclusive": 3, "achievement": 4}, {"openness": 0.48, "conscientiousness": 0.30, "extraversion": 0.55, "agreeableness": 0.43, "neuroticism": 0.82}),
+    ({"article": 20, "inclusive": 15}, {"openness": 0.85, "agreeableness": 0.67, "neuroticism": 0.36}),
+    ({"achievement": 30}, {"conscientiousness": 0.74}),
+    ({}, {t: 0.5 for t in w.TRAITS}),
+    ({"negative_emotion": 25, "pronoun": 20, "tentative": 15, "cognitive_process": 10}, {"neuroticism": 1.0, "openness": 0.24, "conscientiousness": 0.16, "extraversion": 0.62, "agreeableness": 0.28}),
+    ({"positive_emotion": 20, "social": 20, "pronoun": 15}, {"extraversion": 0.89}),
+    ({"promotion_focus": 15, "prevention_focus": 2}, {"regulatory_focus": 0.76}),
+    ({"promotion_focus": 1, "prevention_focus": 12}, {"regulatory_focus": 0.28}),
+    ({"analytic_thinking": 20, "intuitive_thinking": 2}, {"need_for_cognition": 0.97}),
+    ({"analytic_thinking": 1, "intuitive_thinking": 15}, {"need_for_cognition": 0.30}),
+    ({"cognitive_process": 15, "cause": 12, "certainty": 10, "big_words": 8, "analytic_thinking": 12, "sensation": 3, "pronoun": 8, "present_focus": 5, "intuitive_thinking": 2, "tentative": 4}, {"cognitive_style": 0.84}),
+    ({"cognitive_process": 3, "cause": 4, "certainty": 3, "big_words": 1, "analytic_thinking": 2, "sensation": 12, "pronoun": 18, "present_focus": 15, "intuitive_thinking": 12, "tentative": 10}, {"cognitive_style": 0.07}),
+    ({"certainty": 20, "tentative": 2}, {"need_for_closure": 0.85}),
+    ({"certainty": 1, "tentative": 20}, {"need_for_closure": 0.02}),
+    ({"positive_emotion": 10, "negative_emotion": 2, "article": 8, "pronoun": 12, "cognitive_process": 6, "tentative": 4, "certainty": 3, "cause": 2, "social": 5, "achievement": 3, "quantitative": 4}, {"analytical_thinking": 0.71, "clout": 0.20, "authenticity": 0.70, "emotional_tone": 0.83}),
+]
+
+
+def test_goldens(spark):
+    own = {t: S.trait(t) for t in w.TRAITS} | {s: S.summary(s) for s in w.SUMMARY}
+    got = {r["i"]: r for r in vectors(spark, *[g for g, _ in GIVEN]).select("i", *[c.alias(k) for k, c in own.items()]).collect()}
+    for i, (_, want) in enumerate(GIVEN):
+        assert {k: got[i][k] for k in want} == want
+
+
+def test_weights_literal():
+    assert sum(v is not None for row in w.BIG_FIVE for v in row[1:]) == 29
+    assert dict(w.TRAITS["neuroticism"]) == {"cognitive_process": 0.008, "tentative": 0.007, "certainty": 0.008, "pronoun": 0.005, "article": -0.007, "cause": 0.007, "negative_emotion": 0.010, "sensation": 0.006}
+    assert dict(w.TRAITS["openness"]) == {"positive_emotion": -0.009, "pronoun": -0.013, "article": 0.012, "time": -0.013, "motion": -0.013, "inclusive": 0.007, "past_focus": -0.010}
+    assert [sum(len(x) for x in w.SUMMARY[s][:2]) for s in ("emotional_tone", "analytical_thinking", "clout", "authenticity")] == [2, 11, 7, 11]
+
+
+def test_confidence(spark):
+    rows = [(0, 0.0, "low", 0.25), (100, 0.8, "low", 0.25), (500, 0.49, "medium", 0.25), (1000, 0.49, "medium", 0.24), (1000, 0.5, "medium", 0.19), (1000, 0.69, "high", 0.19), (1000, 0.7, "high", 0.16), (1200, 0.75, "high", 0.14), (10000, 0.8, "high", 0.05), (100000, 0.8, "high", 0.02), (400, 0.8, "low", 0.25), (600, 0.5, "medium", 0.24), (600, 0.8, "medium", 0.20)]
+    df = spark.createDataFrame(rows, "n long, c double, flag string, w double").select("*", S.confidence_flag(F.col("n"), F.col("c")).alias("f"), S.ci_width(F.col("n"), F.col("c")).alias("x"))
+    assert [(r["f"], r["x"]) for r in df.collect()] == [r[2:] for r in rows]
+
+
+def test_percentiles(spark):
+    want = [1] * 24 + [int(x) for x in "2 2 2 3 3 4 5 6 7 8 9 11 12 14 16 18 20 23 25 28 31 34 37 40 43 47 50 53 57 60 63 66 69 72 75 77 80 82 84 86 88 89 91 92 93 94 95 96 97 97 98 98 98".split()] + [99] * 24
+    got = [r[0] for r in spark.range(101).select(S.percentile(F.col("id") / 100)).collect()]
+    assert got == want
+
+
+@pytest.mark.parametrize(("name", "labels"), [("openness", ["low", "moderate", "high", "high"]), ("regulatory_focus", ["prevention_focus", "balanced", "balanced", "promotion_focus"]), ("cognitive_style", ["intuitive", "mixed", "mixed", "systematic"])])
+def test_labels(spark, name, labels):
+    df = spark.createDataFrame([(x,) for x in (0.34, 0.35, 0.65, 0.66)], "x double")
+    assert [r[0] for r in df.select(S.trait_label(name, F.col("x"))).collect()] == labels
+
+
+def test_whole_texts(spark):
+    cycle = "happy think achieve friend sad always I accommodate the the "
+    two = "happy think achieve friend sad always I accommodate the"
+    df = spark.createDataFrame([(1, cycle * 100), (2, f"{two}\n\n{two}")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in P.scores(feat.features(df, LEX)).collect()}
+    names = [*w.TRAITS, "analytical_thinking", "clout", "authenticity", "emotional_tone"]
+    assert [got[1][n] for n in names] == [0.39, 0.40, 0.71, 0.59, 0.67, 0.70, 0.50, 0.62, 0.70, 0.92, 0.88, 0.16, 0.50]
+    assert (got[1]["word_count"], got[1]["coverage"], got[1]["confidence_flag"], got[1]["ci_width"], got[1]["avg_word_length"], got[1]["big_word_ratio"]) == (1000, 1.0, "high", 0.16, 5.0, 0.4)
+    assert [got[2][n] for n in names] == [0.24, 0.39, 0.73, 0.60, 0.77, 0.72, 0.50, 0.63, 0.72, 0.80, 0.90, 0.14, 0.50]
+    assert (got[2]["word_count"], got[2]["confidence_flag"], got[2]["ci_width"]) == (18, "low", 0.25)
+
+
+def test_properties(spark):
+    words = [x for _, x, _ in LEX] + ["zzz", "qqq"]
+    rnd = random.Random(3)
+    df = spark.createDataFrame([(i, " ".join(rnd.choices(words, k=rnd.randint(0, 80)))) for i in range(40)], "doc_id long, text string")
+    rows = P.trait_results(P.scores(feat.features(df, LEX))).collect()
+    assert len(rows) == 360
+    for r in rows:
+        assert 0 <= r["ci_low"] <= r["score"] <= r["ci_high"] <= 1 and 1 <= r["percentile"] <= 99
+
+
+def test_parts_are_one_document(spark):
+    parts = spark.createDataFrame([("a", "happy sad"), ("a", "and and"), ("b", "the")], "k string, text string")
+    whole = spark.createDataFrame([("a", "happy sad\n\nand and"), ("b", "the")], "k string, text string")
+    key = lambda r: r["k"]
+    assert sorted(feat.features(parts, LEX, "k").collect(), key=key) == sorted(feat.features(whole, LEX, "k").collect(), key=key)
