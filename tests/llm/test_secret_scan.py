@@ -1,0 +1,82 @@
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexloom.llm import secret_scan as S
+from lexloom.llm.common import new_path
+from tests.llm.conftest import MESSY
+
+ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def plain(text):
+    found = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found)
+
+
+TEXTS = [t or "" for _, t, *_ in MESSY] + [
+    "secret=token: abcdef", "token=ab token=abcdef", "PASSWORD = 'abcdef'", 'api_key": "x.y/z+1="', "AKIA" + "A" * 15, "AKIA" * 6, "a" * 23, "b" * 24 + "g" + "c" * 30, "ſecret=abcdefg toKen=abcdefg", "password=" + "f" * 30,
+]
+
+
+@pytest.mark.parametrize("text", TEXTS, ids=range(len(TEXTS)))
+def test_spans(text):
+    order = [r.kind for r in S.RULES]
+    got = sorted((s, order.index(k), k, e) for k, s, e in S.find_spans(text, S.RULES) if k in ("assign", "access", "hex"))
+    assert got == plain(text)
+
+
+def test_messy(spark, messy, nothing):
+    rows = S.scan_documents(spark, messy).select("path", S.joined(F.col("findings"), [r for r in S.RULES if r.base]).alias("s")).collect()
+    want = [(d, ",".join(f"{k}:{a}:{b}" for a, _, k, b in plain(t or ""))) for d, t, *_ in MESSY]
+    assert sorted(map(tuple, rows), key=str) == sorted(want, key=str)
+    assert S.scan_documents(spark, nothing).count() == 0
+
+
+def test_query(spark):
+    from lexloom.llm.secret_scan import op4_secret_scan
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in op4_secret_scan(spark, sf).collect():
+        own = plain(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in own).encode()).hexdigest()
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(x[1] == k for x in own) for k in range(3)]
+
+
+def test_ledger(spark):
+    def versions(*rows):
+        return spark.createDataFrame(rows, "path long, text string")
+
+    first = versions((1, "token=abcdefg"), (2, "token=abcdefg"), (3, "clean"), (4, None))
+    ledger = S.BlobLedger(spark, new_path(spark, "ledger"))
+    keyed = S.with_blob(first).select("path", "blob")
+    assert ledger.pending(keyed).count() == 3
+    ledger.scan(first, "1")
+    assert ledger.entries().count() == 3 and ledger.pending(keyed).count() == 0
+    ledger.scan(first, "1b")  # the same versions again: nothing to scan
+    assert ledger.entries().count() == 3
+    second = versions((1, "changed"), (5, "token=abcdefg"))
+    ledger.scan(second, "2")
+    assert ledger.entries().count() == 4
+    assert {r["path"]: len(r["findings"]) for r in ledger.by_path(first.unionByName(second)).where("path <> 1").collect()} == {2: 1, 3: 0, 4: 0, 5: 1}
+    # A new version of one rule scans every blob again, but by that rule only.
+    newer = tuple(S.Rule("hex", r"[0-9a-f]{4,}", version=2) if r.kind == "hex" else r for r in S.RULES)
+    ledger = S.BlobLedger(spark, ledger.path, newer)
+    pending = ledger.pending(S.with_blob(first.unionByName(second)).select("path", "blob")).collect()
+    assert len(pending) == 4 and all(r["rules"] == ["hex@2"] for r in pending)
+    ledger.scan(first.unionByName(second), "3")
+    assert {k["kind"] for r in ledger.findings().collect() for k in r["findings"]} == {"assign", "hex"}
+
+
+def test_redaction(spark, messy):
+    out = S.redact(spark, messy)
+    assert out.columns == messy.columns and out.count() == messy.count()
+    text = out.where("doc_id = 11").first()
+    assert text["text"] == "[assign] [access] [hex]" and text["n_chars"] == len(text["text"])
+    assert out.where("doc_id = 5").first()["text"] == MESSY[0][1]
+    assert S.masked("abcdefgh", [{"kind": "x", "start": 1, "end": 4}, {"kind": "y", "start": 2, "end": 6}]) == "a[x]gh"
