@@ -21,9 +21,10 @@ def strip_markup(text: Column) -> Column:
 
 def normalize_space(text: Column) -> Column:
     """Lines trimmed, and joined by a space; where blank lines were, one blank line; inner white space stays."""
-    text = F.regexp_replace(text, F.lit(rf"^[{WHITE}]+|[{WHITE}]+\z"), F.lit(""))
-    text = F.regexp_replace(text, F.lit(rf"[{WHITE}]*\n[{WHITE}]*\n[{WHITE}]*"), F.lit(BLANK))
-    text = F.regexp_replace(text, F.lit(rf"[{HORIZONTAL}]*\n[{HORIZONTAL}]*"), F.lit(" "))
+    # Each match starts where a run of white space does and never backs up, so time is linear in the text.
+    text = F.regexp_replace(text, F.lit(rf"^[{WHITE}]++|(?<![{WHITE}])[{WHITE}]++\z"), F.lit(""))
+    text = F.regexp_replace(text, F.lit(rf"(?<![{WHITE}])[{HORIZONTAL}]*+\n[{HORIZONTAL}]*+\n[{WHITE}]*+"), F.lit(BLANK))
+    text = F.regexp_replace(text, F.lit(rf"(?<![{HORIZONTAL}])[{HORIZONTAL}]*+\n[{HORIZONTAL}]*+"), F.lit(" "))
     return F.replace(text, F.lit(BLANK), F.lit("\n\n"))
 
 

@@ -58,3 +58,9 @@ def test_long_text_is_whole(spark):
     df = spark.range(1).select(F.repeat(F.lit("ab cd. "), 200_000).alias("text"))
     r = T.with_stats(df).select("word_count", "sentence_count").first()
     assert tuple(r) == (400_000, 200_000)
+
+
+def test_long_runs_of_white_space(spark):
+    df = spark.range(1).select(F.concat(F.lit("a"), F.repeat(F.lit(" \t"), 300_000), F.lit("b \n\n"), F.repeat(F.lit(" \r\n"), 100_000), F.lit("c"), F.repeat(F.lit(" "), 300_000)).alias("text"))
+    clean = df.select(T.clean(F.col("text")).alias("c")).first()["c"]
+    assert clean == "a" + " \t" * 300_000 + "b\n\nc"
