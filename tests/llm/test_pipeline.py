@@ -1,0 +1,67 @@
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    import corpus_pipeline as P
+    from lexloom.llm.common import staged, table
+
+    docs, out = table(spark, SF, "documents"), {}
+    out["documents"] = docs
+    for name, stage in P.STAGES:
+        out[name] = docs = staged(stage(spark, docs, SF), name)
+    return out
+
+
+def test_columns_and_rows(stages):
+    names = list(stages)
+    columns = stages["documents"].columns
+    assert len(names) == 6 and all(stages[n].columns == columns for n in names[:-1])
+    count = {n: stages[n].count() for n in names}
+    assert count["documents"] >= count["toxicity"] > count["simhash_near_dedup"] == count["secret_scan"] <= count["mixing"]
+
+
+def test_decisions(spark, stages):
+    from lexloom.llm import simhash
+    from lexloom.llm.packing import cuts
+    from tests.llm.test_packing import plain
+    from tests.llm.test_secret_scan import plain as secrets
+    from tests.llm.test_simhash import plain as fingerprint
+    from tests.llm.test_simhash import smallest_reachable
+
+    rows = {n: stages[n].collect() for n in stages}
+    fps = {r["doc_id"]: fingerprint(r["text"]) for r in rows["toxicity"]}
+    links = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= simhash.RADIUS]
+    want = {d for d, c in smallest_reachable(links, fps).items() if d == c}
+    assert Counter(r["doc_id"] for r in rows["simhash_near_dedup"]) == Counter(want)
+    texts = {r["doc_id"]: r["text"] for r in rows["simhash_near_dedup"]}
+    for r in rows["secret_scan"]:
+        found = secrets(texts[r["doc_id"]])
+        assert (r["text"] == texts[r["doc_id"]]) == (not found) and not secrets(r["text"])
+    assert {r["doc_id"] for r in rows["mixing"]} == want
+    pieces = Counter((r["doc_id"], k, at, n) for r in rows["mixing"] for k, (at, n) in enumerate(cuts(len(plain(r["text"])) + 1, 2048)))
+    assert pieces == Counter((r["doc_id"], r["piece"], r["start"], r["length"]) for r in rows["best_fit_packing"])
+
+
+def test_run(spark, stages):
+    import corpus_pipeline as P
+
+    key = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    a, b = (Counter(tuple(r[c] for c in key) for r in df.collect()) for df in (P.run(spark, SF), stages["best_fit_packing"]))
+    assert a == b
+
+
+def test_messy_rows_pass_all_stages(spark, messy, nothing):
+    import corpus_pipeline as P
+    from lexloom.llm.common import staged
+
+    for docs in (messy, nothing):
+        for name, stage in P.STAGES:
+            before, docs = docs, staged(stage(spark, docs, SF), name)
+            assert name == "best_fit_packing" or docs.schema.names == before.schema.names
+        assert docs.where(F.col("length") > 2048).count() == 0
