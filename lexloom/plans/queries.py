@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lexloom.functions import scoring as S
 from lexloom.functions import text as T
 from lexloom.functions import weights as w
+from lexloom.operators import analyze as A
 from lexloom.operators import features as feat
 from lexloom.operators import narrative as N
 from lexloom.operators import profile as P
@@ -249,6 +250,15 @@ def save_and_get(spark, sf_dir):
     )
 
 
+def analyze_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as requests, from validation to the response; rejected ones carry their reason."""
+    requests = docs(spark, sf_dir).select(F.col("doc_id").alias("request_id"), "text", F.lit("paste").alias("source_type"), F.lit("2024-03-15").alias("source_date"), F.lit(None).cast("string").alias("source_url"))
+    responses, rejects = A.analyze(requests, lex(), fetch=None, analysis_id=F.sha2(F.col("request_id").cast("string"), 256))
+    own = responses.select("request_id", "analysis_id", "word_count", "confidence_flag", F.col("traits")["openness"]["score"].alias("openness"), F.lit(None).cast("string").alias("reject"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in own.dtypes[1:-1]]
+    return own.unionByName(rejects.select("request_id", *none, "reject"))
+
+
 def profile_pdf(spark, sf_dir):
     return N.pdfs(doc_profiles(spark, sf_dir)).select("doc_id", F.substring("pdf", 1, 5).cast("string").alias("magic"), (F.octet_length("pdf") > 1000).alias("whole"))
 
@@ -283,7 +293,7 @@ def queries() -> dict:
         strip_html, normalize_ws, tokenize_counts, doc_stats, word_freq, clean_edge_cases, lexicon_categories, lexicon_lookup, category_counts,
         category_percents, coverage, stylometrics, coverage_by_lang, evidence, schwartz_values, confidence_flag, ci_width, trait_percentiles,
         trait_results, trait_labels, label_boundaries, summary_labels, values_ranked, validate_requests, analyze_pages, corpus_profile,
-        source_profile, narrative, save_and_get, profile_pdf,
+        source_profile, narrative, save_and_get, analyze_requests, profile_pdf,
     )
     return {q.__name__: q for q in own} | {name: traits_query(cols) for name, cols in SCORE_NAMES.items()}
 
@@ -327,5 +337,6 @@ def oracle_sql() -> dict[str, str]:
         "source_profile": f"{Q.scored(rows, "SELECT source AS k, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY source")} {whole('source')}",
         "narrative": f"{scored} SELECT k AS doc_id, {Q.narrative(N.FOOTER)} AS narrative FROM sc",
         "save_and_get": f"{scored} SELECT sha256(k::VARCHAR) AS id, 'file' AS source_type, n AS word_count, coverage AS dictionary_coverage, flag AS confidence_flag, pct_pronoun AS pronoun, openness, {Q.percentile('openness')} AS openness_percentile, clout, length({Q.narrative(N.FOOTER)})::BIGINT AS narrative_chars FROM sc",
+        "analyze_requests": f"{scored}, r AS (SELECT doc_id, CASE WHEN strlen(coalesce(text, '')) < {V.LEAST_BYTES} THEN 'text must be at least 10 characters' WHEN strlen(text) > {V.MAX_BYTES} THEN 'text exceeds max size' END AS reject FROM documents) SELECT doc_id AS request_id, CASE WHEN reject IS NULL THEN sha256(k::VARCHAR) END AS analysis_id, CASE WHEN reject IS NULL THEN n END AS word_count, CASE WHEN reject IS NULL THEN flag END AS confidence_flag, CASE WHEN reject IS NULL THEN openness END AS openness, reject FROM sc JOIN r ON r.doc_id = k",
         **{name: f"{scored} SELECT k AS doc_id, {', '.join(cols)} FROM sc" for name, cols in SCORE_NAMES.items()},
     }

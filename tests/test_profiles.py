@@ -1,10 +1,13 @@
 """Narratives, PDF files, the store, sources, validation, streams, the registered queries."""
 
+import json
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions import weights as w
+from lexloom.operators import analyze as A
 from lexloom.operators import narrative as N
 from lexloom.operators import profile as P
 from lexloom.operators import validation as V
@@ -97,6 +100,29 @@ def test_validation(spark):
     assert [r["reject"] for r in V.parsed(lines).collect()] == [None, "invalid JSON"]
 
 
+def test_services(spark, tmp_path):
+    text = "happy think achieve friend sad always I accommodate the"
+    rows = [(1, text, "blog", None, None), (2, text, "podcast", None, None), (3, None, "url", None, "http://x.example"), (4, "short", "chat", None, None)]
+    requests = spark.createDataFrame(rows, "request_id long, " + V.REQUEST)
+    responses, rejects = A.analyze(requests, LEX, fetch=lambda url: f"fetched {url}")
+    assert {r["request_id"]: r["reject"] for r in rejects.collect()} == {2: "SourceType: oneof", 4: "text must be at least 10 characters"}
+    got = {r["request_id"]: r for r in responses.collect()}
+    assert set(got) == {1, 3} and got[1]["traits"]["openness"]["score"] == 0.24 and len(got[1]["analysis_id"]) == 36
+    saved = responses.where("request_id = 1").cache()
+    store = Store(spark, f"file://{tmp_path}/analyses")
+    A.save(store, saved, "blog")
+    pdf = A.pdf_of(store, saved.first()["analysis_id"]).collect()
+    assert len(pdf) == 1 and bytes(pdf[0]["pdf"]).startswith(b"%PDF-") and A.pdf_of(store, "none").count() == 0
+    line = json.loads(A.as_json(saved).first()["value"])
+    assert line["word_count"] == 9 and line["traits"]["openness"]["confidence_interval"] == [0.0, 0.49]
+    for name in ("a.txt", "b.txt"):
+        (tmp_path / name).write_text(text)
+    r = A.analyze_folder(spark, f"file://{tmp_path}", LEX).first()
+    assert (r["files_read"], r["word_count"], r["source_type"], r["summary"]["clout"]) == (2, 18, "file", 0.9)
+    with pytest.raises(ValueError, match="max size"):
+        A.analyze_folder(spark, f"file://{tmp_path}", LEX, config=texts.Config(max_text_size=20))
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "happy and sad"), (2, "the")], "doc_id long, text string").write.parquet(f"{tmp_path}/in")
     source = spark.readStream.schema("doc_id long, text string").parquet(f"{tmp_path}/in")
