@@ -27,13 +27,11 @@ def counted(docs: DataFrame, lex_rows: list[tuple[str, str, int]], key: str = "d
     Rows with the same key are one document in several parts.
     """
     names = category_names(lex_rows)
-    wide = L.wide(L.lexicon(docs.sparkSession, lex_rows), names)
+    wide = L.wide(docs.sparkSession, lex_rows, names)
     words = docs.select(key, F.explode_outer(T.tokens(T.clean(F.col("text")))).alias("word"))
     hits = words.join(F.broadcast(wide), "word", "left")
     size = F.octet_length("word")
-    known = F.lit(False)
-    for c in names[:1]:
-        known = F.col(f"m_{c}").isNotNull()
+    known = F.col(f"m_{names[0]}").isNotNull() if names else F.lit(False)
     return hits.groupBy(key).agg(
         F.count("word").alias("word_count"),
         F.sum(F.when(known, 1).otherwise(0)).alias("covered"),

@@ -54,7 +54,10 @@ def categories(lex: DataFrame) -> DataFrame:
     return lex.select("category").distinct()
 
 
-def wide(lex: DataFrame, names: list[str]) -> DataFrame:
+def wide(spark: SparkSession, rows: list[tuple[str, str, int]], names: list[str]) -> DataFrame:
     """One row a word, with the multiplicity of each category in ``m_<category>``: a table of a lexicon's size."""
-    sums = [F.sum(F.when(F.col("category") == c, F.col("mult")).otherwise(0)).cast("int").alias(f"m_{c}") for c in names]
-    return lex.groupBy("word").agg(*sums)
+    by_word: dict[str, dict[str, int]] = {}
+    for category, word, n in rows:
+        own = by_word.setdefault(word, dict.fromkeys(names, 0))
+        own[category] += n
+    return spark.createDataFrame([(word, *own.values()) for word, own in by_word.items()], "word string, " + ", ".join(f"m_{c} int" for c in names))
