@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +49,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def lowest_hashes(ids: DataFrame, bound: int, n: int, seed: int = 0) -> DataFrame:
+    """About ``bound`` of the ``n`` rows ``ids`` (doc_id), and never more: those whose ids hash lowest.
+
+    A threshold on the hash leaves few rows before any are sorted, however many partitions there are.
+    """
+    place = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40))
+    few = ids.where(place < F.lit(min(1 << 40, int((1 << 40) * bound / max(n, 1)))))
+    return few.orderBy(place, "doc_id").limit(bound)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """``batches`` in parts of ``rows`` rows at most, so a task holds the Python objects of few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()

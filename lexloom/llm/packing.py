@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import staged, table
+from lexloom.llm.common import slices, staged, table
 from lexloom.llm.tokens import ByteBpe
 
 CAPACITY, SEPARATOR = 2048, 0
@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, end = ByteBpe(vocabulary), SEPARATOR.to_bytes(4, "little")
-        for batch in batches:
+        for batch in slices(batches):
             rows, number, start, length, crc, ids = [], [], [], [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
                 data = bpe.ids(text or "") + end

@@ -16,12 +16,13 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import new_path, table
+from lexloom.llm.common import new_path, slices, table
 
+FINDINGS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 LEDGER_SCHEMA = "blob binary, rules array<string>, findings array<struct<kind:string, start:long, end:long>>"
 
 
@@ -88,19 +89,19 @@ class BlobLedger:
         """Scans what is unseen of ``versions`` (path, text) and commits it as ``batch``; a batch that ran before is replaced."""
         rules = {r.key: r for r in self.rules}
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
                 found = [
                     [{"kind": k, "start": s, "end": e} for k, s, e in find_spans(text, [rules[x] for x in todo])]
-                    for text, todo in zip(pdf["text"], pdf["rules"], strict=True)
+                    for text, todo in zip(batch.column("text").to_pylist(), batch.column("rules").to_pylist(), strict=True)
                 ]
-                yield pd.DataFrame({"blob": pdf["blob"], "rules": pdf["rules"], "findings": found})
+                yield pa.RecordBatch.from_arrays([batch.column("blob"), batch.column("rules"), pa.array(found, FINDINGS)], names=["blob", "rules", "findings"])
 
         keyed = with_blob(versions)
         todo = self.pending(keyed.select("path", "blob")).withColumnsRenamed({"path": "p", "blob": "b"})
         # Paths are dealt evenly whatever their texts, so the join is on the path and not on the blob alone.
         work = keyed.join(todo, F.col("path").eqNullSafe(F.col("p")) & (F.col("blob") == F.col("b")))
-        out = work.select("blob", "rules", "text").mapInPandas(run, LEDGER_SCHEMA)
+        out = work.select("blob", "rules", "text").mapInArrow(run, LEDGER_SCHEMA)
         out.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
     def findings(self) -> DataFrame:
@@ -146,13 +147,16 @@ def redact(spark: SparkSession, docs: DataFrame) -> DataFrame:
     found = found.select(F.col("path").alias("__path"), F.col("findings").alias("__found")).dropDuplicates(["__path"])
     schema, names = docs.schema, docs.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf.copy()
-            pdf["text"] = [t if f is None else masked(t or "", f) for t, f in zip(pdf["text"], pdf["__found"], strict=True)]
-            yield pdf[names]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = batch.column("__found")
+            if found.null_count == batch.num_rows:
+                yield batch.select(names)
+                continue
+            texts = [t if f is None else masked(t or "", f) for t, f in zip(batch.column("text").to_pylist(), found.to_pylist(), strict=True)]
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).select(names)
 
-    out = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__path")), "left").drop("__path").mapInPandas(run, schema)
+    out = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__path")), "left").drop("__path").mapInArrow(run, schema)
     return out.withColumn("n_chars", F.char_length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

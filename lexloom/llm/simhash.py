@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import staged, table
+from lexloom.llm.common import slices, staged, table
 from lexloom.llm.components import Forest, components
 
 WORDS, RADIUS, SEED = 4, 4, 42
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """(doc_id, fp) of all rows; fp holds the 64 bits as a signed number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([simhash(t or b"", k) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import new_path, staged, table
+from lexloom.llm.common import new_path, slices, staged, table
 from lexloom.llm.tokens import ByteBpe
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -77,7 +77,7 @@ def with_bpe(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             n = [len(bpe.ids(t or "")) // 4 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n, pa.int64())], names=[*names, "n_bpe"])
 

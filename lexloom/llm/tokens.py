@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from functools import cache
 
 SPECIAL = "<|endoftext|>"
 
@@ -23,12 +24,12 @@ class ByteBpe:
     encoded whole.
     """
 
-    def __init__(self, vocabulary: str | None = None, cache_words: int = 400_000):
+    def __init__(self, vocabulary: str | None = None, cache_words: int = 150_000):
         import tiktoken
         from tokenizers import Tokenizer
 
         path = vocabulary or default_vocabulary()
-        self.whole = Tokenizer.from_file(path)
+        self.whole = cache(lambda: Tokenizer.from_file(path))
         self.cache_words, self.words = cache_words, _Words()
         ranks_path = path.removesuffix(".json") + ".tiktoken"
         import public_tokenizers
@@ -44,7 +45,7 @@ class ByteBpe:
             return b""
         first, *rest = text.split(" ")
         if SPECIAL in text or not all(rest) or any(w[0].isspace() for w in rest):
-            return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return np.asarray(self.whole().encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(self.words) > self.cache_words:
             self.words.clear()
         head = np.asarray(self.words.encode(first), dtype="<u4").tobytes() if first else b""

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import staged, table
+from lexloom.llm.common import lowest_hashes, slices, staged, table
 
 #: Bounds of the sample that the classifier is fitted on, of each label.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
 #: Features: how many, and the least likelihood ratio statistic (G squared) of one.
-FEATURES, LEAST_G2 = 4096, 10.0
+FEATURES, LEAST_G2 = 4096, 14.0
 #: Weights of the squared logit changes under swaps, and of the squared weights.
 SWAP_PENALTY, RIDGE, SWAPS = 1.0, 0.02, 3
 THRESHOLD, FOLDS, HELD_OUT = 0.3, 4, 2
@@ -106,30 +105,53 @@ def g2(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
     return out
 
 
-def fit(texts: list[set[str]], labels: np.ndarray, weights: np.ndarray, penalty: float = SWAP_PENALTY) -> Model:
-    """``texts`` as sets of words; ``weights`` of the rows undo the sampling by label."""
-    toxic, clean = Counter(), Counter()
-    for words, y in zip(texts, labels, strict=True):
-        (toxic if y else clean).update(features_of(words))
+class Sample:
+    """Texts as sets of word numbers, each word held once."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.texts: list[np.ndarray] = []
+
+    def add(self, words) -> None:
+        self.texts.append(np.array([self.number.setdefault(w, len(self.number)) for w in sorted(words)], dtype=np.int32))
+
+    def features(self) -> tuple[list[str], np.ndarray]:
+        """Names of the features, and by word which it has."""
+        names: dict[str, int] = {}
+        of = np.array([[names.setdefault(f, len(names)) for f in (w, w[:4] + "-", w[:5] + "--")] for w in self.number], dtype=np.int32).reshape(-1, 3)
+        return list(names), of
+
+
+def fit(sample: Sample, labels: np.ndarray, weights: np.ndarray, penalty: float = SWAP_PENALTY) -> Model:
+    """``weights`` of the texts undo the sampling by label."""
     n_toxic, n_clean = int((labels == 1).sum()), int((labels == 0).sum())
     if not n_toxic or not n_clean:
         share = min(max(n_toxic / max(len(labels), 1), 1e-9), 1 - 1e-9)
         return Model(math.log(share / (1 - share)))
-    names = sorted(f for f, n in (toxic + clean).items() if n > 1)
-    stat = g2(np.array([toxic[f] for f in names], float), np.array([clean[f] for f in names], float), n_toxic, n_clean)
-    order = np.argsort(-stat, kind="stable")[:FEATURES]
-    chosen = [names[i] for n, i in enumerate(order) if stat[i] >= LEAST_G2 or n < 64]
-    place = {f: i for i, f in enumerate(chosen)}
-    if not place:
+    names, of = sample.features()
+    counts = np.zeros((2, len(names)))
+    for text, y in zip(sample.texts, labels, strict=True):
+        counts[y, np.unique(of[text])] += 1
+    stat = np.where(counts.sum(axis=0) > 1, g2(counts[1], counts[0], n_toxic, n_clean), -1)
+    order = sorted(np.flatnonzero(stat >= min(LEAST_G2, np.sort(stat)[-64:][0])).tolist(), key=lambda i: (-stat[i], names[i]))[:FEATURES]
+    chosen = [names[i] for n, i in enumerate(order) if stat[i] >= LEAST_G2 or n < 64 and stat[i] >= 0]
+    if not chosen:
         return Model(math.log(n_toxic / n_clean))
+    place = np.full(len(names), -1)
+    place[order[: len(chosen)]] = np.arange(len(chosen))
+    by_name = {f: i for i, f in enumerate(chosen)}
+
+    def sparse(own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate([np.zeros(0, dtype=np.int64), *own])
 
-    def sparse(sets) -> tuple[np.ndarray, np.ndarray]:
-        own = [[place[f] for f in sorted(features_of(s)) if f in place] for s in sets]
-        return np.repeat(np.arange(len(own)), [len(x) for x in own]), np.array([i for x in own for i in x], dtype=np.int64)
+    def of_text(text: np.ndarray) -> np.ndarray:
+        own = place[np.unique(of[text])]
+        return own[own >= 0]
 
-    rows, cols = sparse(texts)
-    pairs = [(i, s) for i, words in enumerate(texts) for s in swapped(words)]
-    swap_rows, swap_cols = sparse([s for _, s in pairs])
+    rows, cols = sparse([of_text(t) for t in sample.texts])
+    spelled, identity = list(sample.number), np.array(sorted(sample.number[t] for t in GROUP_OF if t in sample.number), dtype=np.int32)
+    pairs = [(i, s) for i, t in enumerate(sample.texts) if np.isin(t, identity).any() for s in swapped({spelled[k] for k in t})]
+    swap_rows, swap_cols = sparse([np.array(sorted({by_name[f] for f in features_of(s) if f in by_name}), dtype=np.int64) for _, s in pairs])
     origin = np.array([i for i, _ in pairs], dtype=np.int64)
     y, w = labels.astype(float), weights / weights.sum()
     swap_w = w[origin] / SWAPS
@@ -162,22 +184,30 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bounds = {1: SAMPLE_TOXIC, 0: SAMPLE_CLEAN}
-    parts = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in bounds.items()]
+    parts = [lowest_hashes(known.where(F.col("toxic") == y), n, counts.get(y, 0)) for y, n in bounds.items()]
     sample = staged(parts[0].unionByName(parts[1]).coalesce(1), "sample")  # 12,000 ids at most
-    rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            own = [sorted(words_of(t or "")) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(own, pa.list_(pa.string()))], names=["doc_id", "toxic", "words"])
 
     def collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, tuple[set[str], int]] = {}
-        for batch in batches:
-            for doc_id, y, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "text")), strict=True):
-                seen[doc_id] = (words_of(text), y)
-        own = [seen[d] for d in sorted(seen)]
-        labels = np.array([y for _, y in own], dtype=np.int64)
-        share = {y: counts.get(y, 0) / max(int((labels == y).sum()), 1) for y in (0, 1)}
-        model = fit([w for w, _ in own], labels, np.array([share[int(y)] for y in labels]))
+        sample, toxic = Sample(), []
+        for batch in slices(batches):
+            for y, own in zip(batch.column("toxic").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                sample.add(own)
+                toxic.append(y)
+        labels = np.array(toxic, dtype=np.int64)
+        share = {y: counts.get(y, 0) / max(toxic.count(y), 1) for y in (0, 1)}
+        model = fit(sample, labels, np.array([share[y] for y in toxic]))
         yield pa.RecordBatch.from_pydict({"feature": ["", *model.weights], "weight": [model.bias, *model.weights.values()]})
 
-    fitted = {r["feature"]: r["weight"] for r in rows.repartition(1).mapInArrow(collected, "feature string, weight double").collect()}
+    # Only the words of the sample meet in one task.
+    kind = rows.schema["toxic"].dataType.simpleString()
+    rows = rows.mapInArrow(words, f"doc_id long, toxic {kind}, words array<string>").repartition(1).sortWithinPartitions("doc_id", "words")
+    fitted = {r["feature"]: r["weight"] for r in rows.mapInArrow(collected, "feature string, weight double").collect()}
     return Model(fitted.pop("", -50.0), fitted)
 
 
@@ -185,7 +215,7 @@ def _scores(model: Model):
     cache: dict[str, tuple] = {}
 
     def of(texts: list[str | None]) -> list[float]:
-        if len(cache) > 300_000:
+        if len(cache) > 100_000:
             cache.clear()
         return [model.score(t or "", cache) for t in texts]
 
@@ -197,7 +227,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _scores(model)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(of(batch.column("text").to_pylist()), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
@@ -208,7 +238,7 @@ def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _scores(model)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([s < threshold for s in of(batch.column("text").to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
