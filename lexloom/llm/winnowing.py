@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import table
+from lexloom.llm.common import slices, table
 
 K, WINDOW = 16, 17
 #: An odd multiplier of the rolling hash, modulo 2**64, and its inverse.
@@ -86,7 +86,7 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
     """(doc_id, hashes, positions) of every row of ``docs`` (doc_id, text), hashes as signed numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             own = [winnow(t or "", k, window) for t in batch.column("text").to_pylist()]
             columns = [pa.array([x[i].view(np.int64) for x in own], pa.list_(pa.int64())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "hashes", "positions"])
@@ -122,7 +122,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     order = sorted(firsts)
     to = {firsts[b]: a for a, b in zip(order, order[1:], strict=False)}
     to |= {firsts[order[0]]: order[-1]} if len(order) > 1 else {}
-    copies = F.create_map(*[F.lit(x) for kv in to.items() for x in (kv[0], kv[1])]) if to else None
+    copies = F.create_map(*[x for key, at in to.items() for x in (F.lit(key).cast("long"), F.lit(at).cast("int"))]) if to else None
     own = F.struct(F.col("range"), F.lit(True).alias("own"))
     places = F.array(own)
     if copies is not None:
@@ -154,7 +154,7 @@ def edits(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
         def table_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for own, key, text in zip(batch.column("own").to_pylist(), batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if not own and before is None:
