@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import staged, table
+from lexloom.llm.common import lowest_hashes, slices, staged, table
 
 FOLDS, HELD_OUT = 7, 2
 #: Words whose counts every task holds, at most.
@@ -180,10 +180,10 @@ class Trainer:
 
     def learn(self, symbols: np.ndarray) -> float:
         """One pass over documents, each ended by symbol 0; the mean log probability."""
-        streams = int(min(max(len(symbols) // (4 * BACK), 1), STREAMS))
-        length = len(symbols) // streams
-        if not length:
+        streams = int(min(max(len(symbols) // (64 * BACK), 8), STREAMS, len(symbols)))  # 64 windows or more, where there are so many words
+        if not streams:
             return 0.0
+        length = len(symbols) // streams
         y = symbols[: streams * length].reshape(streams, length).T
         x = np.concatenate([[0], symbols[: streams * length - 1]]).reshape(streams, length).T
         h, total = np.zeros((streams, WIDTH), np.float32), 0.0
@@ -245,6 +245,7 @@ class Vocabulary:
     def __init__(self, head: list[tuple[bytes, int]], tokens: int, distinct: int, buckets: dict[int, tuple[int, int]]):
         """``head``: words by falling count; ``buckets``: tokens and distinct words of those that are no symbols."""
         self.tokens, self.distinct, self.buckets = tokens, distinct, buckets
+        self.documents = dict(head).get(END, 0)
         self.place = {w: i for i, (w, _) in enumerate(head)}
         names = [w for w, _ in head if w != END][:WORDS]
         symbol = {w: i + 1 for i, w in enumerate(names)} | {END: 0}
@@ -285,11 +286,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
 
         held: Counter[bytes] = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column("text").to_pylist():
                 held.update(words_of(text))
                 held[END] += 1
-                if len(held) > 500_000:
+                if len(held) > 200_000:
                     yield rows()
                     held.clear()
         if held:
@@ -301,7 +302,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """From the table of all words' counts: two sums, HEAD rows and BUCKETS rows reach the driver."""
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
+    # The least count of the head, by a histogram of counts in 64 steps a doubling: sorting would send HEAD rows a partition.
+    steps = F.floor(F.log2("c") * 64).cast("int")
+    sizes = {r["s"]: r["n"] for r in counts.groupBy(steps.alias("s")).agg(F.count("*").alias("n")).collect()}
+    least, room = 1 << 30, HEAD
+    for s in sorted(sizes, reverse=True):
+        if (room := room - sizes[s]) < 0:
+            break
+        least = s
+    head = [(bytes(r["word"]), r["c"]) for r in counts.where((steps >= least) | (F.octet_length("word") == 0)).collect()]
+    head.sort(key=lambda x: (-x[1], x[0]))
     named = [w for w, _ in head if w != END][:WORDS] + [END]
     names = F.broadcast(counts.sparkSession.createDataFrame([(bytearray(w),) for w in named], "word binary"))
     bucket = F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(BUCKETS)).cast("int")
@@ -312,7 +322,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 def _learner(vocab, start, rate: float, passes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer, seen, own, size = Trainer(start.value, rate), 0, [], 0
-        documents = (t for batch in batches for t in batch.column("text").to_pylist())
+        documents = (t for batch in slices(batches) for t in batch.column("text").to_pylist())
         for text in documents:
             own.append(vocab.value.symbols(words_of(text))[0])
             size += len(own[-1])
@@ -342,7 +352,7 @@ def train(docs: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
     """The network's weights from all training documents ``docs`` (doc_id, text in binary)."""
     context, params = docs.sparkSession.sparkContext, initial()
     shared = context.broadcast(vocab)
-    first = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIRST_DOCUMENTS)
+    first = lowest_hashes(docs.select("doc_id").distinct(), FIRST_DOCUMENTS, vocab.documents)
     sample = docs.join(F.broadcast(staged(first, "first")), "doc_id").repartition(1)
     half = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(ROUNDS))
     plans = [(sample, RATE * 2, FIRST_PASSES)] + [(docs.where(half == k), RATE / (k + 1), 1) for k in range(ROUNDS)]
@@ -361,32 +371,30 @@ def partial_scores(docs: DataFrame, vocab: Vocabulary, params: dict[str, np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, row = shared.value, TaskContext.get().partitionId() << 33
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                documents, known, base, within, offsets = [], [], [], [], [0]
-                words, buckets, times = [], [], []
-                for text in batch.column("text").to_pylist():
-                    symbols, place, tail = own.symbols(words_of(text))
-                    documents.append(symbols)
-                    place = place[place >= 0]
-                    known.append(len(place))
-                    base.append(float(own.base[place].sum()))
-                    within.append(float(own.within[place].sum()))
-                    if len(place) + len(tail) < len(symbols):  # no training document, so no end among the counts
-                        base[-1] += math.log10(1 / (own.tokens + own.distinct + 1))
-                    counted = Counter(tail)
-                    words += counted
-                    buckets += map(bucket_of, counted)
-                    times += counted.values()
-                    offsets.append(len(words))
-                score = log_likelihoods(weights.value, documents) / math.log(10) + np.array(within)
-                tails = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(buckets, pa.int32()), pa.array(times, pa.int64())], fields=list(entry))
-                n = batch.num_rows
-                columns = [batch.column("doc_id"), pa.array(np.arange(row, row + n)), pa.array([len(d) for d in documents], pa.int64()), pa.array(known, pa.int64())]
-                columns += [pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tails)]
-                row += n
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "n_tokens", "n_known", "base", "score", "tail"])
+        for batch in slices(batches, 2048):
+            documents, known, base, within, offsets = [], [], [], [], [0]
+            words, buckets, times = [], [], []
+            for text in batch.column("text").to_pylist():
+                symbols, place, tail = own.symbols(words_of(text))
+                documents.append(symbols)
+                place = place[place >= 0]
+                known.append(len(place))
+                base.append(float(own.base[place].sum()))
+                within.append(float(own.within[place].sum()))
+                if len(place) + len(tail) < len(symbols):  # no training document, so no end among the counts
+                    base[-1] += math.log10(1 / (own.tokens + own.distinct + 1))
+                counted = Counter(tail)
+                words += counted
+                buckets += map(bucket_of, counted)
+                times += counted.values()
+                offsets.append(len(words))
+            score = log_likelihoods(weights.value, documents) / math.log(10) + np.array(within)
+            tails = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(buckets, pa.int32()), pa.array(times, pa.int64())], fields=list(entry))
+            n = batch.num_rows
+            columns = [batch.column("doc_id"), pa.array(np.arange(row, row + n)), pa.array([len(d) for d in documents], pa.int64()), pa.array(known, pa.int64())]
+            columns += [pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tails)]
+            row += n
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "n_tokens", "n_known", "base", "score", "tail"])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
