@@ -190,14 +190,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            own = [sorted(words_of(t or "")) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(own, pa.list_(pa.string()))], names=["doc_id", "toxic", "words"])
+            own = [" ".join(sorted(words_of(t or ""))) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(own, pa.string())], names=["doc_id", "toxic", "words"])
 
     def collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample, toxic = Sample(), []
         for batch in slices(batches):
             for y, own in zip(batch.column("toxic").to_pylist(), batch.column("words").to_pylist(), strict=True):
-                sample.add(own)
+                sample.add(own.split())
                 toxic.append(y)
         labels = np.array(toxic, dtype=np.int64)
         share = {y: counts.get(y, 0) / max(toxic.count(y), 1) for y in (0, 1)}
@@ -206,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     # Only the words of the sample meet in one task.
     kind = rows.schema["toxic"].dataType.simpleString()
-    rows = rows.mapInArrow(words, f"doc_id long, toxic {kind}, words array<string>").repartition(1).sortWithinPartitions("doc_id", "words")
+    rows = rows.mapInArrow(words, f"doc_id long, toxic {kind}, words string").repartition(1).sortWithinPartitions("doc_id", "words")
     fitted = {r["feature"]: r["weight"] for r in rows.mapInArrow(collected, "feature string, weight double").collect()}
     return Model(fitted.pop("", -50.0), fitted)
 
