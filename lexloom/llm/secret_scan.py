@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import new_path, slices, table
+from lexloom.llm.common import new_path, slices, table, text_or_empty
 
 FINDINGS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 LEDGER_SCHEMA = "blob binary, rules array<string>, findings array<struct<kind:string, start:long, end:long>>"
@@ -120,9 +120,12 @@ class BlobLedger:
         return paths.join(self.findings(), "blob", "left").select("path", F.coalesce("findings", none).alias("findings"))
 
 
+def blob_of(column: str) -> Column:
+    return F.unhex(F.sha2(text_or_empty(column), 256))
+
+
 def with_blob(versions: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return versions.select("path", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("blob"))
+    return versions.select("path", text_or_empty().alias("text"), blob_of("text").alias("blob"))
 
 
 def joined(findings: Column, rules) -> Column:
@@ -143,8 +146,10 @@ def scan_documents(spark: SparkSession, docs: DataFrame, ledger_path: str | None
 
 def redact(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by ``[kind]``; all rows and columns stay, ``n_chars`` follows the text."""
-    found = scan_documents(spark, docs).where(F.size("findings") > 0)
-    found = found.select(F.col("path").alias("__path"), F.col("findings").alias("__found")).dropDuplicates(["__path"])
+    ledger = BlobLedger(spark, new_path(spark, "ledger"))
+    ledger.scan(docs.select(F.col("doc_id").alias("path"), "text"), "0")
+    # By the text and not by the id, which rows with other texts may share or lack.
+    found = ledger.findings().select(F.col("blob").alias("__blob"), F.col("findings").alias("__found"))
     schema, names = docs.schema, docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +161,7 @@ def redact(spark: SparkSession, docs: DataFrame) -> DataFrame:
             texts = [t if f is None else masked(t or "", f) for t, f in zip(batch.column("text").to_pylist(), found.to_pylist(), strict=True)]
             yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).select(names)
 
-    out = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__path")), "left").drop("__path").mapInArrow(run, schema)
+    out = docs.join(found, blob_of("text") == F.col("__blob"), "left").drop("__blob").mapInArrow(run, schema)
     return out.withColumn("n_chars", F.char_length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
