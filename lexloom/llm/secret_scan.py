@@ -4,7 +4,8 @@ Every version of every path is content-addressed (SHA-256 of its text). A ledger
 each blob, the rule versions that have scanned it and what they found. A batch scans only
 the pairs of blob and rule version that the ledger lacks, one representative per blob, and
 findings are joined back to all paths that hold the blob. A batch is one directory written
-by Spark's commit protocol, so a retried task or batch leaves no duplicates.
+by Spark's commit protocol, so a retried task or batch leaves no duplicates; it counts once it
+is committed.
 
 Cases: a null text is the empty text; a null path is a path like any other; repeated rows
 each get a result; an empty table gives no rows; other columns are ignored.
@@ -13,8 +14,10 @@ each get a result; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,13 +72,28 @@ class BlobLedger:
     def __init__(self, spark: SparkSession, path: str, rules: tuple[Rule, ...] = RULES):
         self.spark, self.path, self.rules = spark, path, rules
 
+    def _fs(self, path: str):
+        own = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return own, own.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _batch(self, name: str) -> str:
+        return f"{self.path}/batch={quote(name, safe='')}"
+
+    def _is_committed(self, path: str) -> bool:
+        own, fs = self._fs(f"{path}/_SUCCESS")
+        return fs.exists(own)
+
+    def committed(self) -> list[str]:
+        """The directories of the committed batches."""
+        own, fs = self._fs(self.path)
+        if not fs.exists(own):
+            return []
+        return sorted(p for p in (str(x.getPath().toString()) for x in fs.listStatus(own)) if self._is_committed(p))
+
     def entries(self) -> DataFrame:
-        """All entries of all batches."""
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
-            return self.spark.createDataFrame([], LEDGER_SCHEMA)
-        return self.spark.read.schema(LEDGER_SCHEMA).option("recursiveFileLookup", "true").parquet(self.path)
+        """All entries of all committed batches."""
+        paths = self.committed()
+        return self.spark.read.schema(LEDGER_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], LEDGER_SCHEMA)
 
     def pending(self, versions: DataFrame) -> DataFrame:
         """(blob, path, rules): for each blob with unseen rule versions, the path of one version and those rules."""
@@ -86,7 +104,10 @@ class BlobLedger:
         return blobs.join(seen, "blob", "left").select("blob", "path", todo.alias("rules")).where(F.size("rules") > 0)
 
     def scan(self, versions: DataFrame, batch: str) -> None:
-        """Scans what is unseen of ``versions`` (path, text) and commits it as ``batch``; a batch that ran before is replaced."""
+        """Scans what is unseen of ``versions`` (path, text) and commits it as ``batch``.
+
+        An unfinished batch is replaced. To a committed one only what no batch has is added, so committing it again changes nothing.
+        """
         rules = {r.key: r for r in self.rules}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +123,9 @@ class BlobLedger:
         # Paths are dealt evenly whatever their texts, so the join is on the path and not on the blob alone.
         work = keyed.join(todo, F.col("path").eqNullSafe(F.col("p")) & (F.col("blob") == F.col("b")))
         out = work.select("blob", "rules", "text").mapInArrow(run, LEDGER_SCHEMA)
-        out.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        path = self._batch(batch)
+        # Entries are read while this is written, so nothing that they come from may be removed.
+        out.write.mode("append" if self._is_committed(path) else "overwrite").parquet(path)
 
     def findings(self) -> DataFrame:
         """(blob, findings) of the current rule versions, for blobs that have any."""
@@ -136,11 +159,11 @@ def joined(findings: Column, rules) -> Column:
     return F.concat_ws(",", F.transform(F.array_sort(keyed), lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))))
 
 
-def scan_documents(spark: SparkSession, docs: DataFrame, ledger_path: str | None = None, batch: str = "0") -> DataFrame:
-    """(path, findings) of ``docs`` (doc_id, text), through the ledger at ``ledger_path`` or a new one."""
+def scan_documents(spark: SparkSession, docs: DataFrame, ledger_path: str | None = None, batch: str | None = None) -> DataFrame:
+    """(path, findings) of ``docs`` (doc_id, text), through the ledger at ``ledger_path`` or a new one, as ``batch`` or a new one."""
     ledger = BlobLedger(spark, ledger_path or new_path(spark, "ledger"))
     versions = docs.select(F.col("doc_id").alias("path"), "text")
-    ledger.scan(versions, batch)
+    ledger.scan(versions, batch or uuid.uuid4().hex)
     return ledger.by_path(versions)
 
 
