@@ -10,8 +10,9 @@ more, and the components follow on Spark. More fingerprints take more blocks, so
 small; none of these choices loses a link.
 
 Cases: a null text is the empty text, with fingerprint 0; documents without an id are linked
-like any other, but never name a component (one that has no ids has none); repeated rows each
-get a result; an empty table gives no rows; other columns are ignored.
+like any other, but never name a component (one that has no ids has none), and deduplication
+keeps one of them besides the one with an id; repeated rows each get a result; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,15 +55,16 @@ def simhash(text: bytes, k: int = WORDS) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """(doc_id, fp) of all rows; fp holds the 64 bits as a signed number."""
+def fingerprints(docs: DataFrame, k: int = WORDS, others: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) of all rows, and the binary columns ``others``; fp holds the 64 bits as a signed number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             fps = np.array([simhash(t or b"", k) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps), *(batch.column(c) for c in others)], names=["doc_id", "fp", *others])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    schema = ", ".join(["doc_id long, fp long", *(f"{c} binary" for c in others)])
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), *others).mapInArrow(run, schema)
 
 
 # --- comparison within a bucket ------------------------------------------------------------
@@ -215,23 +217,37 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = None)
     return rows.repartition(n, "t", "key", "pair").sortWithinPartitions("t", "key", "pair").mapInArrow(_bucket_links(radius), "a long, b long")
 
 
+def grouped(rows: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """(fp, first, component) of the distinct fingerprints of ``rows`` (doc_id, fp): the smallest id, and the component's smallest fingerprint."""
+    distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    found = components(links(distinct.select("fp"), radius, blocks))
+    return distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, k: int = WORDS, blocks: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of all rows of ``docs`` (doc_id, text)."""
     rows = staged(fingerprints(docs, k), "fingerprints")
-    distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    found = components(links(distinct.select("fp"), radius, blocks))
-    grouped = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    names = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = grouped.join(names, "component").select("fp", "component_id")
+    members = grouped(rows, radius, blocks)
+    names = members.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = members.join(names, "component").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, radius: int = RADIUS, k: int = WORDS) -> DataFrame:
-    """One document of each component, the one with the smallest id, once; documents without an id stay."""
-    found = near_duplicates(docs, radius, k)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("__kept")).drop("__kept").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One document of each component, and one of its documents without an id, if it has any.
+
+    It is the one with the smallest id; of equal ids, the one whose text hashes lowest.
+    """
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    own = F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), F.lit(b"|"), text), 256))
+    docs = docs.withColumn("__row", own)
+    rows = staged(fingerprints(docs, k, ("__row",)), "fingerprints")
+    least = lambda of: F.min(of).alias("least")
+    # By fingerprint first, so a component with many rows is a few when it meets.
+    by_fp = rows.groupBy("fp", F.col("doc_id").isNull().alias("lone")).agg(least(F.struct("doc_id", "__row")))
+    by_component = by_fp.join(grouped(rows, radius).select("fp", "component"), "fp").groupBy("component", "lone").agg(least("least"))
+    kept = by_component.select("least.__row")
+    return docs.dropDuplicates(["__row"]).join(kept, "__row", "left_semi").drop("__row")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,6 +95,17 @@ def test_one_of_each_group_stays(messy):
     assert kept.where("doc_id IS NULL").count() == 2
 
 
+def test_one_of_each_group_stays_whatever_the_ids(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(30)) for w in ("ab", "cd", "ef"))
+    rows = [(None, a, 1), (None, a, 1), (None, a.upper(), 1), (None, b, 2), (7, c, 3), (7, c, 3), (7, b, 2), (8, b, 2), (9, None, 4), (9, c, 3)]
+    for part in (rows, rows[::-1]):
+        got = simhash.deduplicate(spark.createDataFrame(part, "doc_id long, text string, topic int").repartition(3)).collect()
+        assert sorted(((r["doc_id"], r["topic"]) for r in got), key=str) == [(7, 2), (7, 3), (9, 4), (None, 1), (None, 2)]
+    # Of a group named by an id that another group shares, one document stays.
+    rows = [(1, a), (1, b), (2, a), (3, b)]
+    assert sorted(map(tuple, simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == [(1, a), (1, b)]
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     links = [(i, i + 1) for i in range(0, 300)] + [(1000, x) for x in range(1001, 1400)] + [(int(a), int(b)) for a, b in rng.integers(2000, 2600, (250, 2))] + [(5, 5), (7, 8)]
