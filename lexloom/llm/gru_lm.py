@@ -43,8 +43,8 @@ SYMBOLS = CLASSES * IN_CLASS
 WORDS = SYMBOLS - BUCKETS - 1
 #: Training: documents of the first sample and passes over it, rounds over all, streams, steps back, rate.
 FIRST_DOCUMENTS, FIRST_PASSES, ROUNDS, STREAMS, BACK, RATE = 512, 4, 2, 512, 12, 0.004
-#: Scoring: streams, steps whose outputs are computed at once.
-LANES, SPAN = 512, 32
+#: Scoring: streams, steps whose outputs are computed at once, steps laid out at once (a multiple of SPAN).
+LANES, SPAN, LAID = 512, 32, 512
 END = b""
 
 
@@ -207,27 +207,39 @@ def log_likelihoods(params, documents: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(-loads, kind="stable")
     loads = loads[order]
     by_symbol = params["embedding"] @ params["input"] + params["bias"]
-    y = np.zeros((int(loads.max(initial=0)), len(lanes)), dtype=np.int16)
-    of = np.zeros(y.shape, dtype=np.int32)
-    for k, lane in enumerate(order.tolist()):
-        y[: loads[k], k] = np.concatenate([documents[d] for d in lanes[lane]])
-        of[: loads[k], k] = np.repeat(lanes[lane], lengths[lanes[lane]])
-    x = np.zeros_like(y)
-    x[1:] = y[:-1]
+    symbols = [np.concatenate([documents[d] for d in lanes[lane]]) for lane in order.tolist()]
+    owners = [np.repeat(np.array(lanes[lane], dtype=np.int32), lengths[lanes[lane]]) for lane in order.tolist()]
     h = np.zeros((len(lanes), WIDTH), np.float32)
-    for at in range(0, len(y), SPAN):
-        stop = min(at + SPAN, len(y))
-        states, rows, live = [], [], np.searchsorted(-loads, -np.arange(at, stop), side="left")  # lanes longer than t
-        for t, n in zip(range(at, stop), live.tolist(), strict=True):
+    longest = int(loads.max(initial=0))
+    for at in range(0, longest, SPAN):
+        stop = min(at + SPAN, longest)
+        live = np.searchsorted(-loads, -np.arange(at, stop), side="left").tolist()  # lanes longer than t
+        if at % LAID == 0:  # only so many steps of the live lanes are laid out, so one long document doesn't widen all lanes
+            x, y, of = laid(symbols[: live[0]], owners[: live[0]], at, min(at + LAID, longest))
+        own, states = at % LAID, []
+        for t, n in enumerate(live, own):
             h = step(by_symbol[x[t, :n]], h[:n] * (x[t, :n] != 0).astype(np.float32)[:, None], params["state"])[0]
             states.append(h)
-            rows.append(n)
-        targets = np.concatenate([y[t, :n] for t, n in zip(range(at, stop), rows, strict=True)]).astype(np.int64)
+        targets = np.concatenate([y[t, :n] for t, n in enumerate(live, own)]).astype(np.int64)
         log_p, _ = outputs(params, np.concatenate(states), targets)
-        out += np.bincount(np.concatenate([of[t, :n] for t, n in zip(range(at, stop), rows, strict=True)]), weights=log_p, minlength=len(out))
+        out += np.bincount(np.concatenate([of[t, :n] for t, n in enumerate(live, own)]), weights=log_p, minlength=len(out))
     return out
 
 
+def laid(symbols: list[np.ndarray], owners: list[np.ndarray], at: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Steps ``at`` to ``stop`` of lanes, steps by lanes: the symbols before, the symbols, and their documents."""
+    x, y = (np.zeros((stop - at, len(symbols)), dtype=np.int16) for _ in range(2))
+    of = np.zeros(y.shape, dtype=np.int32)
+    for k, (lane, owner) in enumerate(zip(symbols, owners, strict=True)):
+        part = lane[at:stop]
+        y[: len(part), k] = part
+        of[: len(part), k] = owner[at:stop]
+        if at:
+            x[0, k] = lane[at - 1]
+    x[1:] = y[:-1]
+    return x, y, of
+
+
 # --- words ---------------------------------------------------------------------------------
 
 

@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -75,6 +76,17 @@ def test_documents_in_lanes_score_as_alone(monkeypatch):
     assert len(G.log_likelihoods(params, [])) == 0
 
 
+def test_one_long_document_does_not_widen_all_lanes():
+    rng = np.random.default_rng(6)
+    docs = [np.append(rng.integers(1, G.SYMBOLS, n), 0).astype(np.int16) for n in [30_000, *rng.integers(0, 40, 900).tolist()]]
+    tracemalloc.start()
+    got = G.log_likelihoods(G.initial(), docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # 512 lanes of its length would be 123 MB
+    assert got[1:] == pytest.approx(G.log_likelihoods(G.initial(), docs[1:]), rel=1e-4)
+
+
 def test_training_learns_order():
     rng = np.random.default_rng(4)
     text = np.concatenate([np.append(np.resize([1, 2, 3, 4], int(n)), 0) for n in rng.integers(8, 60, 1500)]).astype(np.int16)
