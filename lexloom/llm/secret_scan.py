@@ -46,13 +46,14 @@ class Rule:
 
 
 #: Runs of [0-9a-f] and AKIA[A-Z0-9] are maximal, so a minimum length in the pattern finds the
-#: same spans as filtering the runs afterwards. The letters of the keywords are ASCII only.
+#: same spans as filtering the runs afterwards. The letters of the keywords are ASCII only. No
+#: pattern gives back what a run has taken or starts within a run of its own letters, so each is linear in the text.
 RULES = (
-    Rule("assign", r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    Rule("access", r"AKIA[A-Z0-9]{16,}"),
-    Rule("hex", r"[0-9a-f]{24,}"),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END (?:[A-Z]+ )*PRIVATE KEY-----", base=False),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", base=False),
+    Rule("assign", r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)""", 2, 6),
+    Rule("access", r"AKIA[A-Z0-9]{16,}+"),
+    Rule("hex", r"(?<![0-9a-f])[0-9a-f]{24,}+"),
+    Rule("pem", r"-----BEGIN (?:[A-Z]++ )*?PRIVATE KEY-----[A-Za-z0-9+/=\s]*+-----END (?:[A-Z]++ )*?PRIVATE KEY-----", base=False),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", version=2, base=False),
 )
 
 

@@ -9,9 +9,10 @@ mention moves no score. The model is a few thousand weights; scoring is one pass
 
 Cases: a null text is the empty text, whose score is the model's bias; label rows without a
 document, with a null label or id are ignored, of a document labelled twice the higher label
-holds; without labels of both kinds every score is the share of toxic ones, or 0; documents
-without an id are scored and not held out; repeated rows each get a result; an empty table gives no
-rows; other columns are ignored.
+holds; of rows that share a labelled id the fit sees one; without labels of both kinds every score
+is the share of toxic ones, or 0; documents without an id are scored and not held out; repeated
+rows each get a result; an empty table gives no rows; other columns, also those named like a label,
+are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from lexloom.llm.common import lowest_hashes, slices, staged, table
 
 #: Bounds of the sample that the classifier is fitted on, of each label.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
+#: Different words of a text, summed over the sample's texts, after which it holds no more texts.
+SAMPLE_WORDS = 30_000_000
 #: Features: how many, and the least likelihood ratio statistic (G squared) of one.
 FEATURES, LEAST_G2 = 4096, 14.0
 #: Weights of the squared logit changes under swaps, and of the squared weights.
@@ -185,8 +188,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bounds = {1: SAMPLE_TOXIC, 0: SAMPLE_CLEAN}
     parts = [lowest_hashes(known.where(F.col("toxic") == y), n, counts.get(y, 0)) for y, n in bounds.items()]
-    sample = staged(parts[0].unionByName(parts[1]).coalesce(1), "sample")  # 12,000 ids at most
-    rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
+    sample = parts[0].unionByName(parts[1]).select("doc_id", F.col("toxic").cast("int").alias("__toxic"))
+    sample = staged(sample.coalesce(1), "sample")  # 12,000 ids at most
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", F.col("__toxic").alias("toxic"), "text")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -194,19 +198,22 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(own, pa.string())], names=["doc_id", "toxic", "words"])
 
     def collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample, toxic = Sample(), []
+        sample, toxic, held = Sample(), [], 0
         for batch in slices(batches):
             for y, own in zip(batch.column("toxic").to_pylist(), batch.column("words").to_pylist(), strict=True):
-                sample.add(own.split())
-                toxic.append(y)
+                own = own.split()
+                held += len(own)
+                if held <= SAMPLE_WORDS:
+                    sample.add(own)
+                    toxic.append(y)
         labels = np.array(toxic, dtype=np.int64)
         share = {y: counts.get(y, 0) / max(toxic.count(y), 1) for y in (0, 1)}
         model = fit(sample, labels, np.array([share[y] for y in toxic]))
         yield pa.RecordBatch.from_pydict({"feature": ["", *model.weights], "weight": [model.bias, *model.weights.values()]})
 
-    # Only the words of the sample meet in one task.
-    kind = rows.schema["toxic"].dataType.simpleString()
-    rows = rows.mapInArrow(words, f"doc_id long, toxic {kind}, words string").repartition(1).sortWithinPartitions("doc_id", "words")
+    # Only the words of the sample meet in one task, and of rows that share an id those of one.
+    rows = rows.mapInArrow(words, "doc_id long, toxic int, words string").groupBy("doc_id", "toxic").agg(F.min("words").alias("words"))
+    rows = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
     fitted = {r["feature"]: r["weight"] for r in rows.mapInArrow(collected, "feature string, weight double").collect()}
     return Model(fitted.pop("", -50.0), fitted)
 

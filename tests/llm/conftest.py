@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 LONG = "abc def, ghi. " * 9000
-CLASHES = ("fp", "component_id", "component", "sequence_id", "offset", "tokens", "blob", "path", "rules", "range", "own", "key", "row", "tail", "score", "epochs", "block", "last", "copy", "tile", "pair", "id", "n", "length", "rank", "first")
+CLASHES = ("fp", "component_id", "component", "sequence_id", "offset", "tokens", "blob", "path", "rules", "range", "own", "key", "row", "tail", "score", "epochs", "block", "last", "copy", "tile", "pair", "id", "n", "length", "rank", "first", "toxic", "quality", "label", "weight", "word", "c", "n_tokens", "edges", "member", "found", "lone", "least")
 #: Nulls, empty and very long texts, ties, repeated rows, ids that repeat with other texts.
 MESSY = [
     (5, "The quick brown fox jumps over the lazy dog", "en", "a"),

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,3 +119,25 @@ def test_scans_on_one_ledger(spark):
         docs = spark.createDataFrame([(1, key), (2, "clean")], "doc_id long, text string")
         assert {r["path"]: [f["kind"] for f in r["findings"]] for r in S.scan_documents(spark, docs, path).collect()} == {1: [kind], 2: []}
     assert S.BlobLedger(spark, path).entries().count() == 3
+
+
+HOSTILE = {
+    "web tokens": "eyJ" * 333_333, "dotted": "eyJabcdefgh." * 83_333, "keys": "token=" * 166_666, "spaces": "password" + " " * 1_000_000, "dashes": "-" * 1_000_000,
+    "begins": "-----BEGIN " * 90_909, "words": "-----BEGIN " + "A " * 500_000, "open keys": "-----BEGIN PRIVATE KEY-----" * 37_037, "access": "AKIA " * 200_000, "short hex": ("a" * 23 + "g") * 41_666,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_a_rule_takes_time_linear_in_the_text(name):
+    for rule in S.RULES:
+        began = time.process_time()
+        S.find_spans(HOSTILE[name], [rule])
+        assert time.process_time() - began < 1, rule.kind
+
+
+def test_added_spans():
+    body = "eyJhbGciOiJI.eyJzdWIiOiIx.abcdefgh-_"
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nAbc+/=\n-----END RSA PRIVATE KEY-----"
+    text = f"x {body} {pem} -----BEGIN PRIVATE KEY-----A-----END PRIVATE KEY----- z{body} eyJabcdefgh.eyJ.no"
+    found = [text[a:b] for k, a, b in S.find_spans(text, S.RULES) if k in ("jwt", "pem")]
+    assert found == [pem, "-----BEGIN PRIVATE KEY-----A-----END PRIVATE KEY-----", body]
