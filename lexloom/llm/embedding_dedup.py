@@ -6,12 +6,18 @@ WINDOW or less with a probability that is known. The least number of collisions
 must have follows from the binomial distribution and the recall asked for at the threshold's
 cosine; pairs above it collide more often. Pairs that pass are verified in double precision.
 
-Equal vectors become one class first. Classes are sorted by the first projection and cut into tiles
-of TILE; pairs of tiles further apart than links reach are left out, every other pair is a task.
-There, each direction's values are sorted, the window around a query is two ranks, and the
+Equal vectors become one class first. Of further random directions a class takes, in each of a
+few tables, the one on which its projection is furthest out, with the sign: its bucket. Linked classes
+share one with a probability that depends on the cosine and the number of directions only, so the
+number of tables follows from a recall too. More classes take more directions, so a bucket keeps about
+BUCKET classes and the work and the shuffle of a class grow with the tables, not with the classes.
+Few classes are one bucket of one table, and no link is lost there.
+
+In a bucket, each direction's values are sorted, the window around a query is two ranks, and the
 candidates between them are two rows of a table of prefix bit sets, one xor; collisions of 64
-candidates are added at once in bit-sliced counters. A task gives link counts and a spanning
-forest, never the pairs.
+candidates are added at once in bit-sliced counters. A pair counts in the first table whose bucket it
+shares. A bucket over TILE is cut into tiles whose pairs are compared apart; only classes that all
+lie close together make one. A task gives link counts and a spanning forest, never the pairs.
 
 Cases: vectors that are null, empty, zero, or hold a null or non-finite component have no links and
 are their own component; vectors of different lengths are not linked; vectors without an id count as
@@ -23,19 +29,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import staged, table
+from lexloom.llm.common import spread_join, staged, table
 from lexloom.llm.components import Forest, components
 
 COSINE, PROJECTIONS, WINDOW, RECALL, SEED = 0.9, 32, 0.75, 0.999, 17
-#: Classes a tile, and the share of links that tiles left out may cost.
-TILE, LOST = 8192, 1e-4
-ROWS, CHECKED = 512, 1 << 15
+#: Classes that a bucket should have, that one task compares at most, and the recall of the tables.
+BUCKET, TILE, SHARED = 4096, 8192, 0.998
+#: Directions of a table at most; more buckets than these give are pairs of directions.
+DIRECTIONS = 512
+ROWS, CHECKED = 512, 1 << 21
 
 
 # --- calibration ---------------------------------------------------------------------------
@@ -57,19 +66,52 @@ def least_count(cosine: float = COSINE, recall: float = RECALL, projections: int
     return 0
 
 
-def reach(cosine: float = COSINE, lost: float = LOST) -> float:
-    """How far apart the first projections of links may be, but for ``lost`` of them."""
-    lo, hi = 0.0, 10.0
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (lo, mid) if 1 - math.erf(mid / math.sqrt(2)) < lost else (mid, hi)
-    return hi * math.sqrt(2 - 2 * cosine)
+@cache
+def shared_rate(n: int, cosine: float = COSINE, pairs: int = 40_000) -> float:
+    """The probability that two unit vectors are furthest out on the same one of ``n`` directions, on the same side: by simulation, three deviations less."""
+    rng = np.random.default_rng(SEED)
+    hits = 0
+    for _ in range(0, pairs, 2000):
+        a = rng.standard_normal((2000, n))
+        hits += int((outermost(a) == outermost(cosine * a + math.sqrt(1 - cosine**2) * rng.standard_normal((2000, n)))).sum())
+    p = hits / pairs
+    return p - 3 * math.sqrt(p * (1 - p) / pairs)
+
+
+def tables_for(classes: int, cosine: float = COSINE, shared: float = SHARED) -> tuple[int, int, int]:
+    """(tables, directions, of how many sets of directions a bucket is the outermost ones) for so many classes."""
+    buckets = -(-classes // BUCKET)
+    if buckets <= 2:
+        return 1, 0, 1
+    sets = 1
+    while (2 * DIRECTIONS) ** sets < buckets:
+        sets += 1
+    n = math.ceil(buckets ** (1 / sets) / 2)
+    p = shared_rate(n, cosine) ** sets
+    return math.ceil(math.log(1 - shared) / math.log(1 - p)), n, sets
 
 
 def directions(dim: int, projections: int = PROJECTIONS) -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((projections, dim)).T
 
 
+def outermost(projected: np.ndarray) -> np.ndarray:
+    """For each row the place of the value furthest from 0, times two, and one more where it is positive."""
+    at = np.abs(projected).argmax(axis=1)
+    return 2 * at + (projected[np.arange(len(at)), at] > 0)
+
+
+def buckets_of(u: np.ndarray, tables: int, n: int, sets: int) -> np.ndarray:
+    """The bucket of each row of ``u`` in each table."""
+    out = np.zeros((len(u), tables), dtype=np.int64)
+    if n:
+        for t in range(tables):
+            for k in range(sets):
+                g = np.random.default_rng([SEED, t, k]).standard_normal((n, u.shape[1])).T
+                out[:, t] = out[:, t] * 2 * n + outermost(u @ g)
+    return out
+
+
 # --- comparison of two tiles ---------------------------------------------------------------
 
 
@@ -112,29 +154,27 @@ def passing(a: np.ndarray, b: np.ndarray, least: int, window: float = WINDOW) ->
             yield at, i, j
 
 
-def linked(u: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray, cosine: float) -> np.ndarray:
-    """Mask of the pairs (i, j) of rows of ``u`` and ``v`` with that cosine or more."""
-    if len(i) > 0.02 * len(u) * len(v):
-        return (u @ v.T)[i, j] >= cosine
-    parts = [np.einsum("ij,ij->i", u[i[k : k + CHECKED]], v[j[k : k + CHECKED]]) for k in range(0, len(i), CHECKED)]
-    return np.concatenate(parts) >= cosine
-
+def compare(u: np.ndarray, v: np.ndarray | None, n: np.ndarray, cosine: float, least: int, keys: np.ndarray) -> tuple[np.ndarray, Forest]:
+    """Links of each class (rows of ``u``, then of ``v``; ``n`` vectors each), between the two or, without ``v``, within ``u``.
 
-def compare(u: np.ndarray, v: np.ndarray | None, n: np.ndarray, cosine: float, least: int) -> tuple[np.ndarray, Forest]:
-    """Links of each class (rows of ``u``, then of ``v``; ``n`` vectors each), between the two or, without ``v``, within ``u``."""
+    ``keys``: the classes' buckets in earlier tables, where pairs that share one have been counted.
+    """
     g = directions(u.shape[1])
     other, shift = (u, 0) if v is None else (v, len(u))
-    links, forest = np.zeros(len(n), dtype=np.int64), Forest(len(n))
+    links, forest, step = np.zeros(len(n), dtype=np.int64), Forest(len(n)), max(1, CHECKED // u.shape[1])
     for at, i, j in passing(u @ g, other @ g, least):
         if v is None:
             keep = j > i + at
             i, j = i[keep], j[keep]
-        if not len(i):
-            continue
-        good = linked(u[at : at + ROWS], other, i, j, cosine)
-        x, y = i[good] + at, j[good] + shift
-        links += np.bincount(x, weights=n[y], minlength=len(n)).astype(np.int64) + np.bincount(y, weights=n[x], minlength=len(n)).astype(np.int64)
-        forest.link(x, y)
+        for k in range(0, len(i), step):
+            x, y = i[k : k + step] + at, j[k : k + step]
+            for t in range(keys.shape[1]):
+                new = keys[x, t] != keys[y + shift, t]
+                x, y = x[new], y[new]
+            good = np.einsum("ij,ij->i", u[x], other[y]) >= cosine
+            x, y = x[good], y[good] + shift
+            links += np.bincount(x, weights=n[y], minlength=len(n)).astype(np.int64) + np.bincount(y, weights=n[x], minlength=len(n)).astype(np.int64)
+            forest.link(x, y)
     return links, forest
 
 
@@ -147,51 +187,48 @@ def unit(column: pa.ListArray, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _first_projection(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        dims, out = np.asarray(batch.column("dim")), np.zeros(batch.num_rows)
-        for dim in np.unique(dims):
-            rows = np.flatnonzero(dims == dim)
-            out[rows] = unit(batch.column("embedding").take(pa.array(rows)), int(dim)) @ directions(int(dim))[:, 0]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "first"])
-
-
-def tile_pairs(classes: DataFrame, cosine: float) -> tuple[DataFrame, int]:
-    """``classes`` (id, n, embedding, dim, first) dealt to the pairs of tiles that links may join, and how many pairs there are."""
-    names = classes.columns
-    sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row a length
-    cuts = []
-    for dim, n in sorted(sizes.items()):
-        tiles = -(-n // TILE)
-        at = classes.where(F.col("dim") == dim).agg(F.percentile_approx("first", [k / tiles for k in range(1, tiles)], 20 * tiles)).first()[0] if tiles > 1 else []
-        cuts.append((dim, sorted(set(at or []))))
-    # The tile of a class: its length, and how many cuts lie at or below its first projection.
-    tile, ranges, base = F.lit(None).cast("int"), [], 0
-    for dim, at in cuts:
-        own = F.size(F.filter(F.array(*[F.lit(c) for c in at]), lambda c: c <= F.col("first"))) if at else F.lit(0)
-        tile = F.when(F.col("dim") == dim, own + base).otherwise(tile)
-        edges = [-math.inf, *at, math.inf]
-        ranges += [(dim, a, b) for a, b in zip(edges, edges[1:], strict=False)]
-        base += len(at) + 1
-    far = reach(cosine)
-    pairs = [(a, b) for a in range(base) for b in range(a, base) if ranges[a][0] == ranges[b][0] and ranges[b][1] - ranges[a][2] <= far]
-    of = [[k for k, p in enumerate(pairs) if t in p] for t in range(base)]
-    placed = classes.withColumn("tile", tile)
-    if not pairs:
-        return placed.select(*names, "tile", F.lit(0).alias("pair")), 0
-    own = F.element_at(F.array(*[F.array(*[F.lit(k) for k in x]) for x in of]), F.col("tile") + 1)
-    return placed.select(*names, "tile", F.explode(own).alias("pair")), len(pairs)
-
-
-def _compare_pairs(cosine: float, least: int):
-    def of(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+def with_buckets(classes: DataFrame, tables: int, n: int, sets: int) -> DataFrame:
+    """``classes`` (id, n, embedding, dim) with ``keys``, their buckets by table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, keys = np.asarray(batch.column("dim")), np.zeros((batch.num_rows, tables), dtype=np.int64)
+            for dim in np.unique(dims):
+                rows = np.flatnonzero(dims == dim)
+                keys[rows] = buckets_of(unit(batch.column("embedding").take(pa.array(rows)), int(dim)), tables, n, sets)
+            own = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables), pa.int32()), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, own], names=[*batch.schema.names, "keys"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema)
+    return classes.mapInArrow(run, f"{schema}, keys array<long>")
+
+
+def dealt(classes: DataFrame) -> DataFrame:
+    """``classes`` (id, n, embedding, dim, keys), each in its bucket of every table, sorted by (dim, t, key, pair); ``pair``: of tiles."""
+    rows = classes.select("id", "n", "embedding", "dim", "keys", F.posexplode("keys").alias("t", "key"))
+    large = rows.groupBy("dim", "t", "key").agg(F.count("*").alias("rows")).where(F.col("rows") > TILE)
+    rows = rows.join(large, ["dim", "t", "key"], "left").withColumn("tiles", F.ceil(F.coalesce("rows", F.lit(1)) / TILE).cast("int"))
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda x: F.least(x, F.col("tile")) * F.col("tiles") + F.greatest(x, F.col("tile")))
+    # Of the keys only those of earlier tables are needed.
+    rows = rows.select("dim", "t", "key", F.explode(pairs).alias("pair"), "tile", "id", "n", "embedding", F.slice("keys", F.lit(1), F.col("t")).alias("keys"))
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "dim", "t", "key", "pair").sortWithinPartitions("dim", "t", "key", "pair")
+
+
+def _compare_buckets(cosine: float, least: int):
+    def of(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         whole = pa.Table.from_batches(held).combine_chunks()
+        if whole.num_rows < 2:
+            return None
         tile = np.asarray(whole.column("tile"))
         order = np.argsort(tile, kind="stable")
         whole, tile = whole.take(pa.array(order)), tile[order]
-        x = unit(whole.column("embedding").combine_chunks(), int(whole.column("dim")[0].as_py()))
+        t, dim = int(whole.column("t")[0].as_py()), int(whole.column("dim")[0].as_py())
+        x = unit(whole.column("embedding").combine_chunks(), dim)
+        keys = whole.column("keys").combine_chunks().flatten().to_numpy().reshape(len(x), t)
         ids, n, cut = np.asarray(whole.column("id")), np.asarray(whole.column("n")), int(np.searchsorted(tile, tile[0], side="right"))
-        links, forest = compare(x[:cut], x[cut:] if cut < len(x) else None, n, cosine, least)
+        links, forest = compare(x[:cut], x[cut:] if cut < len(x) else None, n, cosine, least, keys)
         member, root = forest.edges()
         some = np.flatnonzero(links)
         none = pa.nulls(len(some), pa.int64())
@@ -201,20 +238,21 @@ def _compare_pairs(cosine: float, least: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, pair = [], None
+        held, bucket = [], None
         for batch in batches:
-            pairs = np.asarray(batch.column("pair"))
-            starts = [0, *(np.flatnonzero(pairs[1:] != pairs[:-1]) + 1).tolist(), len(pairs)]
+            columns = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("dim", "t", "key", "pair")], axis=1)
+            starts = [0, *(np.flatnonzero((columns[1:] != columns[:-1]).any(axis=1)) + 1).tolist(), len(columns)]
             for a, b in zip(starts, starts[1:], strict=False):
                 if a == b:
                     continue
-                if held and pairs[a] != pair:
-                    yield of(held)
+                if held and tuple(columns[a]) != bucket:
+                    if (found := of(held)) is not None:
+                        yield found
                     held = []
                 held.append(batch.slice(a, b - a))
-                pair = pairs[a]
-        if held:
-            yield of(held)
+                bucket = tuple(columns[a])
+        if held and (found := of(held)) is not None:
+            yield found
 
     return run
 
@@ -224,28 +262,23 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     good = F.coalesce((F.size("embedding") > 0) & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    rows = rows.select("vec_id", F.when(good, F.col("embedding")).alias("embedding"))
-    classes = rows.where("embedding IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").alias("smallest"), F.count("*").alias("n"))
+    # Equal vectors are told by 128 bits of hashes; only these are joined, never the vectors.
+    hashes = [F.xxhash64(F.lit(k), "embedding").alias(f"h{k}") for k in (1, 2)]
+    own = rows.where(good).select("vec_id", *hashes, "embedding")
+    classes = own.groupBy("h1", "h2").agg(F.min("vec_id").alias("smallest"), F.count("*").alias("n"), F.any_value("embedding").alias("embedding"))
     # Classes that have no id get a negative one that no other class is likely to have.
-    unnamed = F.lit(-(2**62)) - F.pmod(F.xxhash64("embedding"), F.lit(2**61))
-    classes = classes.withColumn("id", F.coalesce("smallest", unnamed)).withColumn("dim", F.size("embedding"))
-    kind = classes.schema["embedding"].dataType.simpleString()
-    classes = staged(classes.mapInArrow(_first_projection, f"embedding {kind}, smallest long, n long, id long, dim int, first double"), "classes")
-    tiled, n = tile_pairs(classes.select("id", "n", "embedding", "dim", "first"), cosine)
-    run = _compare_pairs(cosine, least_count(cosine, recall))
-    dealt = tiled.repartitionById(max(1, min(n, 8192)), F.col("pair")).sortWithinPartitions("pair")
-    found = staged(dealt.mapInArrow(run, "a long, b long, links long"), "links")
+    unnamed = F.lit(-(2**62)) - F.pmod(F.col("h1"), F.lit(2**61))
+    classes = staged(classes.select(F.coalesce("smallest", unnamed).alias("id"), "smallest", "n", "h1", "h2", F.size("embedding").alias("dim"), "embedding"), "classes")
+    bucketed = staged(with_buckets(classes.select("id", "n", "dim", "embedding"), *tables_for(classes.count(), cosine)), "bucketed")
+    found = staged(dealt(bucketed).mapInArrow(_compare_buckets(cosine, least_count(cosine, recall)), "a long, b long, links long"), "links")
     counts = found.where("links IS NOT NULL").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "id")
     groups = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "id")
-    named = classes.select("id", "n", "smallest", "embedding").join(counts, "id", "left").join(groups, "id", "left")
-    named = staged(named.withColumn("component", F.coalesce("component", "id")), "named")
-    names = named.groupBy("component").agg(F.min("smallest").alias("component_id"))
-    named = named.join(names, "component").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id", F.lit(True).alias("known"))
-    out = rows.join(named, "embedding", "left").select(
-        "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("known"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"),
-    )
+    named = classes.select("id", "n", "smallest", "h1", "h2").join(counts, "id", "left").join(groups, "id", "left")
+    named = staged(named.select("h1", "h2", "smallest", F.col("n").alias("rows"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")), "named")
+    names = staged(named.groupBy("component").agg(F.min("smallest").alias("component_id"), F.count("*").alias("n")), "names")
+    named = staged(spread_join(named, names, ["component"]).select("h1", "h2", F.col("rows").alias("n"), "n_links", "component_id"), "classes_named")
+    known = spread_join(own.drop("embedding"), named, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
+    out = known.unionByName(rows.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

@@ -79,7 +79,45 @@ def test_recall_at_the_threshold():
     hits = (np.abs(a @ g - c @ g) <= E.WINDOW).sum(1) >= E.least_count()
     other = (np.abs(a @ g - b @ g) <= E.WINDOW).sum(1) >= E.least_count()
     assert hits.mean() >= 0.99 and other.mean() <= 0.01
-    assert (np.abs(a @ g - c @ g)[:, 0] <= E.reach()).mean() >= 0.995
+    for n in (E.BUCKET, 50_000, 10**7, 10**9):  # pairs of which a bucket of some table holds both
+        tables, directions, sets = E.tables_for(n)
+        shared = (E.buckets_of(a[:1000], tables, directions, sets) == E.buckets_of(c[:1000], tables, directions, sets)).any(1)
+        assert shared.mean() >= 0.985, n
+
+
+@pytest.mark.parametrize(("bucket", "tile"), [(64, 8192), (256, 50)])
+def test_many_buckets_against_brute_force(spark, monkeypatch, bucket, tile):
+    """Vectors of two lengths, dealt to several tables and buckets, some cut into tiles: no link is counted twice, few are lost."""
+    monkeypatch.setattr(E, "BUCKET", bucket)
+    monkeypatch.setattr(E, "TILE", tile)
+    rows = clusters() + [(10_000 + i, v) for i, v in clusters(150, 40, 1)] + SPECIAL
+    assert E.tables_for(len(rows))[0] > 2
+    got = {i: r for i, r in enumerate(sorted((tuple(r) for r in E.near_duplicates(frame(spark, rows)).collect()), key=str))}
+    want = {i: r for i, r in enumerate(sorted(brute(rows), key=str))}
+    assert len(got) == len(want)
+    found, whole = sum(r[1] for r in got.values()), sum(r[1] for r in want.values())
+    assert 0.995 * whole <= found <= whole
+    assert sum(got[i] != want[i] for i in want) <= 0.02 * len(want)
+
+
+def test_buckets_stay_small_and_tables_few():
+    rng = np.random.default_rng(5)
+    u = rng.standard_normal((20_000, 32))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    for n in (50_000, 10**6, 10**8, 10**10):
+        tables, directions, sets = E.tables_for(n)
+        assert tables <= 64 and n / (2 * directions) ** sets <= E.BUCKET
+    tables, directions, sets = E.tables_for(10**5)
+    for column in E.buckets_of(u, tables, directions, sets).T:
+        assert np.bincount(column).max() <= 3 * len(u) / (2 * directions) ** sets
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    out = E.op9_embedding_dedup(spark, sf)
+    assert out.dtypes == [("vec_id", "bigint"), ("n_links", "bigint"), ("component_id", "bigint"), ("kept", "boolean")]
+    assert sorted(map(tuple, out.collect())) == sorted(brute(rows))
 
 
 def test_bit_sliced_counts():
