@@ -10,8 +10,8 @@ WHITE = r"\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}
 HORIZONTAL = WHITE.replace(r"\x{9}-\x{d}", r"\x{9}\x{b}-\x{d}")
 TAG = r"<[\p{L}/][^>]*(?:>|\z)"
 WORD = r"[\p{L}\p{N}']+"
-#: Stands for a blank line while single line breaks are joined; a noncharacter of Unicode.
-BLANK = "﷐"
+#: The same characters one by one.
+SPACES = "".join(map(chr, (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def strip_markup(text: Column) -> Column:
@@ -21,11 +21,11 @@ def strip_markup(text: Column) -> Column:
 
 def normalize_space(text: Column) -> Column:
     """Lines trimmed, and joined by a space; where blank lines were, one blank line; inner white space stays."""
-    # Each match starts where a run of white space does and never backs up, so time is linear in the text.
-    text = F.regexp_replace(text, F.lit(rf"^[{WHITE}]++|(?<![{WHITE}])[{WHITE}]++\z"), F.lit(""))
-    text = F.regexp_replace(text, F.lit(rf"(?<![{WHITE}])[{HORIZONTAL}]*+\n[{HORIZONTAL}]*+\n[{WHITE}]*+"), F.lit(BLANK))
-    text = F.regexp_replace(text, F.lit(rf"(?<![{HORIZONTAL}])[{HORIZONTAL}]*+\n[{HORIZONTAL}]*+"), F.lit(" "))
-    return F.replace(text, F.lit(BLANK), F.lit("\n\n"))
+    # No pattern looks at white space other than line feeds, and none backs up, so time is linear in the text.
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x, F.lit(SPACES)))
+    text = F.trim(F.array_join(lines, "\n"), F.lit("\n"))
+    text = F.regexp_replace(text, F.lit(r"\n(?!\n)(?<!\n\n)"), F.lit(" "))
+    return F.regexp_replace(text, F.lit(r"\n\n++"), F.lit("\n\n"))
 
 
 def clean(text: Column) -> Column:

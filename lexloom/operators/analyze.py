@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,28 +19,52 @@ def analyze(
     requests: DataFrame,
     lex_rows,
     key: str = "request_id",
-    fetch: Callable[[str], str] | None = texts.fetch_text,
+    fetch: Callable[[str], str] | str | None = "default",
     config: texts.Config = texts.Config(),  # noqa: B008
     analysis_id: Column | None = None,
+    model: Mapping[str, Column] | None = None,
+    narrator: Callable[[DataFrame], DataFrame] = narrative.with_narrative,
 ) -> tuple[DataFrame, DataFrame]:
     """(responses, rejects) of ``requests`` (key, text, source_type, source_date, source_url).
 
-    Without ``fetch`` the texts of url requests are taken to have been fetched.
+    Addresses of requests whose fields are right are fetched, and then sizes are checked. Without
+    ``fetch`` the texts of url requests are taken to have been fetched. ``model`` replaces scores
+    of traits; ``narrator`` adds the column ``narrative`` to profiles.
     """
-    own = texts.fetched(requests, fetch) if fetch else requests.withColumn("fetch_error", F.lit(None).cast("string"))
+    if fetch == "default":
+        fetch = partial(texts.fetch_text, timeout=config.fetch_timeout, most=config.max_text_size)
+    own = texts.fetched(requests, fetch, validation.field_error().isNull()) if fetch else requests.withColumn("fetch_error", F.lit(None).cast("string"))
     checked = validation.validated(own, config.max_text_size, fetched=True)
     good = checked.where("reject IS NULL").select(key, "text")
-    found = narrative.with_narrative(profile.profiles(good, lex_rows, key, analysis_id))
+    found = narrator(profile.profiles(good, lex_rows, key, analysis_id, model))
     return found.select(key, *RESPONSE, "features"), checked.where("reject IS NOT NULL").select(key, "reject")
 
 
-def analyze_folder(spark: SparkSession, folder: str, lex_rows, source_type: str | None = None, config: texts.Config = texts.Config()) -> DataFrame:  # noqa: B008
-    """The response for all text files of ``folder`` as one document, with ``files_read``; a ValueError where its size is out of bounds."""
-    joined = texts.joined_files(spark, folder).withColumn("folder", F.lit(folder))
-    if error := joined.select(validation.size_error(F.col("text"), config.max_text_size).alias("e")).first()["e"]:
+def analyze_folder(
+    spark: SparkSession,
+    folder: str | None,
+    lex_rows,
+    source_type: str | None = None,
+    config: texts.Config = texts.Config(),  # noqa: B008
+    source_date: str | None = None,
+    model: Mapping[str, Column] | None = None,
+    narrator: Callable[[DataFrame], DataFrame] = narrative.with_narrative,
+) -> DataFrame:
+    """The response for all text files of ``folder``, or the configured one, as one document, with ``files_read``.
+
+    A ValueError says which rule the request fails; the size is known, and checked, before a text is read.
+    """
+    folder = folder or config.dir_path
+    request = spark.createDataFrame([(source_type, source_date)], "source_type string, source_date string")
+    checked = validation.validated_folders(request, folder, config.source_type).first()
+    if checked["reject"]:
+        raise ValueError(checked["reject"])
+    files, size = texts.folder_size(spark, folder)
+    if error := spark.range(1).select(validation.bytes_error(F.lit(size), config.max_text_size, "combined text").alias("e")).first()["e"]:
         raise ValueError(error)
-    found = narrative.with_narrative(profile.profiles(joined, lex_rows, "folder"))
-    return found.join(joined.select("folder", "files_read"), "folder").select(*RESPONSE, "features", "files_read", F.lit(source_type or config.source_type).alias("source_type"))
+    joined = texts.joined_files(spark, folder).select(F.lit(folder).alias("folder"), "text")
+    found = narrator(profile.profiles(joined, lex_rows, "folder", model=model))
+    return found.select(*RESPONSE, "features", F.lit(files).cast("long").alias("files_read"), F.lit(checked["source_type"]).alias("source_type"))
 
 
 def as_json(responses: DataFrame, *extra: str) -> DataFrame:
@@ -51,6 +76,6 @@ def save(store: Store, responses: DataFrame, source_type: str = "paste") -> None
     store.save(rows_of(responses, source_type))
 
 
-def pdf_of(store: Store, analysis_id: str) -> DataFrame:
-    """(analysis_id, pdf) of a saved analysis, or no row."""
-    return narrative.pdfs(store.profile(analysis_id), "analysis_id")
+def pdf_of(store: Store, analysis_id: str, render: Callable[[list[tuple[str, str]]], bytes] = narrative.pdf_bytes) -> DataFrame:
+    """(analysis_id, pdf) of a saved analysis, or no row; ``render`` makes a file of its lines."""
+    return narrative.pdfs(store.profile(analysis_id), "analysis_id", render)

@@ -1,8 +1,8 @@
 """Lexicon features of documents.
 
-Tokens are exploded and looked up in the broadcast lexicon (its size is a lexicon's, not a
-corpus's), and summed per document. All tokens of a document come from one row, so the sums are
-complete before the shuffle, which carries one row a document.
+Tokens are exploded, looked up in the lexicon and summed per document. A lexicon of up to
+L.BROADCAST rows is broadcast; all tokens of a document then come from one row, so the sums are
+complete before the shuffle, which carries one row a document. A larger one is joined as Spark chooses.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def counted(docs: DataFrame, lex_rows: list[tuple[str, str, int]], key: str = "d
     names = category_names(lex_rows)
     wide = L.wide(docs.sparkSession, lex_rows, names)
     words = docs.select(key, F.explode_outer(T.tokens(T.clean(F.col("text")))).alias("word"))
-    hits = words.join(F.broadcast(wide), "word", "left")
+    hits = words.join(L.hinted(wide, len(lex_rows)), "word", "left")
     size = F.octet_length("word")
     known = F.col(f"m_{names[0]}").isNotNull() if names else F.lit(False)
     return hits.groupBy(key).agg(
@@ -63,5 +63,5 @@ def evidence(docs: DataFrame, lex_rows: list[tuple[str, str, int]], key: str = "
     """(key, category, word, hits): which words a document's percents come from."""
     lex = L.lexicon(docs.sparkSession, lex_rows)
     words = docs.select(key, F.explode(T.tokens(T.clean(F.col("text")))).alias("word"))
-    hits = words.join(F.broadcast(lex), "word")
+    hits = words.join(L.hinted(lex, len(lex_rows)), "word")
     return hits.groupBy(key, "category", "word").agg(F.sum("mult").alias("hits"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 from lexloom.functions import scoring as S
 from lexloom.functions import weights as w
@@ -17,10 +15,21 @@ PRODUCT = "lexloom"
 FOOTER = f"Generated by {PRODUCT} from templates. Not a clinical assessment."
 
 
-@pandas_udf(StringType())
-def exact2(x: pd.Series) -> pd.Series:
-    """To two digits by the exact binary value, which no built-in function does."""
-    return x.map(lambda v: None if v is None or v != v else f"{v:.2f}")
+def exact2(value: Column | str) -> Column:
+    """A number from 0 on to two digits by its exact binary value, half to even.
+
+    The nearest double to the tie above the hundredths below decides; a value that is this double is
+    compared with the tie itself in whole multiples of 2**-60, which both are.
+    """
+    v = F.col(value) if isinstance(value, str) else value
+    k = F.floor(v * 100)
+    tie = (2 * k + 1) / F.lit(200.0)
+    part = ((tie - F.floor(tie)) * F.lit(2.0**60)).cast("long").cast("decimal(38,0)") * 200
+    over = part - (2 * k + 1 - 200 * F.floor(tie)).cast("decimal(19,0)") * F.lit(2**60).cast("decimal(19,0)")
+    up = (v > tie) | (v == tie) & F.when(over == 0, k % 2 == 1).otherwise(over > 0)
+    cents = k + F.when(up, 1).otherwise(0)
+    text = F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    return F.when(~F.isnan(v), text)
 
 
 def two(x: Column) -> Column:
@@ -143,13 +152,16 @@ def wrapped(text: str, room: int) -> list[str]:
     return [*out, line]
 
 
-def pdfs(profiles: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, pdf): one file a profile; a profile without narrative has no such section."""
+def pdfs(profiles: DataFrame, key: str = "doc_id", render: Callable[[list[tuple[str, str]]], bytes] = pdf_bytes) -> DataFrame:
+    """(key, pdf): one file a profile; a profile without narrative has no such section.
+
+    ``render`` makes a file of (style, text) lines.
+    """
     kind = profiles.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "pdf": [pdf_bytes([(x["style"], x["text"] or "") for x in lines]) for lines in pdf["lines"]]})
+            yield pd.DataFrame({key: pdf[key], "pdf": [render([(x["style"], x["text"] or "") for x in lines]) for lines in pdf["lines"]]})
 
     own = profiles if "narrative" in profiles.columns else profiles.withColumn("narrative", F.lit(""))
     return pdf_lines(own).select(key, "lines").mapInPandas(run, f"`{key}` {kind}, pdf binary")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +12,20 @@ from lexloom.functions import weights as w
 from lexloom.operators.features import features
 
 
-def scores(feats: DataFrame) -> DataFrame:
-    """Adds the nine traits and the four summary variables, the confidence flag and the interval's half width."""
+def linear_model() -> dict[str, Column]:
+    """The score of each trait by the fixed weights, over ``pct_<category>`` columns."""
+    return {t: S.trait(t) for t in w.TRAITS}
+
+
+def scores(feats: DataFrame, model: Mapping[str, Column] | None = None) -> DataFrame:
+    """Adds the nine traits and the four summary variables, the confidence flag and the interval's half width.
+
+    ``model`` gives the traits' scores as columns of ``feats``, in [0, 1]; without it, or for traits that it lacks, they are linear.
+    """
+    if unknown := set(model or ()) - set(w.TRAITS):
+        raise ValueError(f"not traits: {sorted(unknown)}")
     n, coverage = F.col("word_count"), F.col("coverage")
-    own = {t: S.trait(t) for t in w.TRAITS} | {s: S.summary(s) for s in w.SUMMARY}
+    own = linear_model() | dict(model or {}) | {s: S.summary(s) for s in w.SUMMARY}
     return feats.withColumns(own | {"confidence_flag": S.confidence_flag(n, coverage), "ci_width": S.ci_width(n, coverage)})
 
 
@@ -40,12 +52,12 @@ def trait_struct(name: str) -> Column:
     return F.struct(score.alias("score"), S.percentile(score).cast("int").alias("percentile"), ends.alias("confidence_interval"))
 
 
-def profiles(docs: DataFrame, lex_rows, key: str = "doc_id", analysis_id: Column | None = None) -> DataFrame:
+def profiles(docs: DataFrame, lex_rows, key: str = "doc_id", analysis_id: Column | None = None, model: Mapping[str, Column] | None = None) -> DataFrame:
     """Nested: (key, analysis_id, word_count, dictionary_coverage, confidence_flag, traits, values, summary, features).
 
     ``analysis_id`` is a new random one, or a column such as a digest where it must not change.
     """
-    own = scores(features(docs, lex_rows, key))
+    own = scores(features(docs, lex_rows, key), model)
     names = [c.removeprefix("pct_") for c in own.columns if c.startswith("pct_")]
     pair = lambda names, of: F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[of(n) for n in names]))
     return own.select(

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import hashlib
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +18,8 @@ from lexloom.operators import profile as P
 from lexloom.operators import validation as V
 from lexloom.plans import sql as Q
 from lexloom.sources import lexicon as L
+from lexloom.sources import texts
+from lexloom.sources.shared import new_path, spread
 from lexloom.sources.store import Store, rows_of
 
 DOCS, PAGES = "SELECT doc_id AS k, text FROM documents", "SELECT page_id AS k, html AS text FROM pages"
@@ -32,6 +33,8 @@ REQUESTS = (
     ("ten bytes or more", "email", "2024-02-30", None), ("ten bytes or more", "url", None, "https://example.org/a"), (None, "chat", None, None),
 )
 LARGE = 1_000_001
+#: The id that :func:`doc_profiles` gives document 7.
+ONE_ID = hashlib.sha256(b"7").hexdigest()
 
 
 @cache
@@ -44,31 +47,30 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
-def doc_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.scores(feat.features(docs(spark, sf_dir), lex()))
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")), "page_id")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lexloom-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+def doc_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.scores(feat.features(docs(spark, sf_dir), lex()))
 
 
 # --- text ----------------------------------------------------------------------------------
 
 
 def strip_html(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", T.strip_markup(F.coalesce("html", F.lit(""))).alias("stripped"))
+    return pages(spark, sf_dir).select("page_id", T.strip_markup(F.coalesce("text", F.lit(""))).alias("stripped"))
 
 
 def normalize_ws(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", T.clean(F.col("html")).alias("clean_text"))
+    return pages(spark, sf_dir).select("page_id", T.clean(F.col("text")).alias("clean_text"))
 
 
 def tokenize_counts(spark, sf_dir):
-    own = read(spark, sf_dir, "pages").select("page_id", T.tokens(T.clean(F.col("html"))).alias("t"))
+    own = pages(spark, sf_dir).select("page_id", T.tokens(T.clean(F.col("text"))).alias("t"))
     return own.select("page_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.array_join("t", " ").alias("tokens"))
 
 
@@ -152,7 +154,7 @@ def stylometrics(spark, sf_dir):
 
 
 def coverage_by_lang(spark, sf_dir):
-    own = feat.counted(read(spark, sf_dir, "documents"), lex(), "lang")
+    own = feat.counted(spread(read(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id"), lex(), "lang")
     return own.select("lang", "word_count", "covered", feat.share(F.col("covered"), F.col("word_count")).alias("coverage"))
 
 
@@ -209,8 +211,7 @@ def values_ranked(spark, sf_dir):
 
 
 def analyze_pages(spark, sf_dir):
-    own = read(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))
-    out = P.scores(feat.features(own, lex(), "page_id"))
+    out = P.scores(feat.features(pages(spark, sf_dir), lex(), "page_id"))
     return out.select("page_id", "word_count", "coverage", "confidence_flag", "ci_width", *w.TRAITS, *w.SUMMARY)
 
 
@@ -222,7 +223,7 @@ def corpus_profile(spark, sf_dir):
 
 def source_profile(spark, sf_dir):
     """Sources, each as one document of all its documents: their counts are summed, no text is joined."""
-    out = P.scores(feat.features(read(spark, sf_dir, "documents"), lex(), "source"))
+    out = P.scores(feat.features(spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id"), lex(), "source"))
     return out.select("source", "word_count", "coverage", "confidence_flag", "ci_width", *w.TRAITS, *w.SUMMARY)
 
 
@@ -235,10 +236,29 @@ def narrative(spark, sf_dir):
     return doc_profiles(spark, sf_dir).select("doc_id", "narrative")
 
 
+def stored(spark: SparkSession, sf_dir: str) -> Store:
+    """A new store with the profiles of all documents."""
+    store = Store(spark, new_path(spark, "analyses"))
+    store.save(rows_of(doc_profiles(spark, sf_dir)))
+    return store
+
+
+def get_profile(spark, sf_dir):
+    """The profile with one id, of all that are stored."""
+    own = stored(spark, sf_dir).profile(ONE_ID)
+    trait, summary = F.col("traits")["openness"], F.col("summary")
+    return own.select("analysis_id", "confidence_flag", trait["score"].alias("openness"), trait["confidence_interval"][0].alias("ci_low"), summary["clout"].alias("clout"), F.size("values").cast("long").alias("n_values"), "narrative")
+
+
+def get_analysis(spark, sf_dir):
+    """The row with one id, decoded, of all that are stored."""
+    own = stored(spark, sf_dir).analysis(ONE_ID)
+    return own.select("id", "source_type", "word_count", "dictionary_coverage", "confidence_flag", F.coalesce(F.col("features")["article"], F.lit(0.0)).alias("article"), F.col("profile.traits")["neuroticism"]["score"].alias("neuroticism"))
+
+
 def save_and_get(spark, sf_dir):
     """All profiles saved to a new store, read back and decoded."""
-    store = Store(spark, scratch(spark, "analyses"))
-    store.save(rows_of(doc_profiles(spark, sf_dir)))
+    store = stored(spark, sf_dir)
     rows = store.decoded(store.table())
     return rows.select(
         "id", "source_type", "word_count", "dictionary_coverage", "confidence_flag",
@@ -263,6 +283,59 @@ def profile_pdf(spark, sf_dir):
     return N.pdfs(doc_profiles(spark, sf_dir)).select("doc_id", F.substring("pdf", 1, 5).cast("string").alias("magic"), (F.octet_length("pdf") > 1000).alias("whole"))
 
 
+def url_requests(spark, sf_dir):
+    """Requests for the address of every page, and for one that no page has, of which the crawled pages give the texts."""
+    own = read(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("text"))
+    crawl = own.groupBy("url").agg(F.min("text").alias("text"))
+    each = F.explode(F.array(F.struct(F.lit(0).alias("missing"), F.col("url").alias("u")), F.struct(F.lit(1).alias("missing"), F.concat("url", F.lit("?missing")).alias("u"))))
+    rows = own.select("page_id", each.alias("e")).select("page_id", "e.missing", F.lit(None).cast("string").alias("text"), F.lit("url").alias("source_type"), F.lit(None).cast("string").alias("source_date"), F.col("e.u").alias("source_url"))
+    got = V.validated(texts.fetched_before(rows, crawl, V.field_error().isNull()), fetched=True)
+    return got.select("page_id", "missing", F.octet_length("text").cast("long").alias("bytes"), "reject")
+
+
+def folder_of_benchmark(spark: SparkSession, sf_dir: str) -> str:
+    """A new folder with a text file for each item."""
+    folder = new_path(spark, "texts")
+    texts.write_text_files(read(spark, sf_dir, "benchmark").select(F.format_string("%012d.txt", "item_id").alias("name"), "text"), folder)
+    return folder
+
+
+def folder_files(spark, sf_dir):
+    """A folder of text files as rows."""
+    return texts.text_files(spark, folder_of_benchmark(spark, sf_dir))
+
+
+def folder_document(spark, sf_dir):
+    """A folder of text files as one document."""
+    own = texts.joined_files(spark, folder_of_benchmark(spark, sf_dir)).withColumn("k", F.lit(0))
+    return T.with_stats(own).select("files_read", F.octet_length("text").cast("long").alias("bytes"), "word_count", "paragraph_count", F.md5("clean_text").alias("clean_md5"))
+
+
+def json_requests(spark, sf_dir):
+    """Documents as lines of JSON, each followed by a broken one, read as requests."""
+    whole = F.to_json(F.struct("text", F.lit("blog").alias("source_type"), F.lit("2024-03-15").alias("source_date")))
+    lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.array(whole, F.concat(F.lit("{"), whole))).alias("broken", "value"))
+    return V.parsed(lines, "value", "doc_id", "broken").select("doc_id", "broken", F.when(F.col("broken") == 0, F.md5("text")).alias("text_md5"), "reject")
+
+
+def json_responses(spark, sf_dir):
+    """Responses as lines of JSON, and what a reader of JSON finds in them."""
+    lines = A.as_json(doc_profiles(spark, sf_dir), "doc_id")
+    at = lambda path: F.get_json_object("value", path)
+    return lines.select(
+        at("$.doc_id").cast("long").alias("doc_id"), at("$.analysis_id").alias("analysis_id"), at("$.word_count").cast("long").alias("word_count"), at("$.confidence_flag").alias("confidence_flag"),
+        at("$.traits.openness.score").cast("double").alias("openness"), at("$.traits.openness.confidence_interval[1]").cast("double").alias("ci_high"), at("$.values.value_power").cast("double").alias("power"), at("$.narrative").alias("narrative"),
+    )
+
+
+FOLDER_REQUESTS = ((None, None, "texts"), ("", "2024-03-15", "texts"), ("podcast", "2024-3-15", "texts"), ("email", "2024-02-30", ""), ("email", None, ""), ("chat", "", None), ("file", "2024-02-29", "texts"))
+
+
+def validate_folder_requests(spark, sf_dir):
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(FOLDER_REQUESTS)], "request_id long, source_type string, source_date string, folder string")
+    return V.validated_folders(rows, F.col("folder")).select("request_id", "source_type", "reject")
+
+
 def validate_requests(spark, sf_dir):
     rows = [(i, "x" * LARGE if t == "LARGE" else t, *rest) for i, (t, *rest) in enumerate(REQUESTS)]
     own = spark.createDataFrame(rows, "request_id long, " + V.REQUEST)
@@ -293,7 +366,8 @@ def queries() -> dict:
         strip_html, normalize_ws, tokenize_counts, doc_stats, word_freq, clean_edge_cases, lexicon_categories, lexicon_lookup, category_counts,
         category_percents, coverage, stylometrics, coverage_by_lang, evidence, schwartz_values, confidence_flag, ci_width, trait_percentiles,
         trait_results, trait_labels, label_boundaries, summary_labels, values_ranked, validate_requests, analyze_pages, corpus_profile,
-        source_profile, narrative, save_and_get, analyze_requests, profile_pdf,
+        source_profile, narrative, save_and_get, analyze_requests, profile_pdf, get_profile, get_analysis, url_requests, folder_files,
+        folder_document, json_requests, json_responses, validate_folder_requests,
     )
     return {q.__name__: q for q in own} | {name: traits_query(cols) for name, cols in SCORE_NAMES.items()}
 
@@ -337,6 +411,18 @@ def oracle_sql() -> dict[str, str]:
         "source_profile": f"{Q.scored(rows, "SELECT source AS k, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY source")} {whole('source')}",
         "narrative": f"{scored} SELECT k AS doc_id, {Q.narrative(N.FOOTER)} AS narrative FROM sc",
         "save_and_get": f"{scored} SELECT sha256(k::VARCHAR) AS id, 'file' AS source_type, n AS word_count, coverage AS dictionary_coverage, flag AS confidence_flag, pct_pronoun AS pronoun, openness, {Q.percentile('openness')} AS openness_percentile, clout, length({Q.narrative(N.FOOTER)})::BIGINT AS narrative_chars FROM sc",
+        "get_profile": f"{scored} SELECT sha256(k::VARCHAR) AS analysis_id, flag AS confidence_flag, openness, {Q.round2('greatest(0::DOUBLE, openness - w)')} AS ci_low, clout, 10::BIGINT AS n_values, {Q.narrative(N.FOOTER)} AS narrative FROM sc WHERE sha256(k::VARCHAR) = '{ONE_ID}'",
+        "get_analysis": f"{scored} SELECT sha256(k::VARCHAR) AS id, 'file' AS source_type, n AS word_count, coverage AS dictionary_coverage, flag AS confidence_flag, pct_article AS article, neuroticism FROM sc WHERE k = 7",
+        "url_requests": rf"WITH c AS (SELECT url, min(html) AS t FROM pages GROUP BY url), r AS (SELECT page_id, m AS missing, CASE m WHEN 0 THEN url ELSE url || '?missing' END AS u FROM pages, (VALUES (0), (1)) v(m)) SELECT page_id, missing, strlen(coalesce(t, CASE WHEN c.url IS NOT NULL THEN '' END))::BIGINT AS bytes, CASE WHEN coalesce(u, '') = '' THEN 'source_url is required when source_type=url' WHEN NOT regexp_full_match(u, '[A-Za-z][A-Za-z0-9+.-]*:(//)?[^\s/]\S*') THEN 'SourceURL: url' WHEN c.url IS NULL THEN 'failed to fetch URL: not in the crawl' WHEN strlen(coalesce(t, '')) < {V.LEAST_BYTES} THEN 'text must be at least 10 characters' WHEN strlen(t) > {V.MAX_BYTES} THEN 'text exceeds max size' END AS reject FROM r LEFT JOIN c ON c.url = u",
+        "folder_files": "SELECT printf('%012d.txt', item_id) AS name, coalesce(text, '') AS text FROM benchmark",
+        "folder_document": f"WITH j AS (SELECT 0 AS k, count(*)::BIGINT AS files, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY item_id) AS t FROM benchmark), {Q.cleaned('SELECT k, t AS text FROM j')} SELECT files AS files_read, strlen(t)::BIGINT AS bytes, len(toks)::BIGINT AS word_count, len(list_filter(string_split(c, chr(10) || chr(10)), lambda x: x <> ''))::BIGINT AS paragraph_count, md5(c) AS clean_md5 FROM clean JOIN j USING (k)",
+        "json_requests": f"SELECT doc_id, b AS broken, CASE b WHEN 0 THEN md5(text) END AS text_md5, CASE WHEN b = 1 THEN 'invalid JSON' WHEN strlen(coalesce(text, '')) < {V.LEAST_BYTES} THEN 'text must be at least 10 characters' WHEN strlen(text) > {V.MAX_BYTES} THEN 'text exceeds max size' END AS reject FROM documents, (VALUES (0), (1)) v(b)",
+        "json_responses": f"{scored} SELECT k AS doc_id, sha256(k::VARCHAR) AS analysis_id, n AS word_count, flag AS confidence_flag, openness, {Q.round2('least(1::DOUBLE, openness + w)')} AS ci_high, pct_value_power AS power, {Q.narrative(N.FOOTER)} AS narrative FROM sc",
+        "validate_folder_requests": rf"""SELECT i::BIGINT AS request_id, coalesce(nullif(s, ''), 'file') AS source_type, coalesce(nullif(concat_ws('; ',
+          CASE WHEN coalesce(s, '') <> '' AND s NOT IN ({', '.join(map(Q.quoted, V.SOURCE_TYPES))}) THEN 'SourceType: oneof' END,
+          CASE WHEN coalesce(d, '') <> '' AND NOT (regexp_full_match(d, '\d{{4}}-\d{{2}}-\d{{2}}') AND try_strptime(d, '%Y-%m-%d') IS NOT NULL) THEN 'SourceDate: datetime' END), ''),
+          CASE WHEN coalesce(f, '') = '' THEN 'dir_path not configured' END) AS reject
+          FROM (VALUES {', '.join(f"({i}, {', '.join(map(sql_text, r))})" for i, r in enumerate(FOLDER_REQUESTS))}) v(i, s, d, f)""",
         "analyze_requests": f"{scored}, r AS (SELECT doc_id, CASE WHEN strlen(coalesce(text, '')) < {V.LEAST_BYTES} THEN 'text must be at least 10 characters' WHEN strlen(text) > {V.MAX_BYTES} THEN 'text exceeds max size' END AS reject FROM documents) SELECT doc_id AS request_id, CASE WHEN reject IS NULL THEN sha256(k::VARCHAR) END AS analysis_id, CASE WHEN reject IS NULL THEN n END AS word_count, CASE WHEN reject IS NULL THEN flag END AS confidence_flag, CASE WHEN reject IS NULL THEN openness END AS openness, reject FROM sc JOIN r ON r.doc_id = k",
         **{name: f"{scored} SELECT k AS doc_id, {', '.join(cols)} FROM sc" for name, cols in SCORE_NAMES.items()},
     }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.sources.shared import file_system
+
 SCHEMA = "id string, source_type string, word_count long, dictionary_coverage double, features_json string, scores_json string, confidence_flag string, created_at timestamp"
 TRAIT = "struct<score:double,percentile:int,confidence_interval:array<double>>"
 PROFILE = (
@@ -40,8 +42,8 @@ class Store:
             self.spark.createDataFrame([], SCHEMA).write.parquet(self.path)
 
     def exists(self) -> bool:
-        own = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        return own.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(own)
+        own, fs = file_system(self.spark, self.path)
+        return fs.exists(own)
 
     def table(self) -> DataFrame:
         return self.spark.read.schema(SCHEMA).parquet(self.path)

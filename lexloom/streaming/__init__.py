@@ -8,13 +8,13 @@ from pyspark.sql.streaming import StreamingQuery
 from lexloom.operators.profile import profiles
 
 
-def profile_stream(docs: DataFrame, lex_rows, path: str, checkpoint: str, key: str = "doc_id") -> StreamingQuery:
+def profile_stream(docs: DataFrame, lex_rows, path: str, checkpoint: str, key: str = "doc_id", model=None) -> StreamingQuery:
     """Writes the profiles of the stream ``docs`` (key, text) below ``path``, a folder for each micro-batch.
 
     A document is one row, so no state is kept between batches; a batch that runs again replaces its folder.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        profiles(batch, lex_rows, key).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        profiles(batch, lex_rows, key, model=model).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

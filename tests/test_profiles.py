@@ -1,6 +1,8 @@
 """Narratives, PDF files, the store, sources, validation, streams, the registered queries."""
 
 import json
+import math
+import os
 
 import duckdb
 import pytest
@@ -134,7 +136,7 @@ def test_stream(spark, tmp_path):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "labels"):
+    for t in ("documents", "pages", "conversations", "labels", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
@@ -160,3 +162,111 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["doc_id", *w.BIG_FIVE_TRAITS] and df.count() == 200
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_exact_digits_of_many_numbers(spark):
+    """Against C's formatting: all ties, their neighbours, and percents of counts."""
+    ties = [(2 * k + 1) / 200 for k in range(20_000)]
+    values = ties + [math.nextafter(x, y) for x in ties for y in (0.0, 1e9)] + [a / b * 100 for b in (7, 32, 123, 800, 1600) for a in range(b + 1)] + [0.0, 1e-300, 0.005, 99.995, 300.0, 12345.675]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i long, x double").orderBy("i").select(N.exact2("x")).collect()]
+    assert got == [f"{x:.2f}" for x in values]
+    assert [r[0] for r in spark.createDataFrame([(None,), (float("nan"),)], "x double").select(N.exact2(F.col("x"))).collect()] == [None, None]
+
+
+def test_narratives_have_no_python(spark):
+    plan = Q.narrative(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_lookup_reads_by_the_id(spark, profiles, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/analyses")
+    store.save(rows_of(profiles))
+    plan = store.profile("id-1")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(id,id-1)" in plan and "features_json" not in plan.split("ReadSchema")[1]
+
+
+def test_only_valid_requests_are_fetched_and_once(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def fetch(url):
+        (log / os.urandom(8).hex()).write_text(url)
+        return "text of ten bytes or more"
+
+    rows = [(1, None, "url", "2024-13-99", "http://a.example"), (2, None, "url", None, "http://b.example"), (3, "kept", "blog", None, "http://c.example"), (4, None, "url", None, "http://b.example"), (5, None, "url", None, "nonsense")]
+    responses, rejects = A.analyze(spark.createDataFrame(rows, "request_id long, " + V.REQUEST), LEX, fetch=fetch)
+    assert {r["request_id"] for r in responses.collect()} == {2, 4}
+    assert {r["request_id"]: r["reject"] for r in rejects.collect()} == {1: "SourceDate: datetime", 3: "text must be at least 10 characters", 5: "SourceURL: url"}
+    assert [f.read_text() for f in log.iterdir()] == ["http://b.example"]
+    for url in ("file:///etc/hosts", "ftp://x.example/y"):
+        with pytest.raises(ValueError, match="not an http address"):
+            texts.fetch_text(url)
+
+
+def test_folder_rules(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.txt").write_text("x" * 50)
+    folder = f"file://{tmp_path}"
+    for own, rule in (({"folder": None}, "dir_path not configured"), ({"source_type": "podcast", "folder": None}, "SourceType: oneof"), ({"source_date": "2024-02-30"}, "SourceDate: datetime")):
+        with pytest.raises(ValueError, match=rule):
+            A.analyze_folder(spark, **({"folder": folder, "lex_rows": LEX} | own))
+    monkeypatch.setattr(texts, "joined_files", lambda *a: pytest.fail("read before the size was checked"))
+    for most, rule in ((49, "combined text exceeds max size"), (0, None)):
+        if rule:
+            with pytest.raises(ValueError, match=rule):
+                A.analyze_folder(spark, folder, LEX, config=texts.Config(max_text_size=most))
+    (tmp_path / "a.txt").write_text("x" * 9)
+    with pytest.raises(ValueError, match="combined text must be at least 10 characters"):
+        A.analyze_folder(spark, None, LEX, config=texts.Config(dir_path=folder))
+
+
+def test_config(spark, tmp_path):
+    assert texts.Config.load(spark) == texts.Config()
+    (tmp_path / "c.yaml").write_text("app: {http: {port: '1'}}\nmiddleware: {timeout_in_second: 7}\ningest: {max_text_size: 20, dir_path: texts}\nanalyze: {dictionary_path: d.json}\nprofile: {db_path: p}\n")
+    path = f"file://{tmp_path}/c.yaml"
+    want = texts.Config(max_text_size=20, fetch_timeout=7.0, dir_path="texts", dictionary_path="d.json", db_path="p")
+    assert texts.Config.load(spark, path) == want
+    spark.conf.set("spark.lexloom.max_text_size", "30")
+    try:
+        assert texts.Config.load(spark, path).max_text_size == 30
+    finally:
+        spark.conf.unset("spark.lexloom.max_text_size")
+
+
+def test_models_and_renderers_are_parameters(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "happy happy sad words and more")], "request_id long, text string")
+    requests = docs.selectExpr("*", "'blog' AS source_type", "CAST(NULL AS string) AS source_date", "CAST(NULL AS string) AS source_url")
+    model = {"openness": F.lit(0.9), "neuroticism": F.col("pct_positive_emotion") / 100}
+    responses, _ = A.analyze(requests, LEX, fetch=None, model=model, narrator=lambda p: p.withColumn("narrative", F.concat(F.lit("own: "), F.col("confidence_flag"))))
+    r = responses.first()
+    assert r["traits"]["openness"]["score"] == 0.9 and r["traits"]["neuroticism"]["score"] == pytest.approx(2 / 6) and r["traits"]["need_for_closure"]["score"] == 0.5
+    assert r["narrative"] == "own: low"
+    store = Store(spark, f"file://{tmp_path}/a")
+    saved = spark.createDataFrame(responses.collect(), responses.schema)
+    A.save(store, saved, "blog")
+    pdf = A.pdf_of(store, saved.first()["analysis_id"], render=lambda lines: "|".join(t for _, t in lines).encode()).first()["pdf"]
+    assert bytes(pdf).startswith(b"Psychological Profile|Confidence level: low")
+    with pytest.raises(ValueError, match="not traits"):
+        P.profiles(docs, LEX, "request_id", model={"luck": F.lit(1.0)})
+
+
+def test_shared_folder(spark, monkeypatch):
+    from lexloom.sources import shared
+
+    path = shared.new_path(spark, "x")
+    assert path.startswith(spark.conf.get("spark.checkpoint.dir")) and shared.new_path(spark, "x") != path
+
+    class Cluster:
+        conf = {}
+        sparkContext = type("C", (), {"getConf": lambda self: {}, "getCheckpointDir": lambda self: None, "master": "spark://host:7077", "applicationId": "a"})()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Cluster())
+    Cluster.sparkContext.__class__.getCheckpointDir = lambda self: "hdfs://x/y/"
+    assert shared.shared_dir(Cluster()) == "hdfs://x/y"
+
+
+def test_few_splits_are_dealt_to_all_cores(spark):
+    from lexloom.sources.shared import spread
+
+    df = spark.range(100).repartition(1)
+    assert spread(df, "id").rdd.getNumPartitions() == 4 and spread(spark.range(100, numPartitions=9), "id").rdd.getNumPartitions() == 9
