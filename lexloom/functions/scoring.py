@@ -25,10 +25,7 @@ def clamp(x: Column) -> Column:
 
 
 def linear(terms: tuple[tuple[str, float], ...], start: float = w.START) -> Column:
-    score = F.lit(start)
-    for category, weight in terms:
-        score = score + F.lit(weight) * pct(category)
-    return clamp(score)
+    return clamp(F.expr(" + ".join([f"{start!r}D", *(f"{weight!r}D * `pct_{category}`" for category, weight in terms)])))
 
 
 def trait(name: str) -> Column:
@@ -65,7 +62,7 @@ PERCENTILES = [0.5 + 0.12 * NormalDist().inv_cdf((k - 0.5) / 100) for k in range
 
 
 def percentile(score: Column) -> Column:
-    bounds = F.array(*[F.lit(p) for p in PERCENTILES])
+    bounds = F.expr(f"array({', '.join(f'{p!r}D' for p in PERCENTILES)})")
     return F.lit(1) + F.size(F.filter(bounds, lambda p: p <= score))
 
 

@@ -37,7 +37,7 @@ def counted(docs: DataFrame, lex_rows: list[tuple[str, str, int]], key: str = "d
         F.sum(F.when(known, 1).otherwise(0)).alias("covered"),
         F.coalesce(F.sum(size), F.lit(0)).alias("word_bytes"),
         F.sum(F.when(size >= BIG_WORD_BYTES, 1).otherwise(0)).alias("big_words_seen"),
-        *[F.coalesce(F.sum(f"m_{c}"), F.lit(0)).alias(f"cnt_{c}") for c in names],
+        *[F.expr(f"coalesce(sum(`m_{c}`), 0) AS `cnt_{c}`") for c in names],
     )
 
 
@@ -55,7 +55,7 @@ def features(docs: DataFrame, lex_rows: list[tuple[str, str, int]], key: str = "
         share(F.col("covered"), n).alias("coverage"),
         share(F.col("word_bytes"), n).alias("avg_word_length"),
         share(F.col("big_words_seen"), n).alias("big_word_ratio"),
-        *[F.when(n > 0, F.col(f"cnt_{c}") / n * 100).otherwise(F.lit(0.0)).alias(f"pct_{c}") for c in category_names(lex_rows)],
+        *[F.expr(f"if(word_count > 0, `cnt_{c}` / word_count * 100, 0D) AS `pct_{c}`") for c in category_names(lex_rows)],
     )
 
 

@@ -16,20 +16,26 @@ FOOTER = f"Generated by {PRODUCT} from templates. Not a clinical assessment."
 
 
 def exact2(value: Column | str) -> Column:
-    """A number from 0 on to two digits by its exact binary value, half to even.
+    """A number from 0 on to two digits by its exact binary value, half to even."""
+    return all_exact2(F.array(value))[0]
+
+
+def all_exact2(values: Column) -> Column:
+    """Each number of an array from 0 on to two digits by its exact binary value, half to even.
 
     The nearest double to the tie above the hundredths below decides; a value that is this double is
     compared with the tie itself in whole multiples of 2**-60, which both are.
     """
-    v = F.col(value) if isinstance(value, str) else value
-    k = F.floor(v * 100)
-    tie = (2 * k + 1) / F.lit(200.0)
-    part = ((tie - F.floor(tie)) * F.lit(2.0**60)).cast("long").cast("decimal(38,0)") * 200
-    over = part - (2 * k + 1 - 200 * F.floor(tie)).cast("decimal(19,0)") * F.lit(2**60).cast("decimal(19,0)")
-    up = (v > tie) | (v == tie) & F.when(over == 0, k % 2 == 1).otherwise(over > 0)
-    cents = k + F.when(up, 1).otherwise(0)
-    text = F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
-    return F.when(~F.isnan(v), text)
+    tied = F.transform(values, lambda v: F.struct(v.alias("v"), F.floor(v * 100).alias("k"), ((2 * F.floor(v * 100) + 1) / F.lit(200.0)).alias("tie")))
+
+    def cents(x: Column) -> Column:
+        v, k, tie = x["v"], x["k"], x["tie"]
+        part = ((tie - F.floor(tie)) * F.lit(2.0**60)).cast("long").cast("decimal(38,0)") * 200
+        over = part - (2 * k + 1 - 200 * F.floor(tie)).cast("decimal(19,0)") * F.lit(2**60).cast("decimal(19,0)")
+        at_tie = F.when(over == 0, k % 2).otherwise(F.when(over > 0, 1).otherwise(0))
+        return F.when(~F.isnan(v), k + F.when(v > tie, 1).when(v < tie, 0).otherwise(at_tie))
+
+    return F.transform(F.transform(tied, cents), lambda c: F.concat(F.floor(c / 100).cast("string"), F.lit("."), F.lpad((c % 100).cast("string"), 2, "0")))
 
 
 def two(x: Column) -> Column:
@@ -55,7 +61,7 @@ def value_lines(start: str, bold: str) -> Column:
 
 
 def with_value_texts(profiles: DataFrame) -> DataFrame:
-    texts = F.map_from_arrays(F.array(*[F.lit(v) for v in w.VALUES]), F.array(*[exact2(F.col("values")[v]) for v in w.VALUES]))
+    texts = F.map_from_arrays(F.array(*[F.lit(v) for v in w.VALUES]), all_exact2(F.array(*[F.col("values")[v] for v in w.VALUES])))
     return profiles.withColumn("value_texts", texts)
 
 

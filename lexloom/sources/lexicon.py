@@ -12,6 +12,7 @@ import os
 from collections import Counter
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +42,8 @@ def load(path: str = DEFAULT) -> list[tuple[str, str, int]]:
 
 
 def lexicon(spark: SparkSession, rows: list[tuple[str, str, int]]) -> DataFrame:
-    return spark.createDataFrame(rows, SCHEMA)
+    category, word, mult = ([r[k] for r in rows] for k in range(3))
+    return spark.createDataFrame(pa.table({"category": pa.array(category, pa.string()), "word": pa.array(word, pa.string()), "mult": pa.array(mult, pa.int32())}))
 
 
 def hinted(lex: DataFrame, rows: int) -> DataFrame:
@@ -67,4 +69,5 @@ def wide(spark: SparkSession, rows: list[tuple[str, str, int]], names: list[str]
     for category, word, n in rows:
         own = by_word.setdefault(word, dict.fromkeys(names, 0))
         own[category] += n
-    return spark.createDataFrame([(word, *own.values()) for word, own in by_word.items()], "word string, " + ", ".join(f"m_{c} int" for c in names))
+    columns = {"word": pa.array(by_word, pa.string())} | {f"m_{c}": pa.array([own[c] for own in by_word.values()], pa.int32()) for c in names}
+    return spark.createDataFrame(pa.table(columns))
