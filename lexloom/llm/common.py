@@ -1,46 +1,16 @@
-"""Helpers shared by the operators: table access and staged tables in the shared folder."""
+"""Helpers shared by the operators: table access, joins on hot keys, samples, slices; staged tables are the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_shared: dict[str, str] = {}
+from lexloom.sources.shared import file_system, new_path, shared_dir, staged
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (tests on one machine) a temporary folder is made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_shared:
-        _own_shared[app] = "file://" + tempfile.mkdtemp(prefix="lexloom-")
-    return _own_shared[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/lexloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back.
-
-    This cuts the lineage: a lost executor never causes the work behind it to run again,
-    and several consumers share one computation.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["file_system", "lowest_hashes", "new_path", "shared_dir", "slices", "spread_join", "staged", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -29,6 +29,7 @@ from lexloom.llm.token_rollup import WORDS_1, word_counts
 
 #: Of the entropy of equal weights; times that a source may be seen; documents a block.
 TARGET_ENTROPY, MAX_REPEATS, BLOCK_DOCS, SEED = 0.9, 4.0, 1024, 11
+PARTS_LOG2 = 10
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -81,8 +82,13 @@ def schedule(docs: DataFrame, target: float = TARGET_ENTROPY, max_repeats: float
     # Blocks of the partial epoch, in its order, with the tokens before them.
     order = F.xxhash64(F.lit(SEED), "source", "epochs", "block")
     sums = rows.groupBy("source", "epochs", "rest", "block").agg(F.sum("tokens").alias("n"))
-    ahead = W.partitionBy("source").orderBy(order, "block").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    sums = staged(sums.withColumn("order", order).withColumn("part", F.shiftright("order", 64 - PARTS_LOG2)), "sums")
+    # Sums over 2 ** PARTS_LOG2 ranges of a source's order, then over the blocks of one range: no task has all blocks of a source.
+    ahead = lambda *of: W.partitionBy("source", *of[:-1]).orderBy(of[-1], *(["block"] if len(of) > 1 else [])).rowsBetween(W.unboundedPreceding, -1)
+    parts = sums.groupBy("source", "part").agg(F.sum("n").alias("n"))
+    parts = parts.select(F.col("source").alias("__s"), F.col("part").alias("__p"), F.coalesce(F.sum("n").over(ahead("part")), F.lit(0)).alias("earlier"))
+    sums = sums.join(parts, F.col("source").eqNullSafe(F.col("__s")) & (F.col("part") == F.col("__p"))).drop("__s", "__p")
+    sums = sums.withColumn("before", F.col("earlier") + F.coalesce(F.sum("n").over(ahead("part", "order")), F.lit(0)))
     blocks = sums.where("before < rest").select(F.col("source").alias("__s"), F.col("block").alias("__b"), "before", (F.col("before") + F.col("n") > F.col("rest")).alias("cut"))
     placed = rows.join(blocks, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")), "left").drop("__s", "__b")
     within = W.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(SEED), "epochs", "doc_id"), "doc_id")

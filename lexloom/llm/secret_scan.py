@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import new_path, slices, table, text_or_empty
+from lexloom.llm.common import file_system, new_path, slices, spread_join, staged, table, text_or_empty
 
 FINDINGS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 LEDGER_SCHEMA = "blob binary, rules array<string>, findings array<struct<kind:string, start:long, end:long>>"
@@ -74,8 +74,7 @@ class BlobLedger:
         self.spark, self.path, self.rules = spark, path, rules
 
     def _fs(self, path: str):
-        own = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return own, own.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return file_system(self.spark, path)
 
     def _batch(self, name: str) -> str:
         return f"{self.path}/batch={quote(name, safe='')}"
@@ -141,7 +140,9 @@ class BlobLedger:
         """(path, findings) for every row of ``versions`` (path, text); findings is empty where there are none."""
         paths = with_blob(versions).select("path", "blob")
         none = F.array().cast("array<struct<kind:string, start:long, end:long>>")
-        return paths.join(self.findings(), "blob", "left").select("path", F.coalesce("findings", none).alias("findings"))
+        # A blob that very many paths hold is no task of its own.
+        found = staged(paths.groupBy("blob").agg(F.count("*").alias("n")).join(self.findings(), "blob"), "found")
+        return spread_join(paths, found, ["blob"], "left").select("path", F.coalesce("findings", none).alias("findings"))
 
 
 def blob_of(column: str) -> Column:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import slices, staged, table
+from lexloom.llm.common import slices, spread_join, staged, table
 from lexloom.llm.components import Forest, components
 
 WORDS, RADIUS, SEED = 4, 4, 42
@@ -218,8 +218,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = None)
 
 
 def grouped(rows: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
-    """(fp, first, component) of the distinct fingerprints of ``rows`` (doc_id, fp): the smallest id, and the component's smallest fingerprint."""
-    distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    """(fp, first, n, component) of the distinct fingerprints of ``rows`` (doc_id, fp): the smallest id, how many rows, and the component's smallest fingerprint."""
+    distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     found = components(links(distinct.select("fp"), radius, blocks))
     return distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
@@ -227,10 +227,10 @@ def grouped(rows: DataFrame, radius: int = RADIUS, blocks: int | None = None) ->
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, k: int = WORDS, blocks: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id) of all rows of ``docs`` (doc_id, text)."""
     rows = staged(fingerprints(docs, k), "fingerprints")
-    members = grouped(rows, radius, blocks)
-    names = members.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = members.join(names, "component").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    members = staged(grouped(rows, radius, blocks), "members")
+    names = staged(members.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("n")), "names")
+    named = staged(spread_join(members.withColumnRenamed("n", "rows"), names, ["component"]).select("fp", F.col("rows").alias("n"), "component_id"), "named")
+    return spread_join(rows, named, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, radius: int = RADIUS, k: int = WORDS) -> DataFrame:

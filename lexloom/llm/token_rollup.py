@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import new_path, slices, staged, table
+from lexloom.llm.common import file_system, new_path, slices, spread_join, staged, table
 from lexloom.llm.tokens import ByteBpe
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -36,8 +36,7 @@ class Rollup:
         self.spark, self.path = spark, path
 
     def _fs(self, path: str):
-        own = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return own, own.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return file_system(self.spark, path)
 
     def committed(self) -> list[str]:
         """The directories of the committed batches."""
@@ -90,8 +89,8 @@ def counted(docs: DataFrame, bpe: bool) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", "source", "lang", F.unhex(F.sha2(text, 256)).alias("blob"), word_counts(WORDS_1).alias("n_words_1"), word_counts(WORDS_2).alias("n_words_2"), text.alias("text"))
     rows = staged(with_bpe(rows) if bpe else rows.drop("text"), "counts")
-    groups = rows.groupBy("blob").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").drop("n")
-    return rows.join(groups, "blob", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))).drop("blob", "first")
+    groups = staged(rows.groupBy("blob").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1"), "groups")
+    return spread_join(rows, groups, ["blob"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))).drop("blob", "first")
 
 
 def maintained(spark: SparkSession, docs: DataFrame, bpe: bool = True) -> DataFrame:

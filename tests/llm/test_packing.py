@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexloom.llm import packing
@@ -103,3 +104,50 @@ def test_sequences(messy):
     for r in packed.collect():
         at = 4 * r["offset"]
         assert rows[r["sequence_id"]][at : at + 4 * r["length"]] == bytes(r["ids"])
+
+
+def test_other_vocabularies(spark):
+    """Another JSON vocabulary, of another kind, gives the ids that its own library gives."""
+    import public_tokenizers
+
+    from lexloom.llm import tokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, bpe = Tokenizer.from_file(path), tokens.ByteBpe(path)
+    for text in ("The quick  brown fox", "", " \n x", "Ünïcödé ☃ <|endoftext|> y"):
+        assert bpe.ids(text) == np.asarray(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    docs = spark.createDataFrame([(1, "a fox and a fox"), (2, None)], "doc_id long, text string")
+    assert packing.pack(docs, 8, path).agg(F.sum("length")).first()[0] == len(whole.encode("a fox and a fox", add_special_tokens=False).ids) + 2
+
+
+def test_ranks_come_from_the_file(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    from lexloom.llm import tokens
+
+    own = tmp_path / "own.json"
+    content = json.loads(open(tokens.default_vocabulary(), encoding="utf-8").read())
+    own.write_text(json.dumps(content), encoding="utf-8")
+    text = "It's 3.14 Ünïcödé ☃ words"
+    assert tokens.ByteBpe(str(own)).ids(text) == tokens.ByteBpe().ids(text) and public_tokenizers.PATTERN == tokens.PATTERN
+    content["model"]["merges"][:2] = content["model"]["merges"][1::-1]  # merges out of the order of ids
+    assert tokens.ranks_of(content) is None
+
+
+def test_query(spark):
+
+    from lexloom.llm.packing import op3_best_fit_packing
+
+    out = op3_best_fit_packing(spark, "/root/testdata/sf0.001")
+    assert dict(out.dtypes) == {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"}
+    ends = defaultdict(list)
+    for r in out.collect():
+        ends[r["sequence_id"]].append((r["offset"], r["length"]))
+    for own in ends.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
