@@ -6,12 +6,15 @@ drawn within a bucket by their smoothed counts, so every word has a probability
 words sum to one. The network (a GRU in numpy, output softmax factored into classes and words of
 a class) is trained by truncated backpropagation, the state carried from window to window and
 cleared at a document's end. It starts from a bounded sample; then every training document is seen
-once, in ROUNDS rounds: each partition trains its own copy on its documents, and the copies are
-averaged by their tokens in a tree. For scoring, whole documents are laid into parallel streams,
-so each is read from its first word to its end with its own state.
+once, in ROUNDS rounds: its documents are dealt by their ids' hashes to copies of the network, one for
+COPY_TOKENS tokens, and the copies are averaged by their tokens in a tree. How the table is split
+changes none of this, so scores follow from the table's rows, but for the last digits of sums. For
+scoring, whole documents are laid into parallel streams, so each is read from its first word to its end
+with its own state.
 
-Counts of the HEAD most frequent words go to every task; rarer words are joined with their counts
-on Spark.
+Texts are read twice: to count words, and to stage each document's symbols, which training and
+scoring read. Counts of the HEAD most frequent words go to every task; rarer words are joined with
+their counts on Spark.
 
 Cases: a null text is the empty text, whose only token is the end; documents without an id count as
 training documents; repeated rows each get a result; without training documents N and V are 0; an
@@ -41,8 +44,10 @@ CLASSES, IN_CLASS, BUCKETS, WIDTH = 24, 32, 64, 16
 SYMBOLS = CLASSES * IN_CLASS
 #: Symbol 0 is the end; then the most frequent words; the last BUCKETS are the buckets.
 WORDS = SYMBOLS - BUCKETS - 1
-#: Training: documents of the first sample and passes over it, rounds over all, streams, steps back, rate.
-FIRST_DOCUMENTS, FIRST_PASSES, ROUNDS, STREAMS, BACK, RATE = 512, 4, 2, 512, 12, 0.004
+#: Training: documents and tokens of the first sample at most and passes over it, rounds over all, streams, steps back, rate.
+FIRST_DOCUMENTS, FIRST_TOKENS, FIRST_PASSES, ROUNDS, STREAMS, BACK, RATE = 512, 1 << 20, 4, 2, 512, 12, 0.004
+#: Tokens of a round that one copy of the network is trained on, about; tokens that it lays out at once.
+COPY_TOKENS, HELD_TOKENS = 1 << 20, 1 << 22
 #: Scoring: streams, steps whose outputs are computed at once, steps laid out at once (a multiple of SPAN).
 LANES, SPAN, LAID = 512, 32, 512
 END = b""
@@ -183,9 +188,10 @@ class Trainer:
         streams = int(min(max(len(symbols) // (64 * BACK), 8), STREAMS, len(symbols)))  # 64 windows or more, where there are so many words
         if not streams:
             return 0.0
-        length = len(symbols) // streams
-        y = symbols[: streams * length].reshape(streams, length).T
-        x = np.concatenate([[0], symbols[: streams * length - 1]]).reshape(streams, length).T
+        length = -(-len(symbols) // streams)
+        symbols = np.concatenate([symbols, symbols[: streams * length - len(symbols)]])  # the last stream is filled up from the start
+        y = symbols.reshape(streams, length).T
+        x = np.concatenate([[0], symbols[:-1]]).reshape(streams, length).T
         h, total = np.zeros((streams, WIDTH), np.float32), 0.0
         for at in range(0, length, BACK):
             grads, h, mean = window(self.params, x[at : at + BACK], y[at : at + BACK], h)
@@ -331,14 +337,15 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(head, tokens, distinct, {r["b"]: (r["n"], r["v"]) for r in rest})
 
 
-def _learner(vocab, start, rate: float, passes: int):
+def _learner(start, rate: float, passes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer, seen, own, size = Trainer(start.value, rate), 0, [], 0
-        documents = (t for batch in slices(batches) for t in batch.column("text").to_pylist())
-        for text in documents:
-            own.append(vocab.value.symbols(words_of(text))[0])
-            size += len(own[-1])
-            if size >= 1 << 22 and passes == 1:
+        for document in (d for batch in slices(batches) for d in documents_of(batch)):
+            if passes > 1 and seen + size + len(document) > FIRST_TOKENS and size:
+                break  # the first sample ends here
+            own.append(document)
+            size += len(document)
+            if size >= HELD_TOKENS and passes == 1:
                 trainer.learn(np.concatenate(own))
                 seen, own, size = seen + size, [], 0
         if own:
@@ -352,6 +359,11 @@ def _learner(vocab, start, rate: float, passes: int):
     return run
 
 
+def documents_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The symbols of each row."""
+    return [np.frombuffer(x, "<i2") for x in batch.column("symbols").to_pylist()]
+
+
 def averaged(trained: DataFrame) -> dict[str, np.ndarray] | None:
     """The mean of (n, params), weighted by n, by a tree of sums."""
     one = lambda r: (float(r["n"]), r["n"] * np.frombuffer(bytes(r["params"]), "<f4").astype(np.float64))
@@ -360,65 +372,82 @@ def averaged(trained: DataFrame) -> dict[str, np.ndarray] | None:
     return None if total is None else shaped(total[1] / total[0])
 
 
-def train(docs: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
-    """The network's weights from all training documents ``docs`` (doc_id, text in binary)."""
-    context, params = docs.sparkSession.sparkContext, initial()
-    shared = context.broadcast(vocab)
-    first = lowest_hashes(docs.select("doc_id").distinct(), FIRST_DOCUMENTS, vocab.documents)
-    sample = docs.join(F.broadcast(staged(first, "first")), "doc_id").repartition(1)
+def train(encoded: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
+    """The network's weights from all training documents of ``encoded`` (doc_id, symbols)."""
+    context, params = encoded.sparkSession.sparkContext, initial()
+    own = encoded.where(~held_out()).select("doc_id", "symbols")
+    order = [F.xxhash64(F.lit(4), "doc_id"), F.col("doc_id"), F.col("symbols")]
+    first = lowest_hashes(own.select("doc_id").distinct(), FIRST_DOCUMENTS, vocab.documents)
+    sample = own.join(F.broadcast(staged(first, "first")), "doc_id").repartition(1).sortWithinPartitions(*order)
     half = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(ROUNDS))
-    plans = [(sample, RATE * 2, FIRST_PASSES)] + [(docs.where(half == k), RATE / (k + 1), 1) for k in range(ROUNDS)]
+    copies = max(1, -(-vocab.tokens // (ROUNDS * COPY_TOKENS)))
+    copy = F.pmod(F.xxhash64(F.lit(6), F.coalesce("doc_id", F.xxhash64("symbols"))), F.lit(copies)).cast("int")
+    dealt = lambda k: own.where(half == k).repartitionById(copies, copy).sortWithinPartitions(*order)
+    plans = [(sample, RATE * 2, FIRST_PASSES)] + [(dealt(k), RATE / (k + 1), 1) for k in range(ROUNDS)]
     for k, (part, rate, passes) in enumerate(plans):
-        run = _learner(shared, context.broadcast(params), rate, passes)
-        params = averaged(staged(part.select("text").mapInArrow(run, "n long, params binary"), f"round{k}")) or params
+        run = _learner(context.broadcast(params), rate, passes)
+        params = averaged(staged(part.select("symbols").mapInArrow(run, "n long, params binary"), f"round{k}")) or params
     return params
 
 
-def partial_scores(docs: DataFrame, vocab: Vocabulary, params: dict[str, np.ndarray]) -> DataFrame:
-    """Per row: what follows from the head and the network, and the tail's words with their buckets and how often."""
-    context = docs.sparkSession.sparkContext
-    shared, weights = context.broadcast(vocab), context.broadcast(params)
+def encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text in binary): its symbols, what follows from the head, and the tail's words with their buckets and how often."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
     entry = pa.struct([("word", pa.binary()), ("bucket", pa.int32()), ("k", pa.int64())])
-    schema = "doc_id long, row long, n_tokens long, n_known long, base double, score double, tail array<struct<word: binary, bucket: int, k: long>>"
+    schema = "doc_id long, row long, n_tokens long, n_known long, base double, within double, symbols binary, tail array<struct<word: binary, bucket: int, k: long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, row = shared.value, TaskContext.get().partitionId() << 33
-        for batch in slices(batches, 2048):
-            documents, known, base, within, offsets = [], [], [], [], [0]
+        for batch in slices(batches):
+            lengths, symbols, known, base, within, offsets = [], [], [], [], [], [0]
             words, buckets, times = [], [], []
             for text in batch.column("text").to_pylist():
-                symbols, place, tail = own.symbols(words_of(text))
-                documents.append(symbols)
+                found, place, tail = own.symbols(words_of(text))
+                lengths.append(len(found))
+                symbols.append(found.astype("<i2").tobytes())
                 place = place[place >= 0]
                 known.append(len(place))
                 base.append(float(own.base[place].sum()))
                 within.append(float(own.within[place].sum()))
-                if len(place) + len(tail) < len(symbols):  # no training document, so no end among the counts
+                if len(place) + len(tail) < len(found):  # no training document, so no end among the counts
                     base[-1] += math.log10(1 / (own.tokens + own.distinct + 1))
                 counted = Counter(tail)
                 words += counted
                 buckets += map(bucket_of, counted)
                 times += counted.values()
                 offsets.append(len(words))
-            score = log_likelihoods(weights.value, documents) / math.log(10) + np.array(within)
             tails = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(buckets, pa.int32()), pa.array(times, pa.int64())], fields=list(entry))
             n = batch.num_rows
-            columns = [batch.column("doc_id"), pa.array(np.arange(row, row + n)), pa.array([len(d) for d in documents], pa.int64()), pa.array(known, pa.int64())]
-            columns += [pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tails)]
+            columns = [batch.column("doc_id"), pa.array(np.arange(row, row + n)), pa.array(lengths, pa.int64()), pa.array(known, pa.int64())]
+            columns += [pa.array(base, pa.float64()), pa.array(within, pa.float64()), pa.array(symbols, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tails)]
             row += n
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "n_tokens", "n_known", "base", "score", "tail"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "n_tokens", "n_known", "base", "within", "symbols", "tail"])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def network_scores(rows: DataFrame, params: dict[str, np.ndarray]) -> DataFrame:
+    """``rows`` (doc_id, row, n_tokens, n_known, base, within, symbols) with ``network``, the log10 probability of the symbols, instead of these."""
+    weights = rows.sparkSession.sparkContext.broadcast(params)
+    names = ["doc_id", "row", "n_tokens", "n_known", "base", "within"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2048):
+            found = log_likelihoods(weights.value, documents_of(batch)) / math.log(10)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found)], names=[*names, "network"])
+
+    return rows.select(*names, "symbols").mapInArrow(run, "doc_id long, row long, n_tokens long, n_known long, base double, within double, network double")
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """The result of op6 for all rows of ``docs`` (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     training = rows.where(~held_out())
     counts = staged(word_counts(training), "counts")
     vocab = vocabulary(counts)
-    parts = staged(partial_scores(rows, vocab, train(training, vocab)), "partial")
-    tail = parts.select("row", F.explode("tail").alias("t")).select("row", "t.*")
+    own = staged(encoded(rows, vocab), "encoded")
+    parts = network_scores(own, train(own, vocab))
+    tail = own.select("row", F.explode("tail").alias("t")).select("row", "t.*")
     c = F.coalesce("c", F.lit(0))
     totals = F.array(*[F.lit(vocab.bucket_total(b)) for b in range(BUCKETS)])
     tail = tail.join(counts, "word", "left").groupBy("row").agg(
@@ -426,7 +455,7 @@ def scores(docs: DataFrame) -> DataFrame:
         F.sum(F.col("k") * F.log10((c + 1) / F.lit(float(vocab.tokens + vocab.distinct + 1)))).alias("tail_base"),
         F.sum(F.col("k") * F.log10((c + 1) / F.element_at(totals, F.col("bucket") + 1))).alias("tail_score"),
     )
-    out = parts.drop("tail").join(tail, "row", "left")
+    out = parts.join(tail, "row", "left")
     return out.select(
         "doc_id",
         held_out().alias("held_out"),
@@ -434,7 +463,7 @@ def scores(docs: DataFrame) -> DataFrame:
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(vocab.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("tail_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("tail_score", F.lit(0.0))).alias("score"),
+        (F.col("network") + F.col("within") + F.coalesce("tail_score", F.lit(0.0))).alias("score"),
     )
 
 

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,76 @@ def test_messy(spark, messy, nothing, monkeypatch):
     assert G.scores(nothing).count() == 0
 
 
+def test_score_is_the_plain_sum(spark, monkeypatch):
+    """The query's score against the probability of every token, one after the other, from the same weights and counts."""
+    kept = {}
+    train, vocabulary = G.train, G.vocabulary
+    monkeypatch.setattr(G, "HEAD", 150)  # so the tail is joined
+    monkeypatch.setattr(G, "WORDS", 60)
+    monkeypatch.setattr(G, "train", lambda *a: kept.setdefault("params", train(*a)))
+    monkeypatch.setattr(G, "vocabulary", lambda *a: kept.setdefault("vocab", vocabulary(*a)))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("n_chars < 1500")
+    rows = {r["doc_id"]: r for r in G.scores(docs).collect()}
+    texts = {r["doc_id"]: G.words_of(r["text"].encode()) for r in docs.collect()}
+    c = Counter(w for d, ws in texts.items() if not held(d) for w in [*ws, b""])
+    order = sorted(c, key=lambda w: (-c[w], w))
+    symbol = {w: i + 1 for i, w in enumerate([w for w in order if w][:60])} | {b"": 0}
+    params, buckets = kept["params"], {}
+    for w, n in c.items():
+        if w not in symbol:
+            k, v = buckets.get(G.bucket_of(w), (0, 0))
+            buckets[G.bucket_of(w)] = (k + n, v + 1)
+    assert len(rows) == len(texts) > 30 and kept["vocab"].buckets == buckets
+
+    def sigmoid(x):
+        return 1 / (1 + np.exp(-x))
+
+    p = {k: v.astype(np.float64) for k, v in params.items()}
+    for d in sorted(texts)[:25]:
+        h, x, total = np.zeros(G.WIDTH), 0, 0.0
+        for w in [*texts[d], b""]:
+            gate, own = p["embedding"][x] @ p["input"] + p["bias"], h @ p["state"]
+            z, r = sigmoid(gate[: G.WIDTH] + own[: G.WIDTH]), sigmoid(gate[G.WIDTH : 2 * G.WIDTH] + own[G.WIDTH : 2 * G.WIDTH])
+            n = np.tanh(gate[2 * G.WIDTH :] + r * own[2 * G.WIDTH :])
+            h = (1 - z) * n + z * h
+            x = symbol.get(w, G.SYMBOLS - G.BUCKETS + G.bucket_of(w))
+            cls, word = divmod(x, G.IN_CLASS)
+            by_class = h @ p["classes"] + p["classes_bias"]
+            by_word = h @ p["words"][cls] + p["words_bias"][cls]
+            total += (by_class[cls] - np.log(np.exp(by_class).sum()) + by_word[word] - np.log(np.exp(by_word).sum())) / math.log(10)
+            if w not in symbol:
+                k, v = buckets.get(G.bucket_of(w), (0, 0))
+                total += math.log10((c[w] + 1) / (k + v + 1))
+        assert rows[d]["score"] == pytest.approx(total, rel=1e-4)
+
+
+def test_scores_do_not_follow_from_the_split(spark, monkeypatch):
+    monkeypatch.setattr(G, "COPY_TOKENS", 5000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    a, b = ({r["doc_id"]: r["score"] for r in G.scores(docs.repartition(n)).collect()} for n in (1, 7))
+    assert a.keys() == b.keys() and all(a[d] == pytest.approx(b[d], rel=1e-5) for d in a)
+
+
+def test_the_first_sample_is_bounded_by_tokens(spark, monkeypatch):
+    monkeypatch.setattr(G, "FIRST_TOKENS", 1000)
+    seen = []
+    monkeypatch.setattr(G.Trainer, "learn", lambda self, symbols: seen.append(len(symbols)))
+    batch = pa.RecordBatch.from_pydict({"symbols": [np.append(np.ones(n), 0).astype("<i2").tobytes() for n in (400, 500, 5000, 3)]})
+    start = type("B", (), {"value": G.initial()})()
+    list(G._learner(start, 0.1, 2)(iter([batch])))
+    assert seen == [902, 902]
+    seen.clear()
+    list(G._learner(start, 0.1, 1)(iter([batch])))
+    assert seen == [5907]
+
+
+def test_query(spark):
+    out = G.op6_gru_lm(spark, "/root/testdata/sf0.001")
+    assert dict(out.dtypes) == {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"}
+    rows = out.collect()
+    assert len(rows) == 200 and all(r["held_out"] == held(r["doc_id"]) and r["score"] < 0 for r in rows)
+
+
 def test_no_training_documents(spark):
     ids = [i for i in range(60) if held(i)]
     rows = G.scores(spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string")).collect()
