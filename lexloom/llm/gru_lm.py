@@ -6,7 +6,7 @@ drawn within a bucket by their smoothed counts, so every word has a probability
 words sum to one. The network (a GRU in numpy, output softmax factored into classes and words of
 a class) is trained by truncated backpropagation, the state carried from window to window and
 cleared at a document's end. It starts from a bounded sample; then every training document is seen
-once, in ROUNDS rounds: its documents are dealt by their ids' hashes to copies of the network, one for
+once, in ROUNDS rounds: its documents are dealt by hashes to copies of the network, one for
 COPY_TOKENS tokens, and the copies are averaged by their tokens in a tree. How the table is split
 changes none of this, so scores follow from the table's rows, but for the last digits of sums. For
 scoring, whole documents are laid into parallel streams, so each is read from its first word to its end
@@ -378,10 +378,11 @@ def train(encoded: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
     own = encoded.where(~held_out()).select("doc_id", "symbols")
     order = [F.xxhash64(F.lit(4), "doc_id"), F.col("doc_id"), F.col("symbols")]
     first = lowest_hashes(own.select("doc_id").distinct(), FIRST_DOCUMENTS, vocab.documents)
-    sample = own.join(F.broadcast(staged(first, "first")), "doc_id").repartition(1).sortWithinPartitions(*order)
+    sample = own.join(F.broadcast(staged(first, "first")), "doc_id").groupBy("doc_id").agg(F.min("symbols").alias("symbols"))  # of rows that share an id one
+    sample = sample.repartition(1).sortWithinPartitions(*order)
     half = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(ROUNDS))
     copies = max(1, -(-vocab.tokens // (ROUNDS * COPY_TOKENS)))
-    copy = F.pmod(F.xxhash64(F.lit(6), F.coalesce("doc_id", F.xxhash64("symbols"))), F.lit(copies)).cast("int")
+    copy = F.pmod(F.xxhash64(F.lit(6), "doc_id", "symbols"), F.lit(copies)).cast("int")
     dealt = lambda k: own.where(half == k).repartitionById(copies, copy).sortWithinPartitions(*order)
     plans = [(sample, RATE * 2, FIRST_PASSES)] + [(dealt(k), RATE / (k + 1), 1) for k in range(ROUNDS)]
     for k, (part, rate, passes) in enumerate(plans):
