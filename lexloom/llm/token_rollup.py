@@ -90,7 +90,8 @@ def counted(docs: DataFrame, bpe: bool) -> DataFrame:
     rows = docs.select("doc_id", "source", "lang", F.unhex(F.sha2(text, 256)).alias("blob"), word_counts(WORDS_1).alias("n_words_1"), word_counts(WORDS_2).alias("n_words_2"), text.alias("text"))
     rows = staged(with_bpe(rows) if bpe else rows.drop("text"), "counts")
     groups = staged(rows.groupBy("blob").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1"), "groups")
-    return spread_join(rows, groups, ["blob"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))).drop("blob", "first")
+    rows = spread_join(rows, groups, ["blob"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
+    return staged(rows.drop("blob", "first"), "copies")  # every batch reads it
 
 
 def maintained(spark: SparkSession, docs: DataFrame, bpe: bool = True) -> DataFrame:
