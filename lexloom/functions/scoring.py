@@ -61,9 +61,15 @@ def ci_width(n: Column, coverage: Column) -> Column:
 PERCENTILES = [0.5 + 0.12 * NormalDist().inv_cdf((k - 0.5) / 100) for k in range(2, 100)]
 
 
+#: How many of these are at or below 0.00, 0.01, ... 0.99; at most NEAR are within the next two hundredths.
+BELOW, NEAR = [sum(p <= h / 100 for p in PERCENTILES) for h in range(100)], 10
+
+
 def percentile(score: Column) -> Column:
+    """One more than the least scores at or below ``score``; only those near it are compared."""
     bounds = F.expr(f"array({', '.join(f'{p!r}D' for p in PERCENTILES)})")
-    return F.lit(1) + F.size(F.filter(bounds, lambda p: p <= score))
+    below = F.expr(f"array({', '.join(map(str, BELOW))})")[F.greatest(F.least(F.floor(score * 100) - 1, F.lit(99)), F.lit(0)).cast("int")]
+    return F.lit(1) + below + F.size(F.filter(F.slice(bounds, below + 1, F.lit(NEAR)), lambda p: p <= score))
 
 
 def low_end(score: Column, width: Column) -> Column:

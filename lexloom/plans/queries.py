@@ -244,8 +244,9 @@ def stored(spark: SparkSession, sf_dir: str) -> Store:
 
 
 def get_profile(spark, sf_dir):
-    """The profile with one id, of all that are stored."""
-    own = stored(spark, sf_dir).profile(ONE_ID)
+    """The profile with one id, of all that are stored, and of an id that isn't there."""
+    store = stored(spark, sf_dir)
+    own = store.profile(ONE_ID).unionByName(store.profile("missing"))
     trait, summary = F.col("traits")["openness"], F.col("summary")
     return own.select("analysis_id", "confidence_flag", trait["score"].alias("openness"), trait["confidence_interval"][0].alias("ci_low"), summary["clout"].alias("clout"), F.size("values").cast("long").alias("n_values"), "narrative")
 
@@ -280,7 +281,47 @@ def analyze_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profile_pdf(spark, sf_dir):
-    return N.pdfs(doc_profiles(spark, sf_dir)).select("doc_id", F.substring("pdf", 1, 5).cast("string").alias("magic"), (F.octet_length("pdf") > 1000).alias("whole"))
+    """Files of all profiles: how they begin, and what some of their lines say."""
+    text = F.decode("pdf", "ISO-8859-1")
+    found = lambda pattern: F.regexp_extract(text, pattern, 1)
+    return N.pdfs(doc_profiles(spark, sf_dir)).select(
+        "doc_id", F.substring("pdf", 1, 5).cast("string").alias("magic"), (F.octet_length("pdf") > 1000).alias("whole"), found(r"Confidence level: (\w+)").alias("confidence_flag"),
+        found(r"\(Openness: ([0-9.]+) ").alias("openness"), found(r"\(Regulatory Focus: [0-9.]+ \\\((\w+)").alias("regulatory_label"), found(r"\(Power: ([0-9.]+)% of words").alias("power"), found(r"\(Clout: ([0-9.]+) ").alias("clout"),
+    )
+
+
+OWN_LEXICON = (("articles", "the", 1), ("articles", "a", 1), ("joining", "and", 2), ("joining", "the", 1), ("never seen", "zzzzzz", 1))
+
+
+def own_lexicon(spark, sf_dir):
+    """Features by a lexicon of the caller's."""
+    own = feat.features(docs(spark, sf_dir), list(OWN_LEXICON))
+    return own.select("doc_id", "coverage", "pct_articles", "pct_joining", F.col("pct_never seen").alias("pct_never_seen"))
+
+
+def own_model(spark, sf_dir):
+    """Scores of which a model of the caller's gives two, and the rest of the profile follows from them."""
+    model = {"openness": S.clamp(F.col("pct_article") / 20), "need_for_closure": F.when(F.col("word_count") > 300, F.lit(0.9)).otherwise(F.lit(0.1))}
+    scored = P.scores(feat.features(docs(spark, sf_dir), lex()), model)
+    return P.trait_results(scored).where(F.col("trait").isin("openness", "need_for_closure", "neuroticism")).select("doc_id", "trait", "score", "percentile", "ci_high", "label")
+
+
+def own_narrator(spark, sf_dir):
+    """Responses with narratives of the caller's making."""
+    requests = docs(spark, sf_dir).select(F.col("doc_id").alias("request_id"), F.concat(F.lit("as a text: "), F.coalesce("text", F.lit(""))).alias("text"), F.lit("blog").alias("source_type"), F.lit(None).cast("string").alias("source_date"), F.lit(None).cast("string").alias("source_url"))
+    narrator = lambda p: p.withColumn("narrative", F.concat_ws(" ", F.lit("words:"), F.col("word_count"), F.lit("confidence:"), F.col("confidence_flag")))
+    return A.analyze(requests, lex(), fetch=None, config=texts.Config(max_text_size=0), narrator=narrator)[0].select("request_id", "narrative")
+
+
+def save_conflict(spark, sf_dir):
+    """A store to which all profiles are saved once, and then once more."""
+    store = stored(spark, sf_dir)
+    try:
+        store.save(store.table())
+        error = None
+    except ValueError as e:
+        error = str(e).split(":")[0]
+    return store.table().agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids")).withColumn("error", F.lit(error).cast("string"))
 
 
 def url_requests(spark, sf_dir):
@@ -367,7 +408,7 @@ def queries() -> dict:
         category_percents, coverage, stylometrics, coverage_by_lang, evidence, schwartz_values, confidence_flag, ci_width, trait_percentiles,
         trait_results, trait_labels, label_boundaries, summary_labels, values_ranked, validate_requests, analyze_pages, corpus_profile,
         source_profile, narrative, save_and_get, analyze_requests, profile_pdf, get_profile, get_analysis, url_requests, folder_files,
-        folder_document, json_requests, json_responses, validate_folder_requests,
+        folder_document, json_requests, json_responses, validate_folder_requests, own_lexicon, own_model, own_narrator, save_conflict,
     )
     return {q.__name__: q for q in own} | {name: traits_query(cols) for name, cols in SCORE_NAMES.items()}
 
@@ -411,6 +452,11 @@ def oracle_sql() -> dict[str, str]:
         "source_profile": f"{Q.scored(rows, "SELECT source AS k, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY source")} {whole('source')}",
         "narrative": f"{scored} SELECT k AS doc_id, {Q.narrative(N.FOOTER)} AS narrative FROM sc",
         "save_and_get": f"{scored} SELECT sha256(k::VARCHAR) AS id, 'file' AS source_type, n AS word_count, coverage AS dictionary_coverage, flag AS confidence_flag, pct_pronoun AS pronoun, openness, {Q.percentile('openness')} AS openness_percentile, clout, length({Q.narrative(N.FOOTER)})::BIGINT AS narrative_chars FROM sc",
+        "profile_pdf": f"{scored} SELECT k AS doc_id, '%PDF-' AS magic, true AS whole, flag AS confidence_flag, printf('%.2f', openness) AS openness, {Q.trait_label('regulatory_focus', 'regulatory_focus')} AS regulatory_label, printf('%.2f', pct_value_power) AS power, printf('%.2f', clout) AS clout FROM sc",
+        "own_lexicon": f"""{Q.features(list(OWN_LEXICON), DOCS).replace('m_never seen', '"m_never seen"').replace('cnt_never seen', '"cnt_never seen"').replace('pct_never seen', 'pct_never_seen')} SELECT k AS doc_id, coverage, pct_articles, pct_joining, pct_never_seen FROM feat""",
+        "own_model": f"{scored}, o AS (SELECT k, w, neuroticism, CASE WHEN pct_article / 20 > 1 THEN 1::DOUBLE ELSE {Q.round2('pct_article / 20')} END AS openness, CASE WHEN n > 300 THEN 0.9::DOUBLE ELSE 0.1::DOUBLE END AS need_for_closure FROM sc) {' UNION ALL '.join(f"SELECT k AS doc_id, '{t}' AS trait, {t} AS score, {Q.percentile(t)} AS percentile, {Q.round2(f'least(1::DOUBLE, {t} + w)')} AS ci_high, {Q.trait_label(t, t)} AS label FROM o" for t in ('openness', 'need_for_closure', 'neuroticism'))}",
+        "own_narrator": f"{Q.scored(rows, "SELECT doc_id AS k, 'as a text: ' || coalesce(text, '') AS text FROM documents")} SELECT k AS request_id, 'words: ' || n || ' confidence: ' || flag AS narrative FROM sc",
+        "save_conflict": "SELECT count(*)::BIGINT AS rows, count(DISTINCT doc_id)::BIGINT AS ids, CASE WHEN count(*) > 0 THEN 'id is taken' END AS error FROM documents",
         "get_profile": f"{scored} SELECT sha256(k::VARCHAR) AS analysis_id, flag AS confidence_flag, openness, {Q.round2('greatest(0::DOUBLE, openness - w)')} AS ci_low, clout, 10::BIGINT AS n_values, {Q.narrative(N.FOOTER)} AS narrative FROM sc WHERE sha256(k::VARCHAR) = '{ONE_ID}'",
         "get_analysis": f"{scored} SELECT sha256(k::VARCHAR) AS id, 'file' AS source_type, n AS word_count, coverage AS dictionary_coverage, flag AS confidence_flag, pct_article AS article, neuroticism FROM sc WHERE k = 7",
         "url_requests": rf"WITH c AS (SELECT url, min(html) AS t FROM pages GROUP BY url), r AS (SELECT page_id, m AS missing, CASE m WHEN 0 THEN url ELSE url || '?missing' END AS u FROM pages, (VALUES (0), (1)) v(m)) SELECT page_id, missing, strlen(coalesce(t, CASE WHEN c.url IS NOT NULL THEN '' END))::BIGINT AS bytes, CASE WHEN coalesce(u, '') = '' THEN 'source_url is required when source_type=url' WHEN NOT regexp_full_match(u, '[A-Za-z][A-Za-z0-9+.-]*:(//)?[^\s/]\S*') THEN 'SourceURL: url' WHEN c.url IS NULL THEN 'failed to fetch URL: not in the crawl' WHEN strlen(coalesce(t, '')) < {V.LEAST_BYTES} THEN 'text must be at least 10 characters' WHEN strlen(t) > {V.MAX_BYTES} THEN 'text exceeds max size' END AS reject FROM r LEFT JOIN c ON c.url = u",

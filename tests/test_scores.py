@@ -1,5 +1,6 @@
 """Features, scores, confidence, labels against fixed goldens."""
 
+import math
 import random
 
 import pytest
@@ -134,3 +135,10 @@ def test_parts_are_one_document(spark):
     whole = spark.createDataFrame([("a", "happy sad\n\nand and"), ("b", "the")], "k string, text string")
     key = lambda r: r["k"]
     assert sorted(feat.features(parts, LEX, "k").collect(), key=key) == sorted(feat.features(whole, LEX, "k").collect(), key=key)
+
+
+def test_percentile_of_any_score(spark):
+    """Against a plain count, at the least scores, beside them, and out of range."""
+    scores = [x for p in S.PERCENTILES for x in (p, math.nextafter(p, 0), math.nextafter(p, 1))] + [k / 1000 for k in range(-20, 1021)]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(scores)], "i long, x double").orderBy("i").select(S.percentile(F.col("x"))).collect()
+    assert [r[0] for r in got] == [1 + sum(p <= x for p in S.PERCENTILES) for x in scores]
