@@ -43,11 +43,25 @@ def two(x: Column) -> Column:
     return F.format_string("%.2f", x)
 
 
-def trait_line(name: str, title: str, bold: str = "**") -> Column:
-    t = F.col("traits")[name]
-    ci = t["confidence_interval"]
+def constants(rows: list[dict[str, str | bool]]) -> Column:
+    """An array of structs of fixed values."""
+    spelled = lambda x: str(x).lower() if isinstance(x, bool) else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr("array(" + ", ".join("named_struct(" + ", ".join(f"'{k}', {spelled(v)}" for k, v in row.items()) + ")" for row in rows) + ")")
+
+
+def trait_rows(names) -> Column:
+    """(key, title, high, low, middle, closed) of traits."""
+    fields = ("high", "low", "middle", "closed")
+    return constants([{"key": t, "title": w.TRAIT_NAMES[t]} | dict(zip(fields, w.TRAIT_LABELS[t], strict=True)) for t in names])
+
+
+def trait_line(row: Column, bold: str = "**") -> Column:
+    """The line of the trait that ``row``, of :func:`trait_rows`, describes."""
+    t = F.col("traits")[row["key"]]
+    score, ci = t["score"], t["confidence_interval"]
+    label = F.when((score > w.HIGH) | (score == w.HIGH) & row["closed"], row["high"]).when(score < w.LOW, row["low"]).otherwise(row["middle"])
     return F.concat(
-        F.lit(f"{bold}{title}:{bold} "), two(t["score"]), F.lit(" ("), S.trait_label(name, t["score"]), F.lit(") — "), t["percentile"].cast("string"),
+        F.lit(bold), row["title"], F.lit(f":{bold} "), two(score), F.lit(" ("), label, F.lit(") — "), t["percentile"].cast("string"),
         F.lit("th percentile (95% CI: "), two(ci[0]), F.lit("–"), two(ci[1]), F.lit(")"),
     )
 
@@ -65,9 +79,18 @@ def with_value_texts(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("value_texts", texts)
 
 
-def summary_line(name: str, start: str, bold: str) -> Column:
-    title, x = w.SUMMARY_LABELS[name][0], F.col("summary")[name]
-    return F.concat(F.lit(f"{start}{bold}{title}:{bold} "), two(x), F.lit(" — "), S.summary_label(name, x))
+def summary_lines(start: str, bold: str) -> Column:
+    """Lines of the summary variables."""
+    fields = ("title", "high", "low", "middle")
+    rows = constants([{"key": s} | dict(zip(fields, w.SUMMARY_LABELS[s], strict=True)) for s in w.SUMMARY_LABELS])
+    own = F.map_from_arrays(F.array(*[F.lit(s) for s in w.SUMMARY_LABELS]), F.array(*[F.col("summary")[s] for s in w.SUMMARY_LABELS]))
+
+    def line(row: Column) -> Column:
+        x = own[row["key"]]
+        label = F.when(x >= w.HIGH, row["high"]).when(x < w.LOW, row["low"]).otherwise(row["middle"])
+        return F.concat(F.lit(f"{start}{bold}"), row["title"], F.lit(f":{bold} "), two(x), F.lit(" — "), label)
+
+    return F.transform(rows, line)
 
 
 OTHERS = [t for t in w.TRAITS if t not in w.BIG_FIVE_TRAITS]
@@ -76,15 +99,12 @@ OTHERS = [t for t in w.TRAITS if t not in w.BIG_FIVE_TRAITS]
 def with_narrative(profiles: DataFrame) -> DataFrame:
     """Adds ``narrative``, in Markdown."""
     parts = [F.lit("## Psychological Profile\n\n**Confidence level:** "), F.col("confidence_flag"), F.lit("\n\n### Big Five (OCEAN)\n\n")]
-    for t in w.BIG_FIVE_TRAITS:
-        parts += [trait_line(t, w.TRAIT_NAMES[t]), F.lit("\n\n")]
-    for t in OTHERS:
-        parts += [F.lit(f"### {w.TRAIT_NAMES[t]}\n\n"), trait_line(t, w.TRAIT_NAMES[t]), F.lit("\n\n")]
+    headed = lambda r: F.concat(F.lit("### "), r["title"], F.lit("\n\n"), trait_line(r), F.lit("\n\n"))
+    parts.append(F.array_join(F.transform(trait_rows(w.BIG_FIVE_TRAITS), lambda r: F.concat(trait_line(r), F.lit("\n\n"))), ""))
+    parts.append(F.array_join(F.transform(trait_rows(OTHERS), headed), ""))
     own = F.concat(F.lit("### Schwartz Value Orientation\n\n"), F.array_join(value_lines("- ", "**"), "\n"), F.lit("\n\n"))
     parts.append(F.when(F.size("values") > 0, own).otherwise(F.lit("")))
-    parts.append(F.lit("### Summary Variables\n\n"))
-    for s in w.SUMMARY_LABELS:
-        parts += [summary_line(s, "- ", "**"), F.lit("\n")]
+    parts += [F.lit("### Summary Variables\n\n"), F.array_join(summary_lines("- ", "**"), "\n"), F.lit("\n")]
     parts.append(F.lit(f"\n---\n*{FOOTER}*"))
     return with_value_texts(profiles).withColumn("narrative", F.concat(*parts)).drop("value_texts")
 
@@ -95,17 +115,16 @@ def with_narrative(profiles: DataFrame) -> DataFrame:
 def pdf_lines(profiles: DataFrame) -> DataFrame:
     """Adds ``lines``: (style, text) in the order of the page; a trait without an interval is left out."""
     line = lambda style, text: F.struct(F.lit(style).alias("style"), text.alias("text"))
-    head = lambda title: F.array(line("gap", F.lit("")), line("heading", F.lit(title)))
-    own = lambda t: F.when(F.size(F.col("traits")[t]["confidence_interval"]) >= 2, F.array(line("body", trait_line(t, w.TRAIT_NAMES[t], ""))))
+    head = lambda title: F.array(line("gap", F.lit("")), line("heading", F.lit(title) if isinstance(title, str) else title))
     none = F.array().cast("array<struct<style:string,text:string>>")
-    trait = lambda t: F.coalesce(own(t), none)
+    own = lambda r: F.when(F.size(F.col("traits")[r["key"]]["confidence_interval"]) >= 2, F.array(line("body", trait_line(r, ""))))
+    body = lambda texts: F.transform(texts, lambda x: line("body", x))
     title = F.concat(F.lit("Confidence level: "), F.col("confidence_flag"), F.lit("  |  Analysis ID: "), F.col("analysis_id"))
-    parts = [F.array(line("title", F.lit("Psychological Profile")), line("note", title)), head("Big Five (OCEAN)"), *map(trait, w.BIG_FIVE_TRAITS)]
-    for t in OTHERS:
-        parts += [head(w.TRAIT_NAMES[t]), trait(t)]
-    values = F.transform(value_lines("", ""), lambda x: F.struct(F.lit("body").alias("style"), x.alias("text")))
-    parts.append(F.when(F.size("values") > 0, F.concat(head("Schwartz Value Orientation"), values)).otherwise(none))
-    parts += [head("Summary Variables"), F.array(*[line("body", summary_line(s, "", "")) for s in w.SUMMARY_LABELS])]
+    parts = [F.array(line("title", F.lit("Psychological Profile")), line("note", title)), head("Big Five (OCEAN)")]
+    parts.append(F.flatten(F.transform(trait_rows(w.BIG_FIVE_TRAITS), lambda r: F.coalesce(own(r), none))))
+    parts.append(F.flatten(F.transform(trait_rows(OTHERS), lambda r: F.concat(head(r["title"]), F.coalesce(own(r), none)))))
+    parts.append(F.when(F.size("values") > 0, F.concat(head("Schwartz Value Orientation"), body(value_lines("", "")))).otherwise(none))
+    parts += [head("Summary Variables"), body(summary_lines("", ""))]
     story = F.transform(F.split("narrative", "\n"), lambda x: F.struct(F.lit("small").alias("style"), x.alias("text")))
     parts.append(F.when(F.col("narrative") != "", F.concat(head("Narrative"), story)).otherwise(none))
     parts.append(F.array(line("gap", F.lit("")), line("note", F.lit(FOOTER))))

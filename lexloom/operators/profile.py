@@ -46,8 +46,8 @@ def values_ranked(feats: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.select(key, F.col("v.value").alias("value"), F.col("v.display").alias("display"), F.col("v.percent").alias("percent"), (F.col("at") + 1).alias("rank"))
 
 
-def trait_struct(name: str) -> Column:
-    score, width = F.col(name), F.col("ci_width")
+def trait_struct(score: Column) -> Column:
+    width = F.col("ci_width")
     ends = F.array(S.low_end(score, width), S.high_end(score, width))
     return F.struct(score.alias("score"), S.percentile(score).cast("int").alias("percentile"), ends.alias("confidence_interval"))
 
@@ -59,15 +59,16 @@ def profiles(docs: DataFrame, lex_rows, key: str = "doc_id", analysis_id: Column
     """
     own = scores(features(docs, lex_rows, key), model)
     names = [c.removeprefix("pct_") for c in own.columns if c.startswith("pct_")]
-    pair = lambda names, of: F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[of(n) for n in names]))
+    values = lambda names, start="": F.array(*[F.col(f"`{start}{n}`") for n in names])
+    pair = lambda names, own: F.map_from_arrays(F.array(*[F.lit(n) for n in names]), own)
     return own.select(
         key,
         (F.uuid() if analysis_id is None else analysis_id).alias("analysis_id"),
         "word_count",
         F.col("coverage").alias("dictionary_coverage"),
         "confidence_flag",
-        pair(list(w.TRAITS), trait_struct).alias("traits"),
-        pair(list(w.VALUES), S.pct).alias("values"),
+        pair(list(w.TRAITS), F.transform(values(w.TRAITS), trait_struct)).alias("traits"),
+        pair(list(w.VALUES), values(w.VALUES, "pct_")).alias("values"),
         F.struct(*[F.col(s) for s in w.SUMMARY]).alias("summary"),
-        pair(names, S.pct).alias("features"),
+        pair(names, values(names, "pct_")).alias("features"),
     )
