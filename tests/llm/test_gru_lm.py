@@ -192,7 +192,35 @@ def test_no_training_documents(spark):
     assert {(r["train_tokens"], r["n_known"], r["n_tokens"], r["base_score"]) for r in rows} == {(0, 0, 3, 0.0)}
 
 
-def test_held_out_texts_are_likelier_than_by_counts(spark):
+@pytest.fixture(scope="module")
+def scored(spark):
+    """The held-out documents of a thousand: (base_score, score) by id; and the words of all."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    base, score = G.scores(docs).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
+    rows = {r["doc_id"]: (r["base_score"], r["score"]) for r in G.scores(docs).where("held_out").collect()}
+    return rows, {r["doc_id"]: [*G.words_of((r["text"] or "").encode()), G.END] for r in docs.collect()}
+
+
+def test_held_out_texts_are_likelier_than_by_counts(scored):
+    rows, _ = scored
+    base, score = (sum(r[k] for r in rows.values()) for k in (0, 1))
     assert score > 0.97 * base
+
+
+def test_new_texts_are_likelier_than_by_interpolated_bigrams(scored):
+    """Of held-out documents that share few rare pairs of words with the training ones; bigrams remember copies, and a small network doesn't."""
+    rows, texts = scored
+    c, pairs, after = Counter(), Counter(), Counter()
+    for d, words in texts.items():
+        if not held(d):
+            c.update(words)
+            for a, b in zip([G.END, *words], words, strict=False):
+                pairs[a, b] += 1
+                after[a] += 1
+    n = sum(c.values()) + len(c) + 1
+    new = [d for d in rows if sum(pairs[a, b] > 0 and c[b] < 20 for a, b in zip([G.END, *texts[d]], texts[d], strict=False)) <= 0.05 * len(texts[d])]
+    assert len(new) > 50
+    best = max(
+        sum(math.log10(share * pairs[a, b] / max(after[a], 1) + (1 - share) * (c[b] + 1) / n) for d in new for a, b in zip([G.END, *texts[d]], texts[d], strict=False))
+        for share in (0.0, 0.05, 0.1, 0.2, 0.3)
+    )
+    assert sum(rows[d][1] for d in new) > 0.97 * best
