@@ -7,6 +7,7 @@ from lexloom.llm.simhash import op2_simhash
 from lexloom.llm.winnowing import op5_winnowing
 from lexloom.llm.toxicity import op10_toxicity
 from lexloom.llm.embedding_dedup import op9_embedding_dedup
+from lexloom.llm.exponion import op13_exponion
 from lexloom.llm.gru_lm import op6_gru_lm
 from lexloom.llm.mixing import op8_mixing
 from lexloom.llm.token_rollup import TOKEN_ROLLUP_WORDS_SQL, op7_token_rollup, token_rollup_words
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_toxicity": op10_toxicity,
+    "op13_exponion": op13_exponion,
 }
 
 ORACLE_SQL: dict[str, str] = {"token_rollup_words": TOKEN_ROLLUP_WORDS_SQL}
