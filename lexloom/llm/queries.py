@@ -11,6 +11,7 @@ from lexloom.llm.exponion import op13_exponion
 from lexloom.llm.gru_lm import op6_gru_lm
 from lexloom.llm.mixing import op8_mixing
 from lexloom.llm.prefix_trie import op12_prefix_trie
+from lexloom.llm.rule_lists import op11_rule_lists
 from lexloom.llm.token_rollup import TOKEN_ROLLUP_WORDS_SQL, op7_token_rollup, token_rollup_words
 from lexloom.llm.warc import op1_warc
 from lexloom.llm.secret_scan import op4_secret_scan
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_rule_lists": op11_rule_lists,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_exponion": op13_exponion,
 }
