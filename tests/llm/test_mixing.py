@@ -73,6 +73,49 @@ def test_messy(messy, nothing):
     assert M.mixture(nothing).count() == 0 and M.mixed(nothing).count() == 0
 
 
+def test_rows_without_an_id_are_units_of_their_own(spark):
+    """And so are rows that share an id and not a text; a third of all rows have none."""
+    rows = [(None, f"w {'x ' * (i % 7)}{i}", "small") for i in range(300)] + [(5, f"y {i}", "small") for i in range(60)] + [(1000 + i, "z " * 40, "big") for i in range(540)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = Counter((r["doc_id"], r["text"]) for r in M.mixed(docs, 1.0, 2.5).collect())
+    own = [n for (d, t), n in out.items() if t[0] != "z"]
+    assert len(own) == 360 and set(own) == {2, 3} and 60 < own.count(3) < 300
+    assert {n for (_, t), n in out.items() if t[0] == "z"} == {1}
+    again = Counter((r["doc_id"], r["text"]) for r in M.mixed(docs.repartition(2), 1.0, 2.5).collect())
+    assert again == out
+
+
+def test_texts_are_not_shuffled(spark):
+    plan = M.mixed(skewed(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_very_many_sources(spark, monkeypatch):
+    want = sorted(map(tuple, M.mixed(skewed(spark)).collect()))
+    monkeypatch.setattr(M, "SOURCES", 2)
+    assert sorted(map(tuple, M.mixed(skewed(spark)).collect())) == want
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_given_tables_are_mixed(spark, sf):
+    """The exponent acts: the entropy is half-way up to the largest, and small sources are seen again in part."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    tokens, seen, times, epochs = Counter(), Counter(), Counter(), defaultdict(Counter)
+    for r in docs.collect():
+        tokens[r["source"]] += len((r["text"] or "").encode().split())
+        times[r["doc_id"]] += 1
+    for r in M.mixture(docs).collect():
+        seen[r["source"]] += r["tokens"]
+        epochs[r["doc_id"]][r["epoch"]] += 1
+    natural = entropy(list(tokens.values()), 1.0) / math.log(len(tokens))
+    alpha = bisected(list(tokens.values()), natural + M.CLOSING * (1 - natural), M.MAX_REPEATS)
+    assert alpha < 0.95 and max(e for own in epochs.values() for e in own) >= 1
+    longest = max(len((r["text"] or "").split()) for r in docs.collect())
+    for s, t in tokens.items():
+        assert 0 <= t * (t / max(tokens.values())) ** (alpha - 1) - seen[s] + 1 <= longest + 2
+    assert all(set(e) == set(range(len(e))) and set(e.values()) == {1} for e in epochs.values()) and len(epochs) == len(times)
+
+
 def test_no_tokens(spark):
     df = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert sorted((r["doc_id"], r["epoch"]) for r in M.mixture(df).collect()) == [(1, 0), (2, 0)]

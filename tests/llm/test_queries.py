@@ -145,7 +145,10 @@ def test_op8(spark, folder, documents, monkeypatch):
     for d, r in documents.items():
         by_source[r["source"]].append(d)
     total = {s: sum(tokens[d] for d in own) for s, own in by_source.items()}
-    alpha, most = bisected([t for t in total.values() if t], mixing.TARGET_ENTROPY, mixing.MAX_REPEATS), max(total.values())
+    seen = [t for t in total.values() if t]
+    natural = -sum(t / sum(seen) * math.log(t / sum(seen)) for t in seen) / math.log(len(seen))
+    target = max(mixing.TARGET_ENTROPY, natural + mixing.CLOSING * (1 - natural))
+    alpha, most = bisected(seen, target, mixing.MAX_REPEATS), max(total.values())
     doc_hash, want = hashed([(d,) for d in documents], "long"), []
     for s, own in by_source.items():
         times = round((total[s] / most) ** (alpha - 1), 9) if total[s] else 1.0
