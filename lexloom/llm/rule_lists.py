@@ -240,11 +240,12 @@ def labelled(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFra
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = staged(known.join(own.select("doc_id").distinct(), "doc_id", "left_semi"), "labelled")
     sample = staged(lowest_hashes(known, bound, known.count(), SEED), "sample")
-    rows = counted(own.join(F.broadcast(sample), "doc_id")).where(~base_failed())  # SAMPLE ids at most
+    rows = counted(own.join(F.broadcast(sample), "doc_id"))  # SAMPLE ids at most
     pruning = F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(SPLIT)) == 0
-    rows = rows.select("doc_id", (1 - F.col("__quality")).alias("rejected"), pruning.alias("pruning"), *[c.alias(n) for n, c in statistics().items()])
-    least = F.min(F.struct("rejected", "pruning", *statistics())).alias("r")
-    return staged(rows.groupBy("doc_id").agg(least).select("r.*"), "statistics")
+    rows = rows.select("doc_id", (1 - F.col("__quality")).alias("rejected"), pruning.alias("pruning"), *[c.alias(n) for n, c in statistics().items()], base_failed().alias("failed"))
+    least = F.min(F.struct("rejected", "pruning", *statistics(), "failed")).alias("r")
+    # The filter comes last: Spark would move an earlier one below the join, to all documents.
+    return staged(rows.groupBy("doc_id").agg(least).select("r.*").where("NOT failed").drop("failed"), "statistics")
 
 
 def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
