@@ -236,18 +236,31 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, k: int = WORDS, block
 def deduplicate(docs: DataFrame, radius: int = RADIUS, k: int = WORDS) -> DataFrame:
     """One document of each component, and one of its documents without an id, if it has any.
 
-    It is the one with the smallest id; of equal ids, the one whose text hashes lowest.
+    It is the one with the smallest id; of equal ids, the one whose text hashes lowest; of equal texts, the one whose
+    other columns, as JSON, do. Rows that are equal in all columns are one document.
     """
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     own = F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), F.lit(b"|"), text), 256))
-    docs = docs.withColumn("__row", own)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # A null text and an empty one tie too.
+    others = F.sha2(F.to_json(F.struct(F.col("text").isNull().alias("__null"), *rest)), 256)
+    docs = docs.withColumn("__row", F.concat(own, F.unhex(others)))
     rows = staged(fingerprints(docs, k, ("__row",)), "fingerprints")
+    members = staged(grouped(rows, radius), "members")
     least = lambda of: F.min(of).alias("least")
     # By fingerprint first, so a component with many rows is a few when it meets.
     by_fp = rows.groupBy("fp", F.col("doc_id").isNull().alias("lone")).agg(least(F.struct("doc_id", "__row")))
-    by_component = by_fp.join(grouped(rows, radius).select("fp", "component"), "fp").groupBy("component", "lone").agg(least("least"))
-    kept = by_component.select("least.__row")
-    return docs.dropDuplicates(["__row"]).join(kept, "__row", "left_semi").drop("__row")
+    by_component = by_fp.join(members.select("fp", "component"), "fp").groupBy("component", "lone").agg(least("least"))
+    kept = staged(by_component.select("least.__row"), "kept")
+    # Rows that very many rows equal, in every column, are one in each task before they meet; such rows are few.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = max((members.agg(F.sum("n")).first()[0] or 0) // (4 * parts), 16)
+    often = rows.join(F.broadcast(members.where(F.col("n") > each).select("fp")), "fp", "left_semi").groupBy("__row").agg(F.count("*").alias("n"))
+    hot = staged(often.where(F.col("n") > each).select("__row"), "hot")
+    found = docs.join(F.broadcast(hot), "__row", "left_anti").join(kept, "__row", "left_semi")
+    if not hot.isEmpty():
+        found = found.unionByName(docs.join(F.broadcast(hot.join(kept, "__row", "left_semi")), "__row", "left_semi").dropDuplicates(["__row"]))
+    return found.dropDuplicates(["__row"]).drop("__row")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

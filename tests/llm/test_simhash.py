@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -106,6 +107,27 @@ def test_one_of_each_group_stays_whatever_the_ids(spark):
     assert sorted(map(tuple, simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == [(1, a), (1, b)]
 
 
+def test_ties_go_by_all_columns(spark):
+    """Rows of one id and one text: whatever the split, the same one stays."""
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, f"source {i}", i) for i in range(8)] + [(2, None, "x", 1), (2, "", "x", 1), (2, "", "w", 1)] + [(None, text, f"lone {i}", i) for i in range(4)]
+    found = set()
+    for seed in range(4):
+        dealt = random.Random(seed).sample(rows, len(rows))
+        out = simhash.deduplicate(spark.createDataFrame(dealt, "doc_id long, text string, source string, n int").repartition(1 + seed)).collect()
+        found.add(tuple(sorted(map(tuple, out), key=str)))
+    assert len(found) == 1 and [r[0] for r in next(iter(found))] == [1, 2, None]
+
+
+@pytest.mark.parametrize("copies", [3, 400])
+def test_rows_equal_in_all_columns_are_one(spark, copies):
+    """Few, and so many that they are one in each task first."""
+    text, other = (" ".join(f"{w}{i}" for i in range(30)) for w in ("ab", "cd"))
+    rows = [(1, text, "s")] * copies + [(None, None, None)] * copies + [(2, text, "s"), (3, other, None)] + [(10 + i, f"{i * 7919} {i * 104729} {i} x{i}", "s") for i in range(40)]
+    out = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)).collect()
+    assert sorted(map(tuple, out), key=str) == sorted({(1, text, "s"), (None, None, None), (3, other, None)} | set(rows[-40:]), key=str)
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     links = [(i, i + 1) for i in range(0, 300)] + [(1000, x) for x in range(1001, 1400)] + [(int(a), int(b)) for a, b in rng.integers(2000, 2600, (250, 2))] + [(5, 5), (7, 8)]
