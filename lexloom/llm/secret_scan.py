@@ -2,7 +2,7 @@
 
 Every version of every path is content-addressed (SHA-256 of its text). A ledger keeps, for
 each blob, the rule versions that have scanned it and what they found. A batch scans only
-the pairs of blob and rule version that the ledger lacks, one representative per blob, and
+the pairs of blob and rule version that the ledger lacks, one row per blob however many rows repeat it, and
 findings are joined back to all paths that hold the blob. A batch is one directory written
 by Spark's commit protocol, so a retried task or batch leaves no duplicates; it counts once it
 is committed.
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import file_system, new_path, slices, spread_join, staged, table, text_or_empty
 
 FINDINGS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+#: Blobs with findings and their spans that are broadcast to where texts are masked: some 10 MB.
+SPANS = 200_000
 LEDGER_SCHEMA = "blob binary, rules array<string>, findings array<struct<kind:string, start:long, end:long>>"
 
 
@@ -96,12 +98,24 @@ class BlobLedger:
         return self.spark.read.schema(LEDGER_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], LEDGER_SCHEMA)
 
     def pending(self, versions: DataFrame) -> DataFrame:
-        """(blob, path, rules): for each blob with unseen rule versions, the path of one version and those rules."""
-        blobs = versions.groupBy("blob").agg(F.min("path").alias("path"))
+        """(blob, path, rules, n): for each blob with unseen rule versions, the path of one version, those rules, and how many rows have it."""
+        blobs = versions.groupBy("blob").agg(F.min("path").alias("path"), F.count("*").alias("n"))
         seen = self.entries().groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("rules"))).alias("seen"))
         current = F.array(*[F.lit(r.key) for r in self.rules])
         todo = F.array_except(current, F.coalesce("seen", F.array().cast("array<string>")))
-        return blobs.join(seen, "blob", "left").select("blob", "path", todo.alias("rules")).where(F.size("rules") > 0)
+        return blobs.join(seen, "blob", "left").select("blob", "path", todo.alias("rules"), "n").where(F.size("rules") > 0)
+
+    def representatives(self, keyed: DataFrame) -> DataFrame:
+        """(blob, rules, text): one row of ``keyed`` (path, text, blob) for each blob with unseen rule versions."""
+        todo = staged(self.pending(keyed.select("path", "blob")), "pending").withColumnsRenamed({"path": "p", "blob": "b"})
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        each = max((todo.agg(F.sum("n")).first()[0] or 0) // (4 * parts), 16)
+        # Blobs of very many rows, fewer than 4 * parts, are one row in each task before they meet.
+        hot = F.broadcast(todo.where(F.col("n") > each))
+        often = keyed.join(hot, F.col("blob") == F.col("b")).select("blob", "rules", "text").dropDuplicates(["blob"])
+        # Other rows are dealt by path and blob: evenly, whatever their texts. Rows that repeat with their path meet there.
+        rest = keyed.join(todo.where(F.col("n") <= each), F.col("path").eqNullSafe(F.col("p")) & (F.col("blob") == F.col("b")))
+        return rest.dropDuplicates(["path", "blob"]).select("blob", "rules", "text").unionByName(often)
 
     def scan(self, versions: DataFrame, batch: str) -> None:
         """Scans what is unseen of ``versions`` (path, text) and commits it as ``batch``.
@@ -118,11 +132,7 @@ class BlobLedger:
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column("blob"), batch.column("rules"), pa.array(found, FINDINGS)], names=["blob", "rules", "findings"])
 
-        keyed = with_blob(versions)
-        todo = self.pending(keyed.select("path", "blob")).withColumnsRenamed({"path": "p", "blob": "b"})
-        # Paths are dealt evenly whatever their texts, so the join is on the path and not on the blob alone.
-        work = keyed.join(todo, F.col("path").eqNullSafe(F.col("p")) & (F.col("blob") == F.col("b")))
-        out = work.select("blob", "rules", "text").mapInArrow(run, LEDGER_SCHEMA)
+        out = self.representatives(with_blob(versions)).mapInArrow(run, LEDGER_SCHEMA)
         path = self._batch(batch)
         # Entries are read while this is written, so nothing that they come from may be removed.
         out.write.mode("append" if self._is_committed(path) else "overwrite").parquet(path)
@@ -174,8 +184,15 @@ def redact(spark: SparkSession, docs: DataFrame) -> DataFrame:
     ledger = BlobLedger(spark, new_path(spark, "ledger"))
     ledger.scan(docs.select(F.col("doc_id").alias("path"), "text"), "0")
     # By the text and not by the id, which rows with other texts may share or lack.
-    found = ledger.findings().select(F.col("blob").alias("__blob"), F.col("findings").alias("__found"))
+    found = staged(ledger.findings().select(F.col("blob").alias("__blob"), F.col("findings").alias("__found")), "found")
     schema, names = docs.schema, docs.columns
+    rows = docs.withColumn("__blob", blob_of("text"))
+    n, spans = found.agg(F.count("*"), F.coalesce(F.sum(F.size("__found")), F.lit(0))).first()
+    if n + spans <= SPANS:
+        rows = rows.join(F.broadcast(found), "__blob", "left")
+    else:
+        counted = rows.groupBy("__blob").agg(F.count("*").alias("n")).join(found, "__blob")
+        rows = spread_join(rows, staged(counted, "counted"), ["__blob"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -186,7 +203,7 @@ def redact(spark: SparkSession, docs: DataFrame) -> DataFrame:
             texts = [t if f is None else masked(t or "", f) for t, f in zip(batch.column("text").to_pylist(), found.to_pylist(), strict=True)]
             yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).select(names)
 
-    out = docs.join(found, blob_of("text") == F.col("__blob"), "left").drop("__blob").mapInArrow(run, schema)
+    out = rows.select(*names, "__found").mapInArrow(run, schema)
     return out.withColumn("n_chars", F.char_length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
