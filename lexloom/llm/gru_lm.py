@@ -7,7 +7,7 @@ words sum to one. The network (a GRU in numpy, output softmax factored into clas
 a class) is trained by truncated backpropagation, the state carried from window to window and
 cleared at a document's end. It starts from a bounded sample; then every training document is seen
 once, in ROUNDS rounds: its documents are dealt by hashes to copies of the network, one for
-COPY_TOKENS tokens, and the copies are averaged by their tokens in a tree. How the table is split
+COPY_TOKENS tokens but MOST_COPIES at most, whatever the input, and the copies are averaged by their tokens in a tree. How the table is split
 changes none of this, so scores follow from the table's rows, but for the last digits of sums. For
 scoring, whole documents are laid into parallel streams, so each is read from its first word to its end
 with its own state.
@@ -48,6 +48,8 @@ WORDS = SYMBOLS - BUCKETS - 1
 FIRST_DOCUMENTS, FIRST_TOKENS, FIRST_PASSES, ROUNDS, STREAMS, BACK, RATE = 512, 1 << 20, 4, 2, 512, 12, 0.004
 #: Tokens of a round that one copy of the network is trained on, about; tokens that it lays out at once.
 COPY_TOKENS, HELD_TOKENS = 1 << 20, 1 << 22
+#: Copies of the network in a round at most: beyond, each is trained on more tokens, of which it lays out HELD_TOKENS at once.
+MOST_COPIES = 2048
 #: Scoring: streams, steps whose outputs are computed at once, steps laid out at once (a multiple of SPAN).
 LANES, SPAN, LAID = 512, 32, 512
 END = b""
@@ -381,7 +383,7 @@ def train(encoded: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
     sample = own.join(F.broadcast(staged(first, "first")), "doc_id").groupBy("doc_id").agg(F.min("symbols").alias("symbols"))  # of rows that share an id one
     sample = sample.repartition(1).sortWithinPartitions(*order)
     half = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(ROUNDS))
-    copies = max(1, -(-vocab.tokens // (ROUNDS * COPY_TOKENS)))
+    copies = max(1, min(MOST_COPIES, -(-vocab.tokens // (ROUNDS * COPY_TOKENS))))
     copy = F.pmod(F.xxhash64(F.lit(6), "doc_id", "symbols"), F.lit(copies)).cast("int")
     dealt = lambda k: own.where(half == k).repartitionById(copies, copy).sortWithinPartitions(*order)
     plans = [(sample, RATE * 2, FIRST_PASSES)] + [(dealt(k), RATE / (k + 1), 1) for k in range(ROUNDS)]

@@ -166,6 +166,19 @@ def test_scores_do_not_follow_from_the_split(spark, monkeypatch):
     assert a.keys() == b.keys() and all(a[d] == pytest.approx(b[d], rel=1e-5) for d in a)
 
 
+def test_copies_are_bounded(spark, monkeypatch):
+    """However many tokens there are, and each copy then lays out its tokens piece by piece."""
+    monkeypatch.setattr(G, "COPY_TOKENS", 500)
+    monkeypatch.setattr(G, "HELD_TOKENS", 3000)
+    monkeypatch.setattr(G, "MOST_COPIES", 3)
+    found = []
+    averaged = G.averaged
+    monkeypatch.setattr(G, "averaged", lambda rows: (found.append([r["n"] for r in rows.collect()]), averaged(rows))[1])
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    n = G.scores(docs).agg(F.max("train_tokens")).first()[0]
+    assert len(found) == 1 + G.ROUNDS and all(len(x) == 3 for x in found[1:]) and sum(map(sum, found[1:])) == n > 3 * 2 * 3000
+
+
 def test_the_first_sample_is_bounded_by_tokens(spark, monkeypatch):
     monkeypatch.setattr(G, "FIRST_TOKENS", 1000)
     seen = []
