@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import http.client
 import os
 import urllib.parse
 import urllib.request
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from lexloom.sources.shared import staged
 
 JOINT = "\n\n"
+#: What an address or its server may cause: the row fails, and not the task.
+FAILURES = (OSError, ValueError, http.client.HTTPException)
 
 
 @dataclass(frozen=True)
@@ -47,9 +50,10 @@ class Config:
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
     """(name, text) of the ``.txt`` files in ``folder``, whatever the case of the ending, not below it.
 
+    Bytes that are no UTF-8 become U+FFFD, so a file in another encoding is a text like any other.
     Spark leaves out names that begin with a dot or an underscore.
     """
-    return _files(spark, folder).select("name", F.decode("content", "UTF-8").alias("text"))
+    return _files(spark, folder).select("name", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,12 +69,13 @@ def folder_size(spark: SparkSession, folder: str) -> tuple[int, int]:
     return n, size + len(JOINT) * (n - 1)
 
 
-def joined_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(text, files_read): the files as one document, by name.
+def joined_files(spark: SparkSession, folder: str, most: int = Config.max_text_size) -> DataFrame:
+    """(text, files_read): the files as one document, by name; a ValueError where it has more than ``most`` bytes (0: any number).
 
-    For folders that are one document, whose size :func:`folder_size` tells first; a corpus of files is read by :func:`text_files`.
+    For folders that are one document, whose size is known before a text is read; a corpus of files is read by :func:`text_files`.
     """
-    folder_size(spark, folder)
+    if 0 < most < folder_size(spark, folder)[1]:
+        raise ValueError("combined text exceeds max size")
     files = text_files(spark, folder).agg(F.array_sort(F.collect_list(F.struct("name", "text"))).alias("f"))
     return files.select(F.array_join(F.transform("f", lambda x: x["text"]), JOINT).alias("text"), F.size("f").cast("long").alias("files_read"))
 
@@ -104,7 +109,10 @@ def fetch_text(url: str, timeout: float = Config.fetch_timeout, most: int = Conf
     with urllib.request.urlopen(url, timeout=timeout) as r:
         if r.status != 200:
             raise OSError(f"HTTP {r.status}")
-        return (r.read(most + 1) if most > 0 else r.read()).decode("utf-8", "replace")
+        body = r.read(most + 1) if most > 0 else r.read()
+        if r.length and (most <= 0 or len(body) <= most):  # what the server has announced and not sent
+            raise OSError("unexpected EOF")
+        return body.decode("utf-8", "replace")
 
 
 def fetched(requests: DataFrame, fetch: Callable[[str], str] = fetch_text, wanted: Column | None = None) -> DataFrame:
@@ -121,7 +129,7 @@ def fetched(requests: DataFrame, fetch: Callable[[str], str] = fetch_text, wante
                 try:
                     texts.append(fetch(url))
                     errors.append(None)
-                except (OSError, ValueError) as e:
+                except FAILURES as e:
                     texts.append(None)
                     errors.append(str(e) or type(e).__name__)
             yield pd.DataFrame({"__url": pdf["__url"], "__text": texts, "fetch_error": errors}, dtype=object)

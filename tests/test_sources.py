@@ -1,0 +1,85 @@
+"""Sources whose rows fail without failing the job: servers that break off, files of any bytes."""
+
+import socket
+import threading
+from contextlib import contextmanager
+
+import pytest
+
+from lexloom.operators import validation as V
+from lexloom.sources import texts
+
+ANSWERS = {
+    "/good": b"HTTP/1.1 200 OK\r\nContent-Length: 15\r\n\r\na text as it is",
+    "/open": b"HTTP/1.1 200 OK\r\n\r\nuntil the connection ends",
+    "/cut": b"HTTP/1.1 200 OK\r\nContent-Length: 500\r\n\r\n" + b"x" * 10,
+    "/chunks": b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nwhole\r\n6\r\n parts\r\n0\r\n\r\n",
+    "/cutchunks": b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n50\r\nshort",
+    "/status": b"not a status line\r\n\r\nbody",
+    "/silent": b"",
+    "/missing": b"HTTP/1.1 404 Not Found\r\nContent-Length: 0\r\n\r\n",
+    "/loop": b"HTTP/1.1 302 Found\r\nLocation: /loop\r\nContent-Length: 0\r\n\r\n",
+    "/latin": b"HTTP/1.1 200 OK\r\nContent-Length: 15\r\n\r\nna\xefve r\xe9sum\xe9 ok",
+    "/long": b"HTTP/1.1 200 OK\r\nContent-Length: 3000000\r\n\r\n" + b"y" * 3_000_000,
+}
+
+
+@contextmanager
+def server(answers, seen=None):
+    """A server that writes the bytes of each path and hangs up."""
+    with socket.create_server(("127.0.0.1", 0)) as own:
+
+        def one(link):
+            with link:
+                path = link.recv(65536).split(b" ")[1].decode()
+                if seen is not None:
+                    seen.append(path)
+                answer = answers(path) if callable(answers) else answers[path]
+                try:
+                    link.sendall(answer)
+                except OSError:
+                    pass
+
+        def serve():
+            while True:
+                try:
+                    link, _ = own.accept()
+                except OSError:
+                    return
+                threading.Thread(target=one, args=(link,), daemon=True).start()
+
+        threading.Thread(target=serve, daemon=True).start()
+        yield f"http://127.0.0.1:{own.getsockname()[1]}"
+
+
+def test_rows_fail_and_not_the_job(spark):
+    with server(ANSWERS) as at:
+        rows = [(None, "url", None, f"{at}{path}") for path in ANSWERS] + [(None, "url", None, "http://127.0.0.1:1/refused"), (None, "url", None, "http://[bad"), (None, "url", None, f"{at}/with space")]
+        got = V.validated(texts.fetched(spark.createDataFrame(rows, V.REQUEST).repartition(3), texts.fetch_text), fetched=True).collect()
+    found = {r["source_url"].removeprefix(at): r for r in got}
+    assert len(found) == len(rows)
+    assert {p: found[p]["text"] for p in found if found[p]["reject"] is None} == {"/good": "a text as it is", "/open": "until the connection ends", "/chunks": "whole parts", "/latin": "na�ve r�sum� ok"}
+    assert found["/long"]["reject"] == "text exceeds max size"
+    failed = set(found) - {"/good", "/open", "/chunks", "/latin", "/long", "/with space"}
+    assert all(found[p]["reject"].startswith("failed to fetch URL: ") and found[p]["text"] is None for p in failed)
+    assert found["/cut"]["reject"] == "failed to fetch URL: unexpected EOF" and "SourceURL" in found["/with space"]["reject"]
+
+
+def test_whole_bodies_without_a_limit():
+    with server(ANSWERS) as at:
+        assert len(texts.fetch_text(f"{at}/long", most=0)) == 3_000_000
+        for path in ("/cut", "/cutchunks"):
+            with pytest.raises(texts.FAILURES):
+                texts.fetch_text(f"{at}{path}", most=0)
+
+
+def test_files_of_any_bytes(spark, tmp_path):
+    files = {"a.txt": "naïve résumé".encode("latin-1"), "b.TXT": "naïve ☃".encode(), "c.txt": b"\xff\xfe\x00 half \xe2\x98", "d.txt": b""}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r["name"]: r["text"] for r in texts.text_files(spark, f"file://{tmp_path}").collect()}
+    assert got == {name: content.decode("utf-8", "replace") for name, content in files.items()}
+    r = texts.joined_files(spark, f"file://{tmp_path}").first()
+    assert r["files_read"] == 4 and r["text"].startswith("na�ve r�sum�\n\nnaïve ☃\n\n")
+    with pytest.raises(ValueError, match="max size"):
+        texts.joined_files(spark, f"file://{tmp_path}", 20)
