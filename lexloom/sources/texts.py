@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.sources.shared import staged
+from lexloom.sources.shared import file_system, staged
 
 JOINT = "\n\n"
 #: What an address or its server may cause: the row fails, and not the task.
@@ -58,7 +58,14 @@ def text_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(folder).where(F.lower("path").endswith(".txt"))
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "content")
+    files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "content")
+    # Spark plans no task for files without a byte, so they come from the listing.
+    own, fs = file_system(spark, folder)
+    listed = ((x.getPath().getName(), x.getLen(), x.isFile()) for x in fs.listStatus(own))
+    empty = [(name,) for name, size, is_file in listed if is_file and not size and name.lower().endswith(".txt") and name[0] not in "._"]
+    if not empty:
+        return files
+    return files.unionByName(spark.createDataFrame(empty, "name string").select("name", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
 
 
 def folder_size(spark: SparkSession, folder: str) -> tuple[int, int]:
