@@ -110,12 +110,15 @@ class BlobLedger:
         todo = staged(self.pending(keyed.select("path", "blob")), "pending").withColumnsRenamed({"path": "p", "blob": "b"})
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         each = max((todo.agg(F.sum("n")).first()[0] or 0) // (4 * parts), 16)
+        # Other rows are dealt by their path's hash and blob: evenly, whatever their texts. Rows that repeat meet there, and one goes on.
+        rest = todo.where(F.col("n") <= each).select(F.xxhash64("p").alias("h"), F.col("b").alias("blob"), "rules")
+        rest = keyed.select(F.xxhash64("path").alias("h"), "blob", "text").join(rest, ["h", "blob"]).dropDuplicates(["h", "blob"]).select("blob", "rules", "text")
         # Blobs of very many rows, fewer than 4 * parts, are one row in each task before they meet.
-        hot = F.broadcast(todo.where(F.col("n") > each))
-        often = keyed.join(hot, F.col("blob") == F.col("b")).select("blob", "rules", "text").dropDuplicates(["blob"])
-        # Other rows are dealt by path and blob: evenly, whatever their texts. Rows that repeat with their path meet there.
-        rest = keyed.join(todo.where(F.col("n") <= each), F.col("path").eqNullSafe(F.col("p")) & (F.col("blob") == F.col("b")))
-        return rest.dropDuplicates(["path", "blob"]).select("blob", "rules", "text").unionByName(often)
+        hot = todo.where(F.col("n") > each)
+        if hot.isEmpty():
+            return rest
+        often = keyed.join(F.broadcast(hot), F.col("blob") == F.col("b")).select("blob", "rules", "text").dropDuplicates(["blob"])
+        return rest.unionByName(often)
 
     def scan(self, versions: DataFrame, batch: str) -> None:
         """Scans what is unseen of ``versions`` (path, text) and commits it as ``batch``.
