@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
+from lexloom.operators import parts as P
 from lexloom.sources import lexicon as L
 
 STATS = ["word_count", "sentence_count", "paragraph_count", "type_token_ratio"]
@@ -24,16 +25,21 @@ def category_names(rows: list[tuple[str, str, int]]) -> list[str]:
 def counted(docs: DataFrame, lex_rows: list[tuple[str, str, int]], key: str = "doc_id") -> DataFrame:
     """(key, word_count, covered, word_bytes, big_words_seen, cnt_<category>) of ``docs`` (key, text).
 
-    Rows with the same key are one document in several parts.
+    Rows with the same key are one document in several parts, whose counts are summed; an unclosed tag ends
+    with its row. Where it shouldn't, the words come from :mod:`lexloom.operators.parts`.
     """
+    return counted_words(docs.select(key, F.explode_outer(T.tokens(T.clean(F.col("text")))).alias("__word")), lex_rows, key)
+
+
+def counted_words(words: DataFrame, lex_rows: list[tuple[str, str, int]], key: str = "doc_id") -> DataFrame:
+    """As :func:`counted`, from ``words`` (key, __word): a row for each word, and a null word for keys without any."""
     names = category_names(lex_rows)
-    wide = L.wide(docs.sparkSession, lex_rows, names)
-    words = docs.select(key, F.explode_outer(T.tokens(T.clean(F.col("text")))).alias("word"))
-    hits = words.join(L.hinted(wide, len(lex_rows)), "word", "left")
-    size = F.octet_length("word")
+    wide = L.wide(words.sparkSession, lex_rows, names).withColumnRenamed("word", "__word")
+    hits = words.join(L.hinted(wide, len(lex_rows)), "__word", "left")
+    size = F.octet_length("__word")
     known = F.col(f"m_{names[0]}").isNotNull() if names else F.lit(False)
     return hits.groupBy(key).agg(
-        F.count("word").alias("word_count"),
+        F.count("__word").alias("word_count"),
         F.sum(F.when(known, 1).otherwise(0)).alias("covered"),
         F.coalesce(F.sum(size), F.lit(0)).alias("word_bytes"),
         F.sum(F.when(size >= BIG_WORD_BYTES, 1).otherwise(0)).alias("big_words_seen"),
@@ -48,9 +54,14 @@ def share(part, n):
 
 def features(docs: DataFrame, lex_rows: list[tuple[str, str, int]], key: str = "doc_id") -> DataFrame:
     """(key, word_count, coverage, avg_word_length, big_word_ratio, pct_<category>)."""
+    return shares(counted(docs, lex_rows, key), lex_rows, key)
+
+
+def shares(counts: DataFrame, lex_rows: list[tuple[str, str, int]], *keys: str) -> DataFrame:
+    """Features from the counts of :func:`counted`, or sums of these."""
     n = F.col("word_count")
-    return counted(docs, lex_rows, key).select(
-        key,
+    return counts.select(
+        *keys,
         "word_count",
         share(F.col("covered"), n).alias("coverage"),
         share(F.col("word_bytes"), n).alias("avg_word_length"),
@@ -59,9 +70,16 @@ def features(docs: DataFrame, lex_rows: list[tuple[str, str, int]], key: str = "
     )
 
 
+def part_features(parts: P.Parts, lex_rows: list[tuple[str, str, int]]) -> DataFrame:
+    """As :func:`features`, of documents in several rows exactly as if their parts had been joined."""
+    return shares(counted_words(P.words(parts), lex_rows, parts.key), lex_rows, parts.key)
+
+
 def evidence(docs: DataFrame, lex_rows: list[tuple[str, str, int]], key: str = "doc_id") -> DataFrame:
     """(key, category, word, hits): which words a document's percents come from."""
-    lex = L.lexicon(docs.sparkSession, lex_rows)
-    words = docs.select(key, F.explode(T.tokens(T.clean(F.col("text")))).alias("word"))
-    hits = words.join(L.hinted(lex, len(lex_rows)), "word")
-    return hits.groupBy(key, "category", "word").agg(F.sum("mult").alias("hits"))
+    if key in ("category", "word", "hits"):
+        raise ValueError(f"a key can't be named {key} here")
+    lex = L.lexicon(docs.sparkSession, lex_rows).select(F.col("word").alias("__word"), F.col("category").alias("__category"), F.col("mult").alias("__mult"))
+    words = docs.select(key, F.explode(T.tokens(T.clean(F.col("text")))).alias("__word"))
+    hits = words.join(L.hinted(lex, len(lex_rows)), "__word")
+    return hits.groupBy(key, F.col("__category").alias("category"), F.col("__word").alias("word")).agg(F.sum("__mult").alias("hits"))

@@ -24,27 +24,28 @@ FEW = 1024
 
 @dataclass(frozen=True)
 class Total:
-    """An associative aggregate of ``value``, and how two of its results are merged."""
+    """An associative aggregate of ``value``, and how two of its results are merged; ``before``: of earlier rows only, null where there are none."""
 
     value: Column
     aggregate: Callable[[Column], Column] = F.sum
     merge: Callable[[Column, Column], Column] = operator.add
+    before: bool = False
 
 
-def added(value: Column) -> Total:
-    return Total(value)
+def added(value: Column, before: bool = False) -> Total:
+    return Total(value, before=before)
 
 
 def xored(value: Column) -> Total:
     return Total(value, F.bit_xor, lambda a, b: a.bitwiseXOR(b))
 
 
-def largest(value: Column) -> Total:
-    return Total(value, F.max, F.greatest)
+def largest(value: Column, before: bool = False) -> Total:
+    return Total(value, F.max, F.greatest, before)
 
 
 def running(rows: DataFrame, keys: list[str], order: list[Column], totals: dict[str, Total], few: int = FEW) -> DataFrame:
-    """``rows`` with each of ``totals`` over the rows of the same keys from the first to this one.
+    """``rows`` with each of ``totals`` over the rows of the same keys from the first to this one, or to the one before.
 
     ``rows`` is a staged table, for it is read several times. Null keys are a key; rows that tie in
     ``order`` are taken in any order.
@@ -54,8 +55,8 @@ def running(rows: DataFrame, keys: list[str], order: list[Column], totals: dict[
     # One pass over the counts: their sum, and of the keys with most rows as many as can be hot.
     most = counts.orderBy(F.desc("__n")).limit(4 * parts).select("__n").collect()
     each = max((rows.count() if most and most[0]["__n"] > few else 0) // (4 * parts), few)
-    window = lambda *by: W.partitionBy(*by, *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    plain = {name: t.aggregate(t.value).over(window()) for name, t in totals.items()}
+    window = lambda t, *by: W.partitionBy(*by, *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if t.before else 0)
+    plain = {name: t.aggregate(t.value).over(window(t)) for name, t in totals.items()}
     if not most or most[0]["__n"] <= each:
         return rows.withColumns(plain)
     hot = counts.where(F.col("__n") > each).select(*[F.col(k).alias(f"__{k}") for k in keys])
@@ -68,7 +69,7 @@ def running(rows: DataFrame, keys: list[str], order: list[Column], totals: dict[
     ahead = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # at most one row a range
     sums = sums.withColumns({f"__{name}": t.aggregate(F.col(f"__{name}")).over(ahead) for name, t in totals.items()})
     sums = sums.withColumnsRenamed({k: f"__{k}" for k in keys}).withColumnRenamed("__part", "__range")
-    own = dealt.withColumns({name: t.aggregate(t.value).over(window("__part")) for name, t in totals.items()})
+    own = dealt.withColumns({name: t.aggregate(t.value).over(window(t, "__part")) for name, t in totals.items()})
     # There are fewer than two rows a range in all, for ranges follow one another.
     own = own.join(F.broadcast(sums), same & (F.col("__part") == F.col("__range")))
     merged = {name: F.coalesce(t.merge(F.col(f"__{name}"), F.col(name)), F.col(name), F.col(f"__{name}")) for name, t in totals.items()}

@@ -14,6 +14,7 @@ from lexloom.functions import weights as w
 from lexloom.operators import analyze as A
 from lexloom.operators import features as feat
 from lexloom.operators import narrative as N
+from lexloom.operators import parts
 from lexloom.operators import profile as P
 from lexloom.operators import validation as V
 from lexloom.plans import sql as Q
@@ -88,13 +89,20 @@ def clean_edge_cases(spark, sf_dir):
     return own.select("case_id", "clean_text", F.array_join("tokens", " ").alias("tokens"), *feat.STATS)
 
 
-def stats_sql(source: str, key: str, extra: str) -> str:
-    return rf"""WITH {Q.cleaned(source)} SELECT k AS {key}{extra}, len(toks)::BIGINT AS word_count,
+def stats_sql(source: str, key: str, extra: str, more: str = "") -> str:
+    return rf"""WITH {more}{Q.cleaned(source)} SELECT k AS {key}{extra}, len(toks)::BIGINT AS word_count,
       CASE WHEN length(c) = length(translate(c, '.!?', '')) AND length(regexp_replace(c, '[{T.WHITE}]+', '', 'g')) > 0 THEN 1 ELSE length(c) - length(translate(c, '.!?', '')) END::BIGINT AS sentence_count,
       len(list_filter(string_split(c, chr(10) || chr(10)), lambda x: x <> ''))::BIGINT AS paragraph_count,
       CASE WHEN len(toks) > 0 THEN len(list_distinct(toks))::DOUBLE / len(toks) ELSE 0::DOUBLE END AS type_token_ratio FROM clean"""
 
 
+def parts_sql(source: str, key: str, order: str) -> str:
+    """Statistics of the joined texts of ``source`` (k, the order, text)."""
+    more = f"rows0 AS ({source}), n0 AS (SELECT k AS nk, count(*)::BIGINT AS parts FROM rows0 GROUP BY k), "
+    own = stats_sql(f"SELECT k, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY {order}) AS text FROM rows0 GROUP BY k", key, ", parts, len(list_distinct(toks))::BIGINT AS unique_words", more)
+    return f"{own} JOIN n0 ON nk IS NOT DISTINCT FROM k"
+
+
 def sql_text(x: str | None) -> str:
     if x is None:
         return "NULL"
@@ -111,9 +119,18 @@ def _pieces(x: str) -> list[str]:
     return [p for p in out if p]
 
 
+#: Around a turn's text by its number's remainder: tags and blank lines that begin in one turn and end in a later one.
+SPLIT = (("", ' <b title="'), ('x">', "\n\n <i"), ("", "mid"), ("dle> end. ", ""), ("\n \n", "glued<u"), (">to this", " 1 <"))
 EDGES = "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {sql_text(t)})" for i, t in enumerate(EDGE_TEXTS)) + ") v(k, text)"
 
 
+SPLIT_TURNS = "SELECT conv_id AS k, turn, " + " || ".join(
+    [f"CASE (turn % {len(SPLIT)} + {len(SPLIT)}) % {len(SPLIT)} {' '.join(f'WHEN {i} THEN {sql_text(x[0])}' for i, x in enumerate(SPLIT))} END", "coalesce(text, '')",
+     f"CASE (turn % {len(SPLIT)} + {len(SPLIT)}) % {len(SPLIT)} {' '.join(f'WHEN {i} THEN {sql_text(x[1])}' for i, x in enumerate(SPLIT))} END"]
+) + " AS text FROM conversations"
+SPLIT_TEXTS = f"SELECT k, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM ({SPLIT_TURNS}) GROUP BY k"
+
+
 def word_freq(spark, sf_dir):
     words = docs(spark, sf_dir).select(F.explode(T.tokens(T.clean(F.col("text")))).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n"))
@@ -217,7 +234,7 @@ def analyze_pages(spark, sf_dir):
 
 def corpus_profile(spark, sf_dir):
     """Conversations, each as one document of all its turns."""
-    out = P.scores(feat.features(read(spark, sf_dir, "conversations"), lex(), "conv_id"))
+    out = P.scores(feat.features(spread(read(spark, sf_dir, "conversations").select("conv_id", "text"), "conv_id"), lex(), "conv_id"))
     return out.select("conv_id", "word_count", "coverage", "confidence_flag", "ci_width", *w.TRAITS, *w.SUMMARY)
 
 
@@ -227,6 +244,31 @@ def source_profile(spark, sf_dir):
     return out.select("source", "word_count", "coverage", "confidence_flag", "ci_width", *w.TRAITS, *w.SUMMARY)
 
 
+def split_turns(spark, sf_dir):
+    """Conversations whose markup goes on from turn to turn."""
+    own = spread(read(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id")
+    at = F.pmod("turn", F.lit(len(SPLIT))).cast("int")
+    sides = [F.element_at(F.array(*[F.lit(x[k]) for x in SPLIT]), at + 1) for k in (0, 1)]
+    return own.select("conv_id", "turn", F.concat(sides[0], F.coalesce("text", F.lit("")), sides[1]).alias("text"))
+
+
+def conversation_stats(spark, sf_dir):
+    """Conversations, each as one text of all its turns, exactly, though no texts are joined."""
+    return parts.stats(parts.parts(split_turns(spark, sf_dir), "conv_id", ["turn"]))
+
+
+def conversation_profile(spark, sf_dir):
+    """Scores of conversations whose markup goes on from turn to turn."""
+    out = P.scores(feat.part_features(parts.parts(split_turns(spark, sf_dir), "conv_id", ["turn"]), lex()))
+    return out.select("conv_id", "word_count", "coverage", "confidence_flag", "ci_width", *w.TRAITS, *w.SUMMARY)
+
+
+def source_stats(spark, sf_dir):
+    """Sources, each as one text of all its documents, with exact distinct words."""
+    own = spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    return parts.stats(parts.parts(own, "source", ["doc_id"]))
+
+
 def doc_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles with narratives, under ids that don't change."""
     return N.with_narrative(P.profiles(docs(spark, sf_dir), lex(), analysis_id=F.sha2(F.col("doc_id").cast("string"), 256)))
@@ -407,7 +449,7 @@ def queries() -> dict:
         strip_html, normalize_ws, tokenize_counts, doc_stats, word_freq, clean_edge_cases, lexicon_categories, lexicon_lookup, category_counts,
         category_percents, coverage, stylometrics, coverage_by_lang, evidence, schwartz_values, confidence_flag, ci_width, trait_percentiles,
         trait_results, trait_labels, label_boundaries, summary_labels, values_ranked, validate_requests, analyze_pages, corpus_profile,
-        source_profile, narrative, save_and_get, analyze_requests, profile_pdf, get_profile, get_analysis, url_requests, folder_files,
+        source_profile, conversation_stats, conversation_profile, source_stats, narrative, save_and_get, analyze_requests, profile_pdf, get_profile, get_analysis, url_requests, folder_files,
         folder_document, json_requests, json_responses, validate_folder_requests, own_lexicon, own_model, own_narrator, save_conflict,
     )
     return {q.__name__: q for q in own} | {name: traits_query(cols) for name, cols in SCORE_NAMES.items()}
@@ -450,6 +492,9 @@ def oracle_sql() -> dict[str, str]:
         "analyze_pages": f"{Q.scored(rows, PAGES)} {whole('page_id')}",
         "corpus_profile": f"{Q.scored(rows, "SELECT conv_id AS k, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")} {whole('conv_id')}",
         "source_profile": f"{Q.scored(rows, "SELECT source AS k, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY source")} {whole('source')}",
+        "conversation_stats": parts_sql(SPLIT_TURNS, "conv_id", "turn"),
+        "conversation_profile": f"{Q.scored(rows, SPLIT_TEXTS)} {whole('conv_id')}",
+        "source_stats": parts_sql("SELECT source AS k, doc_id, text FROM documents", "source", "doc_id"),
         "narrative": f"{scored} SELECT k AS doc_id, {Q.narrative(N.FOOTER)} AS narrative FROM sc",
         "save_and_get": f"{scored} SELECT sha256(k::VARCHAR) AS id, 'file' AS source_type, n AS word_count, coverage AS dictionary_coverage, flag AS confidence_flag, pct_pronoun AS pronoun, openness, {Q.percentile('openness')} AS openness_percentile, clout, length({Q.narrative(N.FOOTER)})::BIGINT AS narrative_chars FROM sc",
         "profile_pdf": f"{scored} SELECT k AS doc_id, '%PDF-' AS magic, true AS whole, flag AS confidence_flag, printf('%.2f', openness) AS openness, {Q.trait_label('regulatory_focus', 'regulatory_focus')} AS regulatory_label, printf('%.2f', pct_value_power) AS power, printf('%.2f', clout) AS clout FROM sc",

@@ -1,0 +1,79 @@
+"""Documents in several rows against their joined texts."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexloom.functions import text as T
+from lexloom.operators import parts as P
+from lexloom.operators import running as R
+
+PIECES = ["a", "b'c", " ", "\n", "\n\n", "<", "<b", "</i", "x>", ">", "é", " ", ". ", "!", "Ab", "1<2", "<b c", "'", "\t\n", "<p>", "q</p>r"]
+
+
+def made(rng, n):
+    return "".join(rng.choice(PIECES) for _ in range(rng.randrange(n)))
+
+
+def joined_stats(spark, docs):
+    rows = [(k, "\n\n".join(t or "" for t in own)) for k, own in docs.items()]
+    own = T.with_stats(spark.createDataFrame(rows, "k string, text string"))
+    own = own.withColumn("unique_words", F.size(F.array_distinct("tokens")).cast("long"))
+    return {r["k"]: (len(docs[r["k"]]), r["word_count"], r["unique_words"], r["type_token_ratio"], r["sentence_count"], r["paragraph_count"], sorted(r["tokens"])) for r in own.collect()}
+
+
+def compare(spark, docs):
+    rows = [(k, i if i else None, t, "clash") for k, own in docs.items() for i, t in enumerate(own)]
+    own = P.parts(spark.createDataFrame(rows, "k string, turn long, text string, position string").repartition(3), "k", ["turn"])
+    words = {}
+    for r in P.words(own).where("__word IS NOT NULL").collect():
+        words.setdefault(r["k"], []).append(r["__word"])
+    got = {r["k"]: (*r[1:], sorted(words.get(r["k"], []))) for r in P.stats(own).collect()}
+    want = joined_stats(spark, docs)
+    for k in want:
+        assert got[k] == want[k], (k, docs[k])
+    assert got.keys() == want.keys()
+
+
+def test_joints_inside_tags(spark):
+    compare(spark, {
+        "word": ["foo<b", "c>mid<d", "e>bar"], "through": ["foo<b", "c", "", None, "d>bar"], "line": ["one\ntwo<b", ">three\n\nfour"], "space": ["a <b", "> b"],
+        "never": ["a. b\n\n<b", "c\n\nd", "e."], "before": ["a >", "b > c <d", "> e"], "literal": ["a <", "b> c", "1 < 2 >"], "blank": ["", "\n \n", None], "one": ["<p>a</p>\n\nb"],
+        "end": ["a<b"], "start": ["x>y"], "whole": ["a<b", ">b<c", ">c<d", ">d e"], "lines": ["a\n<b", ">\nb", "c\n\n<d", ">\n\nd<e", ">\ne"], None: ["null<b", ">key", "x"], "twice": ["<b", "<b", "a>b"],
+    })
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_documents(spark, seed):
+    rng = random.Random(seed)
+    compare(spark, {f"k{i}": [made(rng, 9) if rng.random() > 0.05 else None for _ in range(rng.randrange(1, 9))] for i in range(150)})
+
+
+def test_a_hot_document(spark, monkeypatch):
+    """Its parts are dealt out by ranges, and the states, words and lines at the joints still meet."""
+    monkeypatch.setattr(R.running, "__defaults__", (16,))
+    rng = random.Random(7)
+    compare(spark, {"hot": [made(rng, 7) for _ in range(900)], "glued": ["a"] + ["b>c<d"] * 300 + ["e>f"], **{f"k{i}": [made(rng, 7)] for i in range(100)}})
+
+
+def test_distinct_words_of_a_hot_key(spark):
+    rows = spark.range(30000).select(F.lit("hot").alias("k"), (F.col("id") % 7001).cast("string").alias("__word")).unionByName(spark.createDataFrame([("few", "a"), ("few", "a"), ("none", None)], "k string, __word string"))
+    assert {tuple(r) for r in P.word_totals(rows, "k").collect()} == {("hot", 30000, 7001), ("few", 2, 1), ("none", 0, 0)}
+
+
+def test_empty(spark):
+    own = P.parts(spark.createDataFrame([], "k string, turn long, text string"), "k", ["turn"])
+    assert P.stats(own).collect() == [] and P.words(own).collect() == []
+
+
+def test_scores_of_joined_texts(spark):
+    """Features by parts are those of the joined texts, whatever the key is called."""
+    from lexloom.operators import features as feat
+    from lexloom.sources import lexicon as L
+
+    docs = {"a": ["happy <b", "think> and<i", ">always sad", None], "b": ["I reason", "goal"], "c": ["<b", "happy"]}
+    rows = [(k, i, t) for k, own in docs.items() for i, t in enumerate(own)]
+    got = feat.part_features(P.parts(spark.createDataFrame(rows, "word string, turn int, text string"), "word", ["turn"]), L.load())
+    want = feat.features(spark.createDataFrame([(k, "\n\n".join(t or "" for t in own)) for k, own in docs.items()], "word string, text string"), L.load(), "word")
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
