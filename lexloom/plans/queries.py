@@ -28,12 +28,6 @@ EDGE_TEXTS = (
     "<p>a</p><p>b</p>", "3 < 4 > 2", "a <!-- c --> b", "tail <b unclosed", "x <", "<1> </> <a\nb>q", "  x  \n \t\n\n y\t\tz \n",
     "a\r\nb\r\n\r\nc", "a.\u000bb\n\u000bc", " a \nb", "Don't STOP_now, it’s 3.14 café ' 'hi'", "!!!!!!!!!!!!", "...", "", "and and reason goal",
 )
-REQUESTS = (
-    ("ten bytes or more", "blog", "2024-03-15", None), ("ten bytes or more", None, None, None), ("ten bytes or more", "podcast", "2024-3-15", None),
-    ("ten bytes or more", "url", None, None), ("ééééé", "paste", "", ""), ("123456789", "paste", None, None), ("LARGE", "paste", None, None),
-    ("ten bytes or more", "email", "2024-02-30", None), ("ten bytes or more", "url", None, "https://example.org/a"), (None, "chat", None, None),
-)
-LARGE = 1_000_001
 #: The id that :func:`doc_profiles` gives document 7.
 ONE_ID = hashlib.sha256(b"7").hexdigest()
 
@@ -84,9 +78,10 @@ def doc_stats(spark, sf_dir):
 
 
 def clean_edge_cases(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(EDGE_TEXTS)), "case_id long, text string")
-    own = T.with_stats(rows)
-    return own.select("case_id", "clean_text", F.array_join("tokens", " ").alias("tokens"), *feat.STATS)
+    """Pages, with markup and white space that breaks rules before and after their texts."""
+    edge = F.element_at(F.array(*[F.lit(t) for t in EDGE_TEXTS]), F.pmod("page_id", F.lit(len(EDGE_TEXTS))).cast("int") + 1)
+    own = T.with_stats(pages(spark, sf_dir).select("page_id", F.concat(edge, F.coalesce("text", F.lit("")), edge).alias("text")))
+    return own.select("page_id", "clean_text", F.array_join("tokens", " ").alias("tokens"), *feat.STATS)
 
 
 def stats_sql(source: str, key: str, extra: str, more: str = "") -> str:
@@ -121,9 +116,8 @@ def _pieces(x: str) -> list[str]:
 
 #: Around a turn's text by its number's remainder: tags and blank lines that begin in one turn and end in a later one.
 SPLIT = (("", ' <b title="'), ('x">', "\n\n <i"), ("", "mid"), ("dle> end. ", ""), ("\n \n", "glued<u"), (">to this", " 1 <"))
-EDGES = "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {sql_text(t)})" for i, t in enumerate(EDGE_TEXTS)) + ") v(k, text)"
-
-
+EDGE = f"CASE (page_id % {len(EDGE_TEXTS)} + {len(EDGE_TEXTS)}) % {len(EDGE_TEXTS)} {' '.join(f'WHEN {i} THEN {sql_text(t)}' for i, t in enumerate(EDGE_TEXTS))} END"
+EDGES = f"SELECT page_id AS k, {EDGE} || coalesce(html, '') || {EDGE} AS text FROM pages"
 SPLIT_TURNS = "SELECT conv_id AS k, turn, " + " || ".join(
     [f"CASE (turn % {len(SPLIT)} + {len(SPLIT)}) % {len(SPLIT)} {' '.join(f'WHEN {i} THEN {sql_text(x[0])}' for i, x in enumerate(SPLIT))} END", "coalesce(text, '')",
      f"CASE (turn % {len(SPLIT)} + {len(SPLIT)}) % {len(SPLIT)} {' '.join(f'WHEN {i} THEN {sql_text(x[1])}' for i, x in enumerate(SPLIT))} END"]
@@ -140,8 +134,11 @@ def word_freq(spark, sf_dir):
 
 
 def lexicon_categories(spark, sf_dir):
-    own = L.lexicon(spark, lex())
-    return own.groupBy("category").agg(F.count("*").alias("words"), F.sum("mult").alias("entries"))
+    """Every category: its words and entries, those of its words that documents have, and how often they have them."""
+    lexicon = L.lexicon(spark, lex())
+    seen = word_freq(spark, sf_dir).join(L.hinted(lexicon, len(lex())), "word").groupBy("category").agg(F.count("*").alias("words_seen"), F.sum("n").alias("times"))
+    own = lexicon.groupBy("category").agg(F.count("*").alias("words"), F.sum("mult").alias("entries")).join(seen, "category", "left")
+    return own.select("category", "words", "entries", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("words_seen", "times")])
 
 
 def lexicon_lookup(spark, sf_dir):
@@ -203,8 +200,9 @@ def trait_results(spark, sf_dir):
 
 
 def trait_percentiles(spark, sf_dir):
-    scores = spark.range(101).select((F.col("id") / 100).alias("score"))
-    return scores.select("score", S.percentile(F.col("score")).cast("int").alias("percentile"))
+    """The percentile of every score that a document has in a trait, and how many documents have it."""
+    rows = P.trait_results(doc_scores(spark, sf_dir))
+    return rows.groupBy("trait", "score").agg(F.min("percentile").alias("percentile"), F.count("*").alias("documents"))
 
 
 def trait_labels(spark, sf_dir):
@@ -212,8 +210,12 @@ def trait_labels(spark, sf_dir):
 
 
 def label_boundaries(spark, sf_dir):
-    scores = spark.range(101).select((F.col("id") / 100).alias("score"))
-    return scores.select("score", *[S.trait_label(t, F.col("score")).alias(t) for t in w.TRAITS], *[S.summary_label(s, F.col("score")).alias(s) for s in w.SUMMARY])
+    """From where to where documents' scores have each label of each trait and summary variable."""
+    scored = doc_scores(spark, sf_dir)
+    each = [F.struct(F.lit(t).alias("name"), F.col(t).alias("score"), S.trait_label(t, F.col(t)).alias("label")) for t in w.TRAITS]
+    each += [F.struct(F.lit(t).alias("name"), F.col(t).alias("score"), S.summary_label(t, F.col(t)).alias("label")) for t in w.SUMMARY]
+    rows = scored.select(F.explode(F.array(*each)).alias("e")).select("e.*")
+    return rows.groupBy("name", "label").agg(F.min("score").alias("least"), F.max("score").alias("most"), F.count("*").alias("documents"))
 
 
 def summary_labels(spark, sf_dir):
@@ -411,28 +413,64 @@ def json_responses(spark, sf_dir):
     )
 
 
+def of_kind(n: int, values: list, cast: str = "string"):
+    """The value for a document's number: a column for Spark."""
+    out = F.lit(values[0])
+    for i, v in enumerate(values):
+        out = F.when(F.pmod("doc_id", F.lit(n)) == i, F.lit(v)).otherwise(out) if i else out
+    return out.cast(cast)
+
+
+def kind_sql(n: int, values: list) -> str:
+    return f"CASE (doc_id % {n} + {n}) % {n} {' '.join(f'WHEN {i} THEN {sql_text(v)}' for i, v in enumerate(values))} END::VARCHAR"
+
+
+#: Fields of folder requests, by a document's number: types, dates and folders that pass and fail each rule.
 FOLDER_REQUESTS = ((None, None, "texts"), ("", "2024-03-15", "texts"), ("podcast", "2024-3-15", "texts"), ("email", "2024-02-30", ""), ("email", None, ""), ("chat", "", None), ("file", "2024-02-29", "texts"))
 
 
 def validate_folder_requests(spark, sf_dir):
-    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(FOLDER_REQUESTS)], "request_id long, source_type string, source_date string, folder string")
-    return V.validated_folders(rows, F.col("folder")).select("request_id", "source_type", "reject")
+    """A folder request for every document, its source below the folder where one is configured."""
+    n, (kinds, dates, folders) = len(FOLDER_REQUESTS), zip(*FOLDER_REQUESTS, strict=True)
+    folder = F.concat_ws("/", F.nullif(of_kind(n, folders), F.lit("")), F.when(of_kind(n, folders) != "", F.col("source")))
+    rows = spread(read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").select(F.col("doc_id").alias("request_id"), of_kind(n, kinds).alias("source_type"), of_kind(n, dates).alias("source_date"), folder.alias("folder"))
+    return V.validated_folders(rows, F.col("folder")).select("request_id", "source_type", "folder", "reject")
 
 
-def validate_requests(spark, sf_dir):
-    rows = [(i, "x" * LARGE if t == "LARGE" else t, *rest) for i, (t, *rest) in enumerate(REQUESTS)]
-    own = spark.createDataFrame(rows, "request_id long, " + V.REQUEST)
-    return V.validated(own).select("request_id", "reject")
+#: Fields of requests, by a document's number, and what becomes of its text: as it is, none, nine bytes of it or fewer, or more than the limit.
+REQUESTS = (
+    ("blog", "2024-03-15", None, ""), (None, None, None, ""), ("podcast", "2024-3-15", None, ""), ("url", None, None, ""), ("paste", "", "", "short"), ("paste", None, None, "none"), ("email", "2024-02-30", None, ""),
+    ("url", None, "https://example.org/a", ""), ("chat", "2024-02-29", "not an address", ""), ("podcast", "2023-02-29", "nope", "short"), ("", "15.03.2024", "mailto:a@example.org", ""), ("file", None, "http:///x", ""), ("email", None, "ftp://example.org", ""),
+)
+#: One of so many documents is repeated until it is over the limit.
+LARGE_EACH = 101
 
 
-REQUEST_VALUES = ", ".join(f"({i}::BIGINT, {f"repeat('x', {LARGE})" if t == 'LARGE' else sql_text(t)}, {', '.join(map(sql_text, rest))})" for i, (t, *rest) in enumerate(REQUESTS))
-VALIDATE_SQL = rf"""WITH r(request_id, text, source_type, source_date, source_url) AS (VALUES {REQUEST_VALUES}),
+def validate_requests(spark, sf_dir):
+    """A request for every document; the rules of fields and sizes that it fails."""
+    n, (kinds, dates, urls, sizes) = len(REQUESTS), zip(*REQUESTS, strict=True)
+    size, large = of_kind(n, sizes), F.pmod("doc_id", F.lit(LARGE_EACH)) == 7
+    text = F.coalesce("text", F.lit(""))
+    times = F.ceil(F.lit(V.MAX_BYTES + 1) / F.greatest(F.octet_length(text), F.lit(1))).cast("int")
+    text = F.when(large, F.repeat(F.when(text == "", "x").otherwise(text), times)).when(size == "short", F.substring(text, 1, 4)).when(size == "none", F.lit(None)).otherwise(text)
+    rows = docs(spark, sf_dir).select(F.col("doc_id").alias("request_id"), text.alias("text"), of_kind(n, kinds).alias("source_type"), of_kind(n, dates).alias("source_date"), of_kind(n, urls).alias("source_url"))
+    return V.validated(rows).select("request_id", F.octet_length("text").cast("long").alias("bytes"), "reject")
+
+
+KINDS, DATES, URLS, SIZES = (kind_sql(len(REQUESTS), list(c)) for c in zip(*REQUESTS, strict=True))
+DATE_ERROR = r"CASE WHEN coalesce({0}, '') <> '' AND NOT (regexp_full_match({0}, '\d{{4}}-\d{{2}}-\d{{2}}') AND try_strptime({0}, '%Y-%m-%d') IS NOT NULL) THEN 'SourceDate: datetime' END"
+VALIDATE_SQL = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {KINDS} AS source_type, {DATES} AS source_date, {URLS} AS source_url, {SIZES} AS size FROM documents),
+r AS (SELECT doc_id AS request_id, source_type, source_date, source_url, CASE WHEN (doc_id % {LARGE_EACH} + {LARGE_EACH}) % {LARGE_EACH} = 7 THEN greatest(strlen(t), 1) * ceil({V.MAX_BYTES + 1} / greatest(strlen(t), 1)::DOUBLE)::BIGINT WHEN size = 'short' THEN strlen(t[1:4]) WHEN size = 'none' THEN NULL ELSE strlen(t) END::BIGINT AS bytes FROM d),
 e AS (SELECT *, CASE WHEN coalesce(source_type, '') = '' THEN 'SourceType: required' WHEN source_type NOT IN ({', '.join(map(Q.quoted, V.SOURCE_TYPES))}) THEN 'SourceType: oneof' END AS a,
-  CASE WHEN coalesce(source_date, '') <> '' AND NOT (regexp_full_match(source_date, '\d{{4}}-\d{{2}}-\d{{2}}') AND try_strptime(source_date, '%Y-%m-%d') IS NOT NULL) THEN 'SourceDate: datetime' END AS b,
-  CASE WHEN coalesce(source_url, '') <> '' AND NOT regexp_full_match(source_url, '[A-Za-z][A-Za-z0-9+.-]*:(//)?[^\s/]\S*') THEN 'SourceURL: url' END AS c FROM r)
-SELECT request_id, coalesce(nullif(concat_ws('; ', a, b, c), ''),
+  {DATE_ERROR.format('source_date')} AS b, CASE WHEN coalesce(source_url, '') <> '' AND NOT regexp_full_match(source_url, '[A-Za-z][A-Za-z0-9+.-]*:(//)?[^\s/]\S*') THEN 'SourceURL: url' END AS c FROM r)
+SELECT request_id, bytes, coalesce(nullif(concat_ws('; ', a, b, c), ''),
   CASE WHEN source_type = 'url' AND coalesce(source_url, '') = '' THEN 'source_url is required when source_type=url' END,
-  CASE WHEN strlen(coalesce(text, '')) < {V.LEAST_BYTES} THEN 'text must be at least 10 characters' WHEN strlen(coalesce(text, '')) > {V.MAX_BYTES} THEN 'text exceeds max size' END) AS reject FROM e"""
+  CASE WHEN coalesce(bytes, 0) < {V.LEAST_BYTES} THEN 'text must be at least 10 characters' WHEN bytes > {V.MAX_BYTES} THEN 'text exceeds max size' END) AS reject FROM e"""
+FOLDER_KINDS, FOLDER_DATES, FOLDERS = (kind_sql(len(FOLDER_REQUESTS), list(c)) for c in zip(*FOLDER_REQUESTS, strict=True))
+FOLDERS_SQL = f"""WITH r AS (SELECT doc_id AS i, source, {FOLDER_KINDS} AS s, {FOLDER_DATES} AS d, {FOLDERS} AS f FROM documents)
+SELECT i AS request_id, coalesce(nullif(s, ''), 'file') AS source_type, CASE WHEN coalesce(f, '') = '' THEN '' ELSE concat_ws('/', f, source) END AS folder, coalesce(nullif(concat_ws('; ',
+  CASE WHEN coalesce(s, '') <> '' AND s NOT IN ({', '.join(map(Q.quoted, V.SOURCE_TYPES))}) THEN 'SourceType: oneof' END, {DATE_ERROR.format('d')}), ''),
+  CASE WHEN coalesce(f, '') = '' THEN 'dir_path not configured' END) AS reject FROM r"""
 
 SCORE_NAMES = {
     "big_five": w.BIG_FIVE_TRAITS,
@@ -462,16 +500,15 @@ def oracle_sql() -> dict[str, str]:
     each_trait = lambda cols: " UNION ALL ".join(f"SELECT k AS doc_id, '{t}' AS trait, {cols(t)} FROM sc" for t in w.TRAITS)
     whole = lambda key: f"SELECT k AS {key}, n AS word_count, coverage, flag AS confidence_flag, w AS ci_width, {', '.join([*w.TRAITS, *w.SUMMARY])} FROM sc"
     words = f"WITH {Q.lexicon(rows)}, {Q.cleaned(DOCS)}, tok AS (SELECT k, unnest(toks) AS t FROM clean)"
-    hundredths = "(SELECT i / 100::DOUBLE AS score FROM range(101) r(i))"
     value_rows = ", ".join(f"{{'m': -pct_{v}, 'k': '{v}', 'd': '{d}', 'p': pct_{v}}}" for v, d in w.VALUES.items())
     return {
         "strip_html": f"SELECT page_id, {Q.strip("coalesce(html, '')")} AS stripped FROM pages",
         "normalize_ws": f"WITH {Q.cleaned(PAGES)} SELECT k AS page_id, c AS clean_text FROM clean",
         "tokenize_counts": f"WITH {Q.cleaned(PAGES)} SELECT k AS page_id, len(toks)::BIGINT AS n_tokens, len(list_distinct(toks))::BIGINT AS n_distinct, array_to_string(toks, ' ') AS tokens FROM clean",
         "doc_stats": stats_sql(DOCS, "doc_id", ""),
-        "clean_edge_cases": stats_sql(EDGES, "case_id", ", c AS clean_text, array_to_string(toks, ' ') AS tokens"),
+        "clean_edge_cases": stats_sql(EDGES, "page_id", ", c AS clean_text, array_to_string(toks, ' ') AS tokens"),
         "word_freq": f"{words} SELECT t AS word, count(*)::BIGINT AS n FROM tok GROUP BY t",
-        "lexicon_categories": f"WITH {Q.lexicon(rows)} SELECT category, count(*)::BIGINT AS words, sum(mult)::BIGINT AS entries FROM lex GROUP BY category",
+        "lexicon_categories": f"{words}, f AS (SELECT t, count(*) AS n FROM tok GROUP BY t) SELECT category, count(*)::BIGINT AS words, sum(mult)::BIGINT AS entries, count(n)::BIGINT AS words_seen, coalesce(sum(n), 0)::BIGINT AS times FROM lex LEFT JOIN f ON t = word GROUP BY category",
         "lexicon_lookup": f"{words} SELECT t AS word, string_agg(category, ',' ORDER BY category) AS categories FROM (SELECT DISTINCT t FROM tok) d JOIN lex ON lex.word = t GROUP BY t",
         "category_counts": f"{words} SELECT k AS doc_id, category, sum(mult)::BIGINT AS hits FROM tok JOIN lex ON lex.word = t GROUP BY k, category",
         "category_percents": f"{feats} SELECT k AS doc_id, {', '.join(f'pct_{c}' for c in names)} FROM feat",
@@ -482,8 +519,8 @@ def oracle_sql() -> dict[str, str]:
         "schwartz_values": f"{feats} SELECT k AS doc_id, {', '.join(f'pct_{v} AS {v}' for v in w.VALUES)} FROM feat",
         "confidence_flag": f"{scored} SELECT k AS doc_id, n AS word_count, coverage, flag AS confidence_flag FROM sc",
         "ci_width": f"{scored} SELECT k AS doc_id, w AS ci_width FROM sc",
-        "trait_percentiles": f"SELECT score, {Q.percentile('score')} AS percentile FROM {hundredths}",
-        "label_boundaries": f"SELECT score, {', '.join([f'{Q.trait_label(t, 'score')} AS {t}' for t in w.TRAITS] + [f'{Q.summary_label(s, 'score')} AS {s}' for s in w.SUMMARY])} FROM {hundredths}",
+        "trait_percentiles": f"{scored}, r AS ({each_trait(lambda t: f'{t} AS score, {Q.percentile(t)} AS percentile')}) SELECT trait, score, min(percentile) AS percentile, count(*)::BIGINT AS documents FROM r GROUP BY trait, score",
+        "label_boundaries": f"{scored}, r AS ({' UNION ALL '.join([f"SELECT '{t}' AS name, {t} AS score, {Q.trait_label(t, t)} AS label FROM sc" for t in w.TRAITS] + [f"SELECT '{x}', {x}, {Q.summary_label(x, x)} FROM sc" for x in w.SUMMARY])}) SELECT name, label, min(score) AS least, max(score) AS most, count(*)::BIGINT AS documents FROM r GROUP BY name, label",
         "trait_results": f"{scored} {each_trait(lambda t: f'{t} AS score, {Q.percentile(t)} AS percentile, {Q.round2(f"greatest(0::DOUBLE, {t} - w)")} AS ci_low, {Q.round2(f"least(1::DOUBLE, {t} + w)")} AS ci_high')}",
         "trait_labels": f"{scored} {each_trait(lambda t: f'{Q.trait_label(t, t)} AS label')}",
         "summary_labels": f"{scored} SELECT k AS doc_id, {', '.join(f'{Q.summary_label(s, s)} AS {s}' for s in w.SUMMARY)} FROM sc",
@@ -509,11 +546,7 @@ def oracle_sql() -> dict[str, str]:
         "folder_document": f"WITH j AS (SELECT 0 AS k, count(*)::BIGINT AS files, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY item_id) AS t FROM benchmark), {Q.cleaned('SELECT k, t AS text FROM j')} SELECT files AS files_read, strlen(t)::BIGINT AS bytes, len(toks)::BIGINT AS word_count, len(list_filter(string_split(c, chr(10) || chr(10)), lambda x: x <> ''))::BIGINT AS paragraph_count, md5(c) AS clean_md5 FROM clean JOIN j USING (k)",
         "json_requests": f"SELECT doc_id, b AS broken, CASE b WHEN 0 THEN md5(text) END AS text_md5, CASE WHEN b = 1 THEN 'invalid JSON' WHEN strlen(coalesce(text, '')) < {V.LEAST_BYTES} THEN 'text must be at least 10 characters' WHEN strlen(text) > {V.MAX_BYTES} THEN 'text exceeds max size' END AS reject FROM documents, (VALUES (0), (1)) v(b)",
         "json_responses": f"{scored} SELECT k AS doc_id, sha256(k::VARCHAR) AS analysis_id, n AS word_count, flag AS confidence_flag, openness, {Q.round2('least(1::DOUBLE, openness + w)')} AS ci_high, pct_value_power AS power, {Q.narrative(N.FOOTER)} AS narrative FROM sc",
-        "validate_folder_requests": rf"""SELECT i::BIGINT AS request_id, coalesce(nullif(s, ''), 'file') AS source_type, coalesce(nullif(concat_ws('; ',
-          CASE WHEN coalesce(s, '') <> '' AND s NOT IN ({', '.join(map(Q.quoted, V.SOURCE_TYPES))}) THEN 'SourceType: oneof' END,
-          CASE WHEN coalesce(d, '') <> '' AND NOT (regexp_full_match(d, '\d{{4}}-\d{{2}}-\d{{2}}') AND try_strptime(d, '%Y-%m-%d') IS NOT NULL) THEN 'SourceDate: datetime' END), ''),
-          CASE WHEN coalesce(f, '') = '' THEN 'dir_path not configured' END) AS reject
-          FROM (VALUES {', '.join(f"({i}, {', '.join(map(sql_text, r))})" for i, r in enumerate(FOLDER_REQUESTS))}) v(i, s, d, f)""",
+        "validate_folder_requests": FOLDERS_SQL,
         "analyze_requests": f"{scored}, r AS (SELECT doc_id, CASE WHEN strlen(coalesce(text, '')) < {V.LEAST_BYTES} THEN 'text must be at least 10 characters' WHEN strlen(text) > {V.MAX_BYTES} THEN 'text exceeds max size' END AS reject FROM documents) SELECT doc_id AS request_id, CASE WHEN reject IS NULL THEN sha256(k::VARCHAR) END AS analysis_id, CASE WHEN reject IS NULL THEN n END AS word_count, CASE WHEN reject IS NULL THEN flag END AS confidence_flag, CASE WHEN reject IS NULL THEN openness END AS openness, reject FROM sc JOIN r ON r.doc_id = k",
         **{name: f"{scored} SELECT k AS doc_id, {', '.join(cols)} FROM sc" for name, cols in SCORE_NAMES.items()},
     }

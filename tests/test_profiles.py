@@ -92,16 +92,28 @@ def test_fetch(spark):
     assert [r["reject"] for r in got] == [None, "failed to fetch URL: status 404", None]
 
 
+#: Requests, each with its first failed rule.
+REQUESTS = (
+    ("ten bytes or more", "blog", "2024-03-15", None, None), ("ten bytes or more", None, None, None, "SourceType: required"), ("ten bytes or more", "podcast", "2024-3-15", None, "SourceType: oneof; SourceDate: datetime"),
+    ("ten bytes or more", "url", None, None, "source_url is required when source_type=url"), ("ééééé", "paste", "", "", None), ("123456789", "paste", None, None, "text must be at least 10 characters"), ("x" * 1_000_001, "paste", None, None, "text exceeds max size"),
+    ("ten bytes or more", "email", "2024-02-30", None, "SourceDate: datetime"), ("ten bytes or more", "url", None, "https://example.org/a", None), (None, "chat", None, None, "text must be at least 10 characters"), ("x" * 1_000_000, "file", None, "no address", "SourceURL: url"),
+)
+
+
 def test_validation(spark):
-    got = {r["request_id"]: r["reject"] for r in Q.validate_requests(spark, SF).collect()}
-    assert got == {
-        0: None, 1: "SourceType: required", 2: "SourceType: oneof; SourceDate: datetime", 3: "source_url is required when source_type=url", 4: None,
-        5: "text must be at least 10 characters", 6: "text exceeds max size", 7: "SourceDate: datetime", 8: None, 9: "text must be at least 10 characters",
-    }
+    rows = V.validated(spark.createDataFrame([(i, *r) for i, r in enumerate(REQUESTS)], f"i int, {V.REQUEST}, want string")).collect()
+    assert [r["reject"] for r in rows] == [r["want"] for r in rows]
     lines = spark.createDataFrame([('{"text": "ten bytes or more", "source_type": "blog"}',), ("not json",)], "value string")
     assert [r["reject"] for r in V.parsed(lines).collect()] == [None, "invalid JSON"]
 
 
+@pytest.mark.parametrize("name", ["validate_requests", "validate_folder_requests"])
+def test_requests_of_documents_fail_every_rule(spark, name):
+    rejects = {part for r in Q.queries()[name](spark, "/root/testdata/sf0.01").collect() for part in (r["reject"] or "").split("; ")}
+    every = {"", "SourceType: oneof", "SourceDate: datetime"}
+    assert rejects == every | ({"dir_path not configured"} if "folder" in name else {"SourceType: required", "SourceURL: url", "source_url is required when source_type=url", "text must be at least 10 characters", "text exceeds max size"})
+
+
 def test_services(spark, tmp_path):
     text = "happy think achieve friend sad always I accommodate the"
     rows = [(1, text, "blog", None, None), (2, text, "podcast", None, None), (3, None, "url", None, "http://x.example"), (4, "short", "chat", None, None)]
