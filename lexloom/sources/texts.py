@@ -57,10 +57,13 @@ def text_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(folder).where(F.lower("path").endswith(".txt"))
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "content")
-    # Spark plans no task for files without a byte, so they come from the listing.
     own, fs = file_system(spark, folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    # Whatever folders there are below, and whatever they are called, their files are left out.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    files = files.where(F.lower("path").endswith(".txt") & (F.col("path") == F.concat(F.lit(f"{fs.makeQualified(own).toString()}/"), name)))
+    files = files.select(name.alias("name"), "length", "content")
+    # Spark plans no task for files without a byte, so they come from the listing.
     listed = ((x.getPath().getName(), x.getLen(), x.isFile()) for x in fs.listStatus(own))
     empty = [(name,) for name, size, is_file in listed if is_file and not size and name.lower().endswith(".txt") and name[0] not in "._"]
     if not empty:

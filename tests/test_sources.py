@@ -77,6 +77,9 @@ def test_files_of_any_bytes(spark, tmp_path):
     files = {"a.txt": "naïve résumé".encode("latin-1"), "b.TXT": "naïve ☃".encode(), "c.txt": b"\xff\xfe\x00 half \xe2\x98", "d.txt": b""}
     for name, content in files.items():
         (tmp_path / name).write_bytes(content)
+    for below in ("b=1", "c=2/d", "e.txt"):
+        (tmp_path / below).mkdir(parents=True)
+        (tmp_path / below / "below.txt").write_text("not of this folder")
     got = {r["name"]: r["text"] for r in texts.text_files(spark, f"file://{tmp_path}").collect()}
     assert got == {name: content.decode("utf-8", "replace") for name, content in files.items()}
     r = texts.joined_files(spark, f"file://{tmp_path}").first()
