@@ -22,6 +22,7 @@ from lexloom.sources import lexicon as L
 from lexloom.sources import texts
 from lexloom.sources.shared import new_path, spread
 from lexloom.sources.store import Store, rows_of
+from lexloom.streaming import PartStream
 
 DOCS, PAGES = "SELECT doc_id AS k, text FROM documents", "SELECT page_id AS k, html AS text FROM pages"
 EDGE_TEXTS = (
@@ -240,6 +241,19 @@ def corpus_profile(spark, sf_dir):
     return out.select("conv_id", "word_count", "coverage", "confidence_flag", "ci_width", *w.TRAITS, *w.SUMMARY)
 
 
+def stream_profile(spark, sf_dir):
+    """Conversations whose turns come in three waves, each a run of a stream that goes on from the state of the one before."""
+    folder = new_path(spark, "stream")
+    turns = read(spark, sf_dir, "conversations").select("conv_id", F.timestamp_seconds(F.col("turn") * 60).alias("time"), "text", F.least(F.floor(F.col("turn") / 2), F.lit(2)).alias("wave"))
+    own = PartStream(spark, f"{folder}/out", lex(), "conv_id", delay=90.0)
+    for wave in range(3):
+        turns.where(F.col("wave") == wave).drop("wave").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(turns.drop("wave").schema).parquet(f"{folder}/in")
+        query = own.start(stream, f"{folder}/checkpoint")
+        query.awaitTermination()
+    return own.current().select("conv_id", "word_count", "coverage", "confidence_flag", "ci_width", *w.TRAITS, *w.SUMMARY)
+
+
 def source_profile(spark, sf_dir):
     """Sources, each as one document of all its documents: their counts are summed, no text is joined."""
     out = P.scores(feat.features(spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id"), lex(), "source"))
@@ -358,14 +372,12 @@ def own_narrator(spark, sf_dir):
 
 
 def save_conflict(spark, sf_dir):
-    """A store to which all profiles are saved once, and then once more."""
-    store = stored(spark, sf_dir)
-    try:
-        store.save(store.table())
-        error = None
-    except ValueError as e:
-        error = str(e).split(":")[0]
-    return store.table().agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids")).withColumn("error", F.lit(error).cast("string"))
+    """A store with the profiles of documents with even numbers, and the ids that a save of all documents, some of them twice, couldn't have."""
+    store = Store(spark, new_path(spark, "analyses"))
+    even = docs(spark, sf_dir).where("doc_id % 2 = 0")
+    store.save(rows_of(N.with_narrative(P.profiles(even, lex(), analysis_id=F.sha2(F.col("doc_id").cast("string"), 256)))))
+    own = read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("id"))
+    return store.clashes(own.unionByName(own.where("doc_id % 3 = 0")).select("id"))
 
 
 def url_requests(spark, sf_dir):
@@ -487,7 +499,7 @@ def queries() -> dict:
         strip_html, normalize_ws, tokenize_counts, doc_stats, word_freq, clean_edge_cases, lexicon_categories, lexicon_lookup, category_counts,
         category_percents, coverage, stylometrics, coverage_by_lang, evidence, schwartz_values, confidence_flag, ci_width, trait_percentiles,
         trait_results, trait_labels, label_boundaries, summary_labels, values_ranked, validate_requests, analyze_pages, corpus_profile,
-        source_profile, conversation_stats, conversation_profile, source_stats, narrative, save_and_get, analyze_requests, profile_pdf, get_profile, get_analysis, url_requests, folder_files,
+        source_profile, conversation_stats, conversation_profile, source_stats, stream_profile, narrative, save_and_get, analyze_requests, profile_pdf, get_profile, get_analysis, url_requests, folder_files,
         folder_document, json_requests, json_responses, validate_folder_requests, own_lexicon, own_model, own_narrator, save_conflict,
     )
     return {q.__name__: q for q in own} | {name: traits_query(cols) for name, cols in SCORE_NAMES.items()}
@@ -528,6 +540,7 @@ def oracle_sql() -> dict[str, str]:
         "validate_requests": VALIDATE_SQL,
         "analyze_pages": f"{Q.scored(rows, PAGES)} {whole('page_id')}",
         "corpus_profile": f"{Q.scored(rows, "SELECT conv_id AS k, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")} {whole('conv_id')}",
+        "stream_profile": f"{Q.scored(rows, "SELECT conv_id AS k, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")} {whole('conv_id')}",
         "source_profile": f"{Q.scored(rows, "SELECT source AS k, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY source")} {whole('source')}",
         "conversation_stats": parts_sql(SPLIT_TURNS, "conv_id", "turn"),
         "conversation_profile": f"{Q.scored(rows, SPLIT_TEXTS)} {whole('conv_id')}",
@@ -538,7 +551,7 @@ def oracle_sql() -> dict[str, str]:
         "own_lexicon": f"""{Q.features(list(OWN_LEXICON), DOCS).replace('m_never seen', '"m_never seen"').replace('cnt_never seen', '"cnt_never seen"').replace('pct_never seen', 'pct_never_seen')} SELECT k AS doc_id, coverage, pct_articles, pct_joining, pct_never_seen FROM feat""",
         "own_model": f"{scored}, o AS (SELECT k, w, neuroticism, CASE WHEN pct_article / 20 > 1 THEN 1::DOUBLE ELSE {Q.round2('pct_article / 20')} END AS openness, CASE WHEN n > 300 THEN 0.9::DOUBLE ELSE 0.1::DOUBLE END AS need_for_closure FROM sc) {' UNION ALL '.join(f"SELECT k AS doc_id, '{t}' AS trait, {t} AS score, {Q.percentile(t)} AS percentile, {Q.round2(f'least(1::DOUBLE, {t} + w)')} AS ci_high, {Q.trait_label(t, t)} AS label FROM o" for t in ('openness', 'need_for_closure', 'neuroticism'))}",
         "own_narrator": f"{Q.scored(rows, "SELECT doc_id AS k, 'as a text: ' || coalesce(text, '') AS text FROM documents")} SELECT k AS request_id, 'words: ' || n || ' confidence: ' || flag AS narrative FROM sc",
-        "save_conflict": "SELECT count(*)::BIGINT AS rows, count(DISTINCT doc_id)::BIGINT AS ids, CASE WHEN count(*) > 0 THEN 'id is taken' END AS error FROM documents",
+        "save_conflict": "SELECT sha256(doc_id::VARCHAR) AS id, (1 + (doc_id % 3 = 0)::INT)::BIGINT AS times, doc_id % 2 = 0 AS known FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0",
         "get_profile": f"{scored} SELECT sha256(k::VARCHAR) AS analysis_id, flag AS confidence_flag, openness, {Q.round2('greatest(0::DOUBLE, openness - w)')} AS ci_low, clout, 10::BIGINT AS n_values, {Q.narrative(N.FOOTER)} AS narrative FROM sc WHERE sha256(k::VARCHAR) = '{ONE_ID}'",
         "get_analysis": f"{scored} SELECT sha256(k::VARCHAR) AS id, 'file' AS source_type, n AS word_count, coverage AS dictionary_coverage, flag AS confidence_flag, pct_article AS article, neuroticism FROM sc WHERE k = 7",
         "url_requests": rf"WITH c AS (SELECT url, min(html) AS t FROM pages GROUP BY url), r AS (SELECT page_id, m AS missing, CASE m WHEN 0 THEN url ELSE url || '?missing' END AS u FROM pages, (VALUES (0), (1)) v(m)) SELECT page_id, missing, strlen(coalesce(t, CASE WHEN c.url IS NOT NULL THEN '' END))::BIGINT AS bytes, CASE WHEN coalesce(u, '') = '' THEN 'source_url is required when source_type=url' WHEN NOT regexp_full_match(u, '[A-Za-z][A-Za-z0-9+.-]*:(//)?[^\s/]\S*') THEN 'SourceURL: url' WHEN c.url IS NULL THEN 'failed to fetch URL: not in the crawl' WHEN strlen(coalesce(t, '')) < {V.LEAST_BYTES} THEN 'text must be at least 10 characters' WHEN strlen(t) > {V.MAX_BYTES} THEN 'text exceeds max size' END AS reject FROM r LEFT JOIN c ON c.url = u",

@@ -151,6 +151,15 @@ class Store:
             fs.delete(folder, True)
             raise
 
+    def clashes(self, rows: DataFrame) -> DataFrame:
+        """(id, times, known): the ids for which ``rows`` (id) couldn't be saved: null, several times among them, or in the store."""
+        log = self.commits()
+        buckets = log[0]["buckets"] if log else self._buckets
+        ids = rows.groupBy("id").agg(F.count("*").alias("times")).withColumn("bucket", self._bucket(F.col("id"), buckets))
+        known = self._rows(log).select("bucket", "id", F.lit(True).alias("known"))
+        found = ids.join(known, ["bucket", "id"], "left").select("id", "times", F.coalesce("known", F.lit(False)).alias("known"))
+        return found.where("known OR times > 1 OR id IS NULL")
+
     def row(self, analysis_id: str) -> DataFrame:
         """The row with that id, or no row, of one bucket's files."""
         log = self.commits()

@@ -35,6 +35,14 @@ def test_saves(spark, tmp_path):
     assert [r["id"] for r in store.row("d").collect()] == ["d"] and store.row("e").count() == 0
 
 
+def test_clashes(spark, tmp_path):
+    store = S.Store(spark, f"file://{tmp_path}/s", 4)
+    ids = spark.createDataFrame([("a",), ("b",), ("b",), ("c",), (None,)], "id string")
+    assert {tuple(r) for r in store.clashes(ids).collect()} == {("b", 2, False), (None, 1, False)}
+    store.save(rows(spark, ["a", "b", "x"]))
+    assert {tuple(r) for r in store.clashes(ids).collect()} == {("a", 1, True), ("b", 2, True), (None, 1, False)}
+
+
 def test_of_concurrent_saves_with_a_shared_id_one_wins(spark, tmp_path):
     store = S.Store(spark, f"file://{tmp_path}/s", 4)
     store.save(rows(spark, ["old"]))
