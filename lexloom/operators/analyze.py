@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexloom.operators import narrative, profile, validation
 from lexloom.sources import texts
+from lexloom.sources.fetching import FetchLedger
 from lexloom.sources.store import Store, rows_of
 
 RESPONSE = ("analysis_id", "word_count", "dictionary_coverage", "confidence_flag", "traits", "values", "summary", "narrative")
@@ -19,7 +20,7 @@ def analyze(
     requests: DataFrame,
     lex_rows,
     key: str = "request_id",
-    fetch: Callable[[str], str] | str | None = "default",
+    fetch: Callable[[str], str] | FetchLedger | str | None = "default",
     config: texts.Config = texts.Config(),  # noqa: B008
     analysis_id: Column | None = None,
     model: Mapping[str, Column] | None = None,
@@ -27,13 +28,16 @@ def analyze(
 ) -> tuple[DataFrame, DataFrame]:
     """(responses, rejects) of ``requests`` (key, text, source_type, source_date, source_url).
 
-    Addresses of requests whose fields are right are fetched, and then sizes are checked. Without
+    Addresses of requests whose fields are right are fetched, by a function or through a ledger, and then sizes are checked. Without
     ``fetch`` the texts of url requests are taken to have been fetched. ``model`` replaces scores
     of traits; ``narrator`` adds the column ``narrative`` to profiles.
     """
     if fetch == "default":
         fetch = partial(texts.fetch_text, timeout=config.fetch_timeout, most=config.max_text_size)
-    own = texts.fetched(requests, fetch, validation.field_error().isNull()) if fetch else requests.withColumn("fetch_error", F.lit(None).cast("string"))
+    if isinstance(fetch, FetchLedger):
+        own = fetch.texts(requests, validation.field_error().isNull())
+    else:
+        own = texts.fetched(requests, fetch, validation.field_error().isNull()) if fetch else requests.withColumn("fetch_error", F.lit(None).cast("string"))
     checked = validation.validated(own, config.max_text_size, fetched=True)
     good = checked.where("reject IS NULL").select(key, "text")
     found = narrator(profile.profiles(good, lex_rows, key, analysis_id, model))

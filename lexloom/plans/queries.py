@@ -12,6 +12,7 @@ from lexloom.functions import scoring as S
 from lexloom.functions import text as T
 from lexloom.functions import weights as w
 from lexloom.operators import analyze as A
+from lexloom.operators import compare as C
 from lexloom.operators import features as feat
 from lexloom.operators import narrative as N
 from lexloom.operators import parts
@@ -227,6 +228,34 @@ def values_ranked(spark, sf_dir):
     return P.values_ranked(feat.features(docs(spark, sf_dir), lex()))
 
 
+# --- comparisons ---------------------------------------------------------------------------
+
+
+def trait_ranks(spark, sf_dir):
+    """How each document's scores rank among those of all documents."""
+    rows = P.trait_results(doc_scores(spark, sf_dir)).select("doc_id", "trait", "score")
+    return C.ranked(rows, ["trait"], "score")
+
+
+def group_profiles(spark, sf_dir):
+    """Scores of sources, of languages, of both, and of all documents as one text each."""
+    own = spread(read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
+    out = C.grouped(own, lex(), ["source", "lang"], [["source", "lang"], ["source"], ["lang"], []])
+    return out.select("source", "lang", "level", "word_count", "coverage", "confidence_flag", "ci_width", *w.TRAITS, *w.SUMMARY)
+
+
+def source_course(spark, sf_dir):
+    """Neuroticism of each source's documents one after another: the mean of the last three, and the step from the one before."""
+    sources = read(spark, sf_dir, "documents").select("doc_id", "source")
+    return C.courses(doc_scores(spark, sf_dir).select("doc_id", "neuroticism").join(sources, "doc_id"), "source", "doc_id", "neuroticism")
+
+
+def source_changes(spark, sf_dir):
+    """Where the extraversion of each source's documents changes most."""
+    sources = read(spark, sf_dir, "documents").select("doc_id", "source")
+    return C.changes(doc_scores(spark, sf_dir).select("doc_id", "extraversion").join(sources, "doc_id"), "source", "doc_id", "extraversion")
+
+
 # --- profiles ------------------------------------------------------------------------------
 
 
@@ -484,6 +513,8 @@ SELECT i AS request_id, coalesce(nullif(s, ''), 'file') AS source_type, CASE WHE
   CASE WHEN coalesce(s, '') <> '' AND s NOT IN ({', '.join(map(Q.quoted, V.SOURCE_TYPES))}) THEN 'SourceType: oneof' END, {DATE_ERROR.format('d')}), ''),
   CASE WHEN coalesce(f, '') = '' THEN 'dir_path not configured' END) AS reject FROM r"""
 
+GROUPS = "grp AS (SELECT source, lang, grouping(source, lang)::BIGINT AS level, NULL AS k, {sums} FROM cnt JOIN documents ON doc_id = k GROUP BY GROUPING SETS ((source, lang), (source), (lang), ())), "
+
 SCORE_NAMES = {
     "big_five": w.BIG_FIVE_TRAITS,
     "regulatory_focus": ("regulatory_focus",),
@@ -499,7 +530,7 @@ def queries() -> dict:
         strip_html, normalize_ws, tokenize_counts, doc_stats, word_freq, clean_edge_cases, lexicon_categories, lexicon_lookup, category_counts,
         category_percents, coverage, stylometrics, coverage_by_lang, evidence, schwartz_values, confidence_flag, ci_width, trait_percentiles,
         trait_results, trait_labels, label_boundaries, summary_labels, values_ranked, validate_requests, analyze_pages, corpus_profile,
-        source_profile, conversation_stats, conversation_profile, source_stats, stream_profile, narrative, save_and_get, analyze_requests, profile_pdf, get_profile, get_analysis, url_requests, folder_files,
+        source_profile, conversation_stats, conversation_profile, source_stats, stream_profile, trait_ranks, group_profiles, source_course, source_changes, narrative, save_and_get, analyze_requests, profile_pdf, get_profile, get_analysis, url_requests, folder_files,
         folder_document, json_requests, json_responses, validate_folder_requests, own_lexicon, own_model, own_narrator, save_conflict,
     )
     return {q.__name__: q for q in own} | {name: traits_query(cols) for name, cols in SCORE_NAMES.items()}
@@ -534,6 +565,15 @@ def oracle_sql() -> dict[str, str]:
         "trait_percentiles": f"{scored}, r AS ({each_trait(lambda t: f'{t} AS score, {Q.percentile(t)} AS percentile')}) SELECT trait, score, min(percentile) AS percentile, count(*)::BIGINT AS documents FROM r GROUP BY trait, score",
         "label_boundaries": f"{scored}, r AS ({' UNION ALL '.join([f"SELECT '{t}' AS name, {t} AS score, {Q.trait_label(t, t)} AS label FROM sc" for t in w.TRAITS] + [f"SELECT '{x}', {x}, {Q.summary_label(x, x)} FROM sc" for x in w.SUMMARY])}) SELECT name, label, min(score) AS least, max(score) AS most, count(*)::BIGINT AS documents FROM r GROUP BY name, label",
         "trait_results": f"{scored} {each_trait(lambda t: f'{t} AS score, {Q.percentile(t)} AS percentile, {Q.round2(f"greatest(0::DOUBLE, {t} - w)")} AS ci_low, {Q.round2(f"least(1::DOUBLE, {t} + w)")} AS ci_high')}",
+        "trait_ranks": f"{scored}, r AS ({each_trait(lambda t: f'{t} AS score')}) SELECT *, percent_rank() OVER (PARTITION BY trait ORDER BY score) AS percent_rank, cume_dist() OVER (PARTITION BY trait ORDER BY score) AS cume_dist FROM r",
+        "group_profiles": f"{Q.scored(rows, DOCS, GROUPS.format(sums=Q.summed(rows)))} SELECT source, lang, level, n AS word_count, coverage, flag AS confidence_flag, w AS ci_width, {', '.join([*w.TRAITS, *w.SUMMARY])} FROM sc",
+        "source_course": f"""{scored}, r AS (SELECT doc_id, source, neuroticism, round(neuroticism * 100)::BIGINT AS c FROM sc JOIN documents ON doc_id = k)
+          SELECT doc_id, source, neuroticism, row_number() OVER o AS n, sum(c) OVER l::BIGINT / (count(c) OVER l) / 100 AS recent, (c - lag(c) OVER o) / 100 AS step FROM r
+          WINDOW o AS (PARTITION BY source ORDER BY doc_id), l AS (PARTITION BY source ORDER BY doc_id ROWS 2 PRECEDING)""",
+        "source_changes": f"""{scored}, r AS (SELECT doc_id, source, round(extraversion * 100)::BIGINT AS c FROM sc JOIN documents ON doc_id = k),
+          s AS (SELECT *, row_number() OVER o AS m, sum(c) OVER o::BIGINT AS s, count(*) OVER (PARTITION BY source) AS n, sum(c) OVER (PARTITION BY source)::BIGINT AS t FROM r WINDOW o AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)),
+          f AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY abs(n * s - m * t) DESC, m) AS best FROM s WHERE m < n AND n * s <> m * t)
+          SELECT source, n, m AS change, doc_id AS last_before, s / m / 100 AS mean_before, (t - s) / (n - m) / 100 AS mean_after FROM f WHERE best = 1""",
         "trait_labels": f"{scored} {each_trait(lambda t: f'{Q.trait_label(t, t)} AS label')}",
         "summary_labels": f"{scored} SELECT k AS doc_id, {', '.join(f'{Q.summary_label(s, s)} AS {s}' for s in w.SUMMARY)} FROM sc",
         "values_ranked": f"{feats} SELECT k AS doc_id, v.k AS value, v.d AS display, v.p AS percent, r::INTEGER AS rank FROM (SELECT k, unnest(list_sort([{value_rows}])) AS v, generate_subscripts(list_sort([{value_rows}]), 1) AS r FROM feat)",

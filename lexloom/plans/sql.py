@@ -39,8 +39,11 @@ def cleaned(source: str) -> str:
     return f"src AS ({source}), clean AS (SELECT k, c, {tokens('c')} AS toks FROM (SELECT k, {space(strip("coalesce(text, '')"))} AS c FROM src))"
 
 
-def features(rows, source: str) -> str:
-    """CTEs up to feat(k, n, coverage, avg_word_length, big_word_ratio, pct_...)."""
+def features(rows, source: str, groups: str = "") -> str:
+    """CTEs up to feat(k, n, coverage, avg_word_length, big_word_ratio, pct_...).
+
+    ``groups``: what makes grp(keys, k) of the counts of each k, whose sums are taken instead.
+    """
     names = category_names(rows)
     m = ", ".join(f"sum(CASE WHEN category = {quoted(c)} THEN mult ELSE 0 END) AS m_{c}" for c in names)
     cnt = ", ".join(f"coalesce(sum(m_{c}), 0)::BIGINT AS cnt_{c}" for c in names)
@@ -51,9 +54,9 @@ tok AS (SELECT k, unnest(toks) AS t FROM clean),
 cnt AS (SELECT clean0.k, count(t)::BIGINT AS n, count(wide.word)::BIGINT AS covered, coalesce(sum(strlen(t)), 0)::BIGINT AS bytes,
   count(*) FILTER (WHERE strlen(t) >= {BIG})::BIGINT AS big, {cnt}
   FROM (SELECT DISTINCT k FROM clean) clean0 LEFT JOIN tok ON tok.k IS NOT DISTINCT FROM clean0.k LEFT JOIN wide ON wide.word = t GROUP BY clean0.k),
-feat AS (SELECT k, n, covered, CASE WHEN n > 0 THEN covered::DOUBLE / n ELSE 0::DOUBLE END AS coverage,
+{groups}feat AS (SELECT {'*, ' if groups else ''}k, n, covered, CASE WHEN n > 0 THEN covered::DOUBLE / n ELSE 0::DOUBLE END AS coverage,
   CASE WHEN n > 0 THEN bytes::DOUBLE / n ELSE 0::DOUBLE END AS avg_word_length,
-  CASE WHEN n > 0 THEN big::DOUBLE / n ELSE 0::DOUBLE END AS big_word_ratio, {pct} FROM cnt)"""
+  CASE WHEN n > 0 THEN big::DOUBLE / n ELSE 0::DOUBLE END AS big_word_ratio, {pct} FROM {'grp' if groups else 'cnt'})"""
 
 
 def number(x: float) -> str:
@@ -97,10 +100,15 @@ def summary_label(name: str, x: str) -> str:
     return f"CASE WHEN {x} >= {number(w.HIGH)} THEN '{high}' WHEN {x} < {number(w.LOW)} THEN '{low}' ELSE '{middle}' END"
 
 
-def scored(rows, source: str) -> str:
+def summed(rows) -> str:
+    """The sums of all counts, for grp."""
+    return ", ".join([*(f"sum({c})::BIGINT AS {c}" for c in ("n", "covered", "bytes", "big")), *(f"sum(cnt_{c})::BIGINT AS cnt_{c}" for c in category_names(rows))])
+
+
+def scored(rows, source: str, groups: str = "") -> str:
     """CTEs up to sc: feat with all traits, summary variables, flag and w."""
     own = ", ".join([f"{trait(t)} AS {t}" for t in w.TRAITS] + [f"{summary(s)} AS {s}" for s in w.SUMMARY])
-    return f"{features(rows, source)}, sc AS (SELECT *, {own}, {FLAG} AS flag, {WIDTH} AS w FROM feat)"
+    return f"{features(rows, source, groups)}, sc AS (SELECT *, {own}, {FLAG} AS flag, {WIDTH} AS w FROM feat)"
 
 
 def narrative(footer: str) -> str:

@@ -1,0 +1,126 @@
+"""The ledger of addresses: rates, retries, waves, and what a lost job leaves."""
+
+import os
+import threading
+import time
+from collections import Counter, defaultdict
+
+import pytest
+
+from lexloom.operators import validation as V
+from lexloom.sources import fetching as X
+from lexloom.sources.texts import fetch_text
+from tests.test_sources import server
+
+OK = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n%s"
+
+
+class Site:
+    """Answers with the path; some paths fail at first; knows when it was asked."""
+
+    def __init__(self):
+        self.asked, self.lock = defaultdict(list), threading.Lock()
+
+    def __call__(self, path):
+        with self.lock:
+            self.asked[path].append(time.monotonic())
+            times = len(self.asked[path])
+        if "busy" in path and times <= 2:
+            return b"HTTP/1.1 503 Busy\r\nContent-Length: 0\r\n\r\n"
+        if "down" in path:
+            return b"HTTP/1.1 500 Down\r\nContent-Length: 0\r\n\r\n"
+        if "gone" in path:
+            return b"HTTP/1.1 404 Gone\r\nContent-Length: 0\r\n\r\n"
+        body = f"the text of {path}".encode()
+        return OK % (len(body), body)
+
+
+def urls(spark, *all_of):
+    return spark.createDataFrame([(u,) for u in all_of], "url string").repartition(3)
+
+
+def test_rates_and_retries(spark, tmp_path):
+    site = Site()
+    with server(site) as at:
+        port = at.rsplit(":", 1)[1]
+        own = [f"http://{host}:{port}/{host}/{k}" for host in ("127.0.0.1", "localhost") for k in ("a", "b", "busy", "gone")] + [f"http://localhost:{port}/localhost/down", "no address", None, ""]
+        ledger = X.FetchLedger(spark, f"file://{tmp_path}/l", rate=5.0, tries=3, pause=0.3, slice_size=100)
+        ledger.visit(urls(spark, *own, *own))
+        ledger.visit(urls(spark, *own))  # nothing is left to fetch
+    found = {r["url"]: r for r in ledger.entries().collect()}
+    assert len(found) == 10 and ledger.entries().count() == 10
+    for u, r in found.items():
+        path = "/" + u.split("/", 3)[-1]
+        if u == "no address" or "gone" in u:
+            assert r["text"] is None and r["fetch_error"] and r["tries"] == 1
+        elif "down" in u:
+            assert r["text"] is None and "500" in r["fetch_error"] and r["tries"] == 3
+        else:
+            assert r["text"] == f"the text of {path}" and r["tries"] == (3 if "busy" in u else 1)
+    assert {p: len(v) for p, v in site.asked.items()} == {f"/{h}/{k}": 3 if k in ("busy", "down") else 1 for h in ("127.0.0.1", "localhost") for k in ("a", "b", "busy", "gone", "down") if h == "localhost" or k != "down"}
+    for host in ("127.0.0.1", "localhost"):
+        times = sorted(t for p, v in site.asked.items() if host in p for t in v)
+        assert min(b - a for a, b in zip(times, times[1:], strict=False)) > 0.19  # five a second
+    for p, v in site.asked.items():
+        if "busy" in p:
+            assert v[1] - v[0] > 0.29 and v[2] - v[1] > 0.59  # the pause doubles
+
+
+def test_a_lane_that_waits_holds_up_no_other():
+    now, asked = [0.0], []
+
+    def fetch(url):
+        asked.append((round(now[0], 1), url))
+        if url.startswith("slow"):
+            raise OSError("not yet")
+        return url
+
+    rows = list(X.visited([("s", "slow 1"), ("s", "slow 2"), *(("q", f"q{i}") for i in range(4))], fetch, 1.0, 2, 10.0, lambda: now[0], lambda s: now.__setitem__(0, now[0] + s)))
+    assert [u for _, u in asked if u[0] == "q"] == [f"q{i}" for i in range(4)] and {t for t, u in asked if u[0] == "q"} == {0.0, 1.0, 2.0, 3.0}
+    assert [(t, u) for t, u in asked if u[0] == "s"] == [(0.0, "slow 1"), (1.0, "slow 2"), (10.0, "slow 1"), (11.0, "slow 2")]
+    assert Counter(e for _, _, e, _ in rows) == {None: 4, "not yet": 2}
+
+
+def test_a_lost_job_goes_on_from_its_last_wave(spark, tmp_path):
+    """A worker dies in the third wave: what the first two have fetched isn't fetched again."""
+    site, mark = Site(), tmp_path / "died"
+    with server(site) as at:
+        own = [f"{at}/{k}" for k in range(12)]
+        order = [r["url"] for r in urls(spark, *own).selectExpr("url", "xxhash64(url) AS h").orderBy("h").collect()]
+        dies = order[9]
+
+        def fetch(url):
+            if url == dies and not mark.exists():
+                mark.touch()
+                os._exit(1)
+            return fetch_text(url)
+
+        ledger = X.FetchLedger(spark, f"file://{tmp_path}/l", fetch, rate=200.0, slice_size=4)
+        with pytest.raises(Exception):  # noqa: B017
+            ledger.visit(urls(spark, *own))
+        assert len(ledger.committed()) == 2 and ledger.entries().count() == 8
+        X.FetchLedger(spark, ledger.path, fetch, rate=200.0, slice_size=4).visit(urls(spark, *own))
+    assert {r["url"] for r in ledger.entries().collect()} == set(own) and ledger.entries().count() == 12
+    times = Counter({f"{at}{p}": len(v) for p, v in site.asked.items()})
+    assert all(times[u] == 1 for u in order[:8]) and sum(times.values()) <= 13
+
+
+def test_a_hot_host_has_lanes(spark, tmp_path):
+    site = Site()
+    with server(site) as at:
+        ledger = X.FetchLedger(spark, f"file://{tmp_path}/l", rate=40.0, lanes=4, slice_size=5)
+        began = time.monotonic()
+        ledger.visit(urls(spark, *[f"{at}/{k}" for k in range(50)]))
+    assert len(ledger.committed()) == 3 and ledger.entries().count() == 50 and time.monotonic() - began > 1.0
+
+
+def test_requests(spark, tmp_path):
+    site = Site()
+    with server(site) as at:
+        rows = [("own", "blog", None, None), (None, "url", None, f"{at}/a"), (None, "url", None, f"{at}/a"), (None, "url", None, f"{at}/gone"), (None, "url", None, None)]
+        ledger = X.FetchLedger(spark, f"file://{tmp_path}/l", rate=100.0)
+        got = V.validated(ledger.texts(spark.createDataFrame(rows, V.REQUEST), V.field_error().isNull()), fetched=True).collect()
+    assert sorted((r["text"] or "", r["reject"] or "") for r in got) == sorted([("own", "text must be at least 10 characters"), ("the text of /a", ""), ("the text of /a", ""), ("", "failed to fetch URL: HTTP Error 404: Gone"), ("", "source_url is required when source_type=url")])
+    assert len(site.asked["/a"]) == 1
+    ledger.visit(urls(spark).where("false"))
+    assert ledger.entries().count() == 2
