@@ -24,30 +24,27 @@ def clamp(x: Column) -> Column:
     return F.when(x < 0, F.lit(0.0)).when(x > 1, F.lit(1.0)).otherwise(round2(x))
 
 
+# Scores of fixed models are one SQL text each: a plan of them takes a call a score, and not one for each term and operator.
+
+
 def linear(terms: tuple[tuple[str, float], ...], start: float = w.START) -> Column:
-    return clamp(F.expr(" + ".join([f"{start!r}D", *(f"{weight!r}D * `pct_{category}`" for category, weight in terms)])))
+    x = " + ".join([f"{start!r}D", *(f"{weight!r}D * `pct_{category}`" for category, weight in terms)])
+    return F.expr(f"CASE WHEN {x} < 0 THEN 0D WHEN {x} > 1 THEN 1D ELSE round(({x}) * 100) / 100 END")
 
 
 def trait(name: str) -> Column:
     return linear(w.TRAITS[name])
 
 
-def sigmoid(x: Column) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
-
-
 def summary(name: str) -> Column:
+    """A sigmoid of the difference of percents, to two digits."""
     plus, minus, divisor = w.SUMMARY[name]
-    total = pct(plus[0])
-    for c in plus[1:]:
-        total = total + pct(c)
-    for c in minus:
-        total = total - pct(c)
-    return round2(sigmoid(total / F.lit(float(divisor))))
+    x = " + ".join(f"`pct_{c}`" for c in plus) + "".join(f" - `pct_{c}`" for c in minus)
+    return F.expr(f"round((1D / (1D + exp(-(({x}) / {float(divisor)!r}D)))) * 100) / 100")
 
 
 def confidence_flag(n: Column, coverage: Column) -> Column:
-    return F.when(n < 500, "low").when(coverage < 0.6, "medium").when(n < 1000, "medium").otherwise("high")
+    return F.when(n < 500, "low").when((coverage < 0.6) | (n < 1000), "medium").otherwise("high")
 
 
 def ci_width(n: Column, coverage: Column) -> Column:
