@@ -6,7 +6,7 @@ Spark has committed it. Committing a batch again changes nothing; an unfinished
 replaced. Totals are the sums over committed batches, so no document is counted anew.
 
 Cases: a null text is the empty text, with no tokens; a null source or language is a group of its
-own; repeated rows count each time; deletes beyond the inserts show as negative totals; groups whose
+own; repeated rows count each time, and of equal texts all rows with the smallest id stay, and those without an id; deletes beyond the inserts show as negative totals; groups whose
 documents and tokens are all gone are left out; empty batches are committed and add nothing; other
 columns are ignored.
 """
@@ -124,7 +124,7 @@ def token_rollup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKEN_ROLLUP_WORDS_SQL = r"""
 WITH kept AS (
   SELECT * FROM documents
-  QUALIFY row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) = 1
+  QUALIFY doc_id IS NULL OR doc_id = min(doc_id) OVER (PARTITION BY coalesce(text, ''))
 )
 SELECT source, lang, 'words-2' AS tokenizer, count(*)::BIGINT AS docs,
        sum(len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')))::BIGINT AS tokens

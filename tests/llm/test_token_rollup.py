@@ -69,3 +69,17 @@ def test_against_sql(spark):
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({R.TOKEN_ROLLUP_WORDS_SQL})").fetchall()
     got = [tuple(r) for r in R.token_rollup_words(spark, sf).select(columns).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_repeated_rows_against_sql(spark, messy, tmp_path):
+    """Rows that repeat with id and text, rows without an id, ids that other texts share."""
+    import duckdb
+
+    more = spark.createDataFrame([(21, "twice over", "en", "r")] * 2 + [(22, "twice over", "en", "r"), (21, "another text", "de", "r"), (None, "twice over", None, "r")], "doc_id long, text string, lang string, source string")
+    messy.select("doc_id", "text", "lang", "source").unionByName(more).write.parquet(f"file://{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    columns = ["source", "lang", "tokenizer", "docs", "tokens"]
+    want = con.sql(f"SELECT {', '.join(columns)} FROM ({R.TOKEN_ROLLUP_WORDS_SQL})").fetchall()
+    got = [tuple(r) for r in R.token_rollup_words(spark, f"file://{tmp_path}").select(columns).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and ("r", "en", "words-2", 2, 4) in got
