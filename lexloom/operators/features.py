@@ -31,11 +31,14 @@ def counted(docs: DataFrame, lex_rows: list[tuple[str, str, int]], key: str = "d
     return counted_words(docs.select(key, F.explode_outer(T.tokens(T.clean(F.col("text")))).alias("__word")), lex_rows, key)
 
 
-def counted_words(words: DataFrame, lex_rows: list[tuple[str, str, int]], key: str = "doc_id") -> DataFrame:
-    """As :func:`counted`, from ``words`` (key, __word): a row for each word, and a null word for keys without any."""
+def counted_words(words: DataFrame, lex_rows: list[tuple[str, str, int]], key: str = "doc_id", wide: DataFrame | None = None, on: tuple[str, ...] | list[str] = ("__word",)) -> DataFrame:
+    """As :func:`counted`, from ``words`` (key, __word): a row for each word, and a null word for keys without any.
+
+    ``wide`` replaces the wide table of the lexicon, and is joined on the columns ``on``.
+    """
     names = category_names(lex_rows)
-    wide = L.wide(words.sparkSession, lex_rows, names).withColumnRenamed("word", "__word")
-    hits = words.join(L.hinted(wide, len(lex_rows)), "__word", "left")
+    wide = L.wide(words.sparkSession, lex_rows, names).withColumnRenamed("word", "__word") if wide is None else wide
+    hits = words.join(L.hinted(wide, len(lex_rows)), list(on), "left")
     size = F.octet_length("__word")
     known = F.col(f"m_{names[0]}").isNotNull() if names else F.lit(False)
     return hits.groupBy(key).agg(

@@ -18,6 +18,7 @@ from lexloom.operators import narrative as N
 from lexloom.operators import parts
 from lexloom.operators import profile as P
 from lexloom.operators import validation as V
+from lexloom.operators import fitting, versions
 from lexloom.plans import sql as Q
 from lexloom.sources import lexicon as L
 from lexloom.sources import texts
@@ -228,6 +229,27 @@ def values_ranked(spark, sf_dir):
     return P.values_ranked(feat.features(docs(spark, sf_dir), lex()))
 
 
+#: First days of the lexicon's versions: one without some categories, the whole one, and one in which words count twice.
+FIRST_DAYS, LEFT_OUT = ("2024-02-01", "2024-06-01", "2024-11-15"), ("article", "pronoun", "social")
+
+
+def versioned_lexicon(spark, sf_dir):
+    """Features by the version of the lexicon that held on each document's date; one in fifty has none."""
+    rows = lex()
+    own = {"v1": [r for r in rows if r[0] not in LEFT_OUT], "v2": rows, "v3": [(c, x, 2 * n) for c, x, n in rows]}
+    date = F.when(F.pmod("doc_id", F.lit(50)) != 0, F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("doc_id", F.lit(400)).cast("int")).cast("string"))
+    out = versions.features(docs(spark, sf_dir).withColumn("source_date", date), {v: (d, r) for d, (v, r) in zip(FIRST_DAYS, own.items(), strict=True)})
+    return out.select("doc_id", "version", "word_count", "coverage", "pct_article", "pct_pronoun", "pct_negative_emotion")
+
+
+def fitted_scores(spark, sf_dir):
+    """Scores of all documents by a model that is fitted to their labels' quality."""
+    feats = feat.features(docs(spark, sf_dir), lex())
+    names = [c for c in feats.columns if c.startswith("pct_")]
+    labelled = feats.join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return P.scores(feats, {"openness": fitting.score(fitting.ridge(labelled, names, "quality"))}).select("doc_id", F.col("openness").alias("fitted"), "confidence_flag", "ci_width")
+
+
 # --- comparisons ---------------------------------------------------------------------------
 
 
@@ -530,7 +552,7 @@ def queries() -> dict:
         strip_html, normalize_ws, tokenize_counts, doc_stats, word_freq, clean_edge_cases, lexicon_categories, lexicon_lookup, category_counts,
         category_percents, coverage, stylometrics, coverage_by_lang, evidence, schwartz_values, confidence_flag, ci_width, trait_percentiles,
         trait_results, trait_labels, label_boundaries, summary_labels, values_ranked, validate_requests, analyze_pages, corpus_profile,
-        source_profile, conversation_stats, conversation_profile, source_stats, stream_profile, trait_ranks, group_profiles, source_course, source_changes, narrative, save_and_get, analyze_requests, profile_pdf, get_profile, get_analysis, url_requests, folder_files,
+        source_profile, conversation_stats, conversation_profile, source_stats, stream_profile, trait_ranks, group_profiles, source_course, source_changes, versioned_lexicon, fitted_scores, narrative, save_and_get, analyze_requests, profile_pdf, get_profile, get_analysis, url_requests, folder_files,
         folder_document, json_requests, json_responses, validate_folder_requests, own_lexicon, own_model, own_narrator, save_conflict,
     )
     return {q.__name__: q for q in own} | {name: traits_query(cols) for name, cols in SCORE_NAMES.items()}
@@ -565,6 +587,11 @@ def oracle_sql() -> dict[str, str]:
         "trait_percentiles": f"{scored}, r AS ({each_trait(lambda t: f'{t} AS score, {Q.percentile(t)} AS percentile')}) SELECT trait, score, min(percentile) AS percentile, count(*)::BIGINT AS documents FROM r GROUP BY trait, score",
         "label_boundaries": f"{scored}, r AS ({' UNION ALL '.join([f"SELECT '{t}' AS name, {t} AS score, {Q.trait_label(t, t)} AS label FROM sc" for t in w.TRAITS] + [f"SELECT '{x}', {x}, {Q.summary_label(x, x)} FROM sc" for x in w.SUMMARY])}) SELECT name, label, min(score) AS least, max(score) AS most, count(*)::BIGINT AS documents FROM r GROUP BY name, label",
         "trait_results": f"{scored} {each_trait(lambda t: f'{t} AS score, {Q.percentile(t)} AS percentile, {Q.round2(f"greatest(0::DOUBLE, {t} - w)")} AS ci_low, {Q.round2(f"least(1::DOUBLE, {t} + w)")} AS ci_high')}",
+        "versioned_lexicon": f"""{words}, a AS (SELECT doc_id, v FROM (SELECT doc_id, CASE WHEN doc_id % 50 <> 0 THEN DATE '2024-01-01' + ((doc_id % 400 + 400) % 400)::INT END AS day FROM documents) d ASOF LEFT JOIN (VALUES {', '.join(f"(DATE '{d}', 'v{i}')" for i, d in enumerate(FIRST_DAYS, 1))}) ver(first, v) ON d.day >= ver.first),
+          lv AS (SELECT 'v1' AS v, * FROM lex WHERE category NOT IN ({', '.join(map(Q.quoted, LEFT_OUT))}) UNION ALL SELECT 'v2', * FROM lex UNION ALL SELECT 'v3', category, word, 2 * mult FROM lex),
+          wd AS (SELECT v, word, {', '.join(f"sum(CASE WHEN category = '{c}' THEN mult ELSE 0 END) AS {c}" for c in ('article', 'pronoun', 'negative_emotion'))} FROM lv GROUP BY v, word),
+          c AS (SELECT a.doc_id, a.v, count(t) AS n, count(wd.word) AS known, {', '.join(f'coalesce(sum({c}), 0)::BIGINT AS {c}' for c in ('article', 'pronoun', 'negative_emotion'))} FROM a LEFT JOIN tok ON tok.k = a.doc_id LEFT JOIN wd ON wd.v = a.v AND wd.word = t GROUP BY a.doc_id, a.v)
+          SELECT doc_id, v AS version, n::BIGINT AS word_count, CASE WHEN n > 0 THEN known::DOUBLE / n ELSE 0::DOUBLE END AS coverage, {', '.join(f'CASE WHEN n > 0 THEN {c}::DOUBLE / n * 100 ELSE 0::DOUBLE END AS pct_{c}' for c in ('article', 'pronoun', 'negative_emotion'))} FROM c""",
         "trait_ranks": f"{scored}, r AS ({each_trait(lambda t: f'{t} AS score')}) SELECT *, percent_rank() OVER (PARTITION BY trait ORDER BY score) AS percent_rank, cume_dist() OVER (PARTITION BY trait ORDER BY score) AS cume_dist FROM r",
         "group_profiles": f"{Q.scored(rows, DOCS, GROUPS.format(sums=Q.summed(rows)))} SELECT source, lang, level, n AS word_count, coverage, flag AS confidence_flag, w AS ci_width, {', '.join([*w.TRAITS, *w.SUMMARY])} FROM sc",
         "source_course": f"""{scored}, r AS (SELECT doc_id, source, neuroticism, round(neuroticism * 100)::BIGINT AS c FROM sc JOIN documents ON doc_id = k)
