@@ -242,3 +242,22 @@ def exponion(vectors: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS,
 def op13_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cluster of every vector."""
     return exponion(table(spark, sf_dir, "embeddings"))
+
+
+def clusters_sql(clusters: int = CLUSTERS, rounds: int = ROUNDS, components: int = COMPONENTS, scale: int = SCALE, seed: int = SEED) -> str:
+    """The same by all distances, round after round, for DuckDB."""
+    parts = [
+        f"""e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {components} AND len(list_filter(embedding, lambda x: isfinite(x::DOUBLE) AND abs(floor({scale} * x::DOUBLE)) < {LIMIT})) = {components})""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id IS NULL, sha256('{seed}:' || coalesce(vec_id::VARCHAR, ''))) - 1 AS c, v FROM e ORDER BY c LIMIT {clusters})",
+    ]
+    for k in range(rounds + 1):
+        far = "list_sum(list_transform(list_zip(e.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+        parts.append(f"a{k} AS MATERIALIZED (SELECT r, vec_id, e.v, c.c, {far} AS d FROM e, c{k} c QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c.c) = 1)")
+        if k < rounds:
+            mean = "list((s - ((s % n) + n) % n) // n ORDER BY i)::BIGINT[]"
+            sums = f"SELECT c, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{k}) GROUP BY c, i"
+            parts.append(f"c{k + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.v, o.v) AS v FROM c{k} o LEFT JOIN (SELECT c, {mean} AS v FROM ({sums}) GROUP BY c) m USING (c))")
+    return f"""WITH {', '.join(parts)}
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(o.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} o USING (c)"""

@@ -188,3 +188,43 @@ def trie(rows: DataFrame) -> DataFrame:
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie of all rebuilt conversations."""
     return trie(prefixes(rebuilt(table(spark, sf_dir, "conversations"))))
+
+
+#: CRC-32 of a text of ASCII, by its definition: DuckDB has none.
+CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({0}, ''), lambda ch: ascii(ch)::BIGINT)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+#: Each node's key is the digest of its turns' digests; a node's ancestors are the prefixes of its smallest member.
+PREFIX_TRIE_SQL = rf"""
+WITH t AS (
+  SELECT conv_id, x, g, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, g) AS p
+  FROM (SELECT conv_id, turn, coalesce(text, '') AS x, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS g FROM conversations WHERE conv_id IS NOT NULL)
+), c AS (
+  SELECT conv_id, count(*) AS n, conv_id - conv_id % {GROUP} AS base, {CRC32.format("conv_id::VARCHAR")} % {HEADS} AS h FROM t GROUP BY conv_id
+), k AS (
+  SELECT c.*, coalesce(least(b.n, c.h), 0) AS k FROM c LEFT JOIN c b ON b.conv_id = c.base
+), own AS (
+  SELECT k.conv_id, t.p AS d, t.x, t.g FROM k JOIN t ON t.conv_id = k.base AND t.p <= k.h
+  UNION ALL SELECT k.conv_id, k.k + t.p - k.h, t.x, t.g FROM k JOIN t ON t.conv_id = k.conv_id WHERE t.p > k.h
+), pre AS (
+  SELECT conv_id, 0::BIGINT AS d, '' AS key, NULL AS up, 0::BIGINT AS words FROM k
+  UNION ALL
+  SELECT conv_id, d::BIGINT, key, coalesce(lag(key) OVER (PARTITION BY conv_id ORDER BY d), ''), words FROM (
+    SELECT conv_id, d, sha256(string_agg(g, ' ') OVER (PARTITION BY conv_id ORDER BY d)) AS key, len(regexp_extract_all(x, '[^ 	-]+'))::BIGINT AS words FROM own
+  )
+), node AS (
+  SELECT key, d, min(conv_id) AS m, count(*)::BIGINT AS n, any_value(up) AS up, any_value(words) AS words FROM pre GROUP BY key, d
+), children AS (
+  SELECT up AS key, count(*)::BIGINT AS n_children FROM node WHERE d > 0 GROUP BY up
+), full_node AS (
+  SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN children USING (key)
+), total AS (
+  SELECT pre.key, sum((w.n_children = 0)::INT)::BIGINT AS n_leaves, sum((w.n - 1) * w.words)::BIGINT AS saved
+  FROM full_node w JOIN pre ON pre.conv_id = w.m AND pre.d <= w.d GROUP BY pre.key
+), last AS (
+  SELECT conv_id, max(d) AS d FROM pre GROUP BY conv_id
+), ending AS (
+  SELECT key, sha256(string_agg(pre.conv_id::VARCHAR, ',' ORDER BY pre.conv_id)) AS e FROM pre JOIN last USING (conv_id, d) GROUP BY key
+)
+SELECT f.m AS conv_id, f.d AS depth, p.m AS parent_conv_id, f.n AS n_convs, f.n_children, n_leaves, saved AS saved_tokens, coalesce(e, sha256('')) AS ends_sha256
+FROM full_node f JOIN total USING (key) LEFT JOIN node p ON p.key = f.up LEFT JOIN ending ON ending.key = f.key
+"""

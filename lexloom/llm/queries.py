@@ -7,10 +7,10 @@ from lexloom.llm.simhash import op2_simhash
 from lexloom.llm.winnowing import op5_winnowing
 from lexloom.llm.toxicity import op10_toxicity
 from lexloom.llm.embedding_dedup import op9_embedding_dedup
-from lexloom.llm.exponion import op13_exponion
+from lexloom.llm.exponion import clusters_sql, op13_exponion
 from lexloom.llm.gru_lm import op6_gru_lm
 from lexloom.llm.mixing import op8_mixing
-from lexloom.llm.prefix_trie import op12_prefix_trie
+from lexloom.llm.prefix_trie import PREFIX_TRIE_SQL, op12_prefix_trie
 from lexloom.llm.rule_lists import op11_rule_lists
 from lexloom.llm.token_rollup import TOKEN_ROLLUP_WORDS_SQL, op7_token_rollup, token_rollup_words
 from lexloom.llm.warc import op1_warc
@@ -33,4 +33,4 @@ QUERIES = {
     "op13_exponion": op13_exponion,
 }
 
-ORACLE_SQL: dict[str, str] = {"token_rollup_words": TOKEN_ROLLUP_WORDS_SQL}
+ORACLE_SQL: dict[str, str] = {"token_rollup_words": TOKEN_ROLLUP_WORDS_SQL, "op12_prefix_trie": PREFIX_TRIE_SQL, "op13_exponion": clusters_sql()}
