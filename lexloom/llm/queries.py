@@ -11,7 +11,7 @@ from lexloom.llm.exponion import clusters_sql, op13_exponion
 from lexloom.llm.gru_lm import op6_gru_lm
 from lexloom.llm.mixing import op8_mixing
 from lexloom.llm.prefix_trie import PREFIX_TRIE_SQL, op12_prefix_trie
-from lexloom.llm.rule_lists import op11_rule_lists
+from lexloom.llm.rule_lists import QUALITY_COUNTS_SQL, op11_rule_lists, quality_counts
 from lexloom.llm.token_rollup import TOKEN_ROLLUP_WORDS_SQL, op7_token_rollup, token_rollup_words
 from lexloom.llm.warc import op1_warc
 from lexloom.llm.secret_scan import op4_secret_scan
@@ -29,8 +29,9 @@ QUERIES = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_rule_lists": op11_rule_lists,
+    "quality_counts": quality_counts,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_exponion": op13_exponion,
 }
 
-ORACLE_SQL: dict[str, str] = {"token_rollup_words": TOKEN_ROLLUP_WORDS_SQL, "op12_prefix_trie": PREFIX_TRIE_SQL, "op13_exponion": clusters_sql()}
+ORACLE_SQL: dict[str, str] = {"token_rollup_words": TOKEN_ROLLUP_WORDS_SQL, "quality_counts": QUALITY_COUNTS_SQL, "op12_prefix_trie": PREFIX_TRIE_SQL, "op13_exponion": clusters_sql()}

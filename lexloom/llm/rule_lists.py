@@ -258,3 +258,24 @@ def op11_rule_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts and the verdict of every document, by a list learned from all labels."""
     docs = table(spark, sf_dir, "documents")
     return judged(docs, learn(labelled(docs, table(spark, sf_dir, "labels"))))
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op11 and its base rules, without what is learned."""
+    rows = counted(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", *BASE, base_failed().alias("base_failed"))
+
+
+QUALITY_COUNTS_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS window_of FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+repeated AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, window_of) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + j)::BIGINT AS n FROM repeated, (VALUES (0), (1), (2)) v(j) GROUP BY doc_id),
+c AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(covered.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN covered USING (doc_id)
+)
+SELECT doc_id, n_words, coalesce(chars, 0)::BIGINT AS word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat_words,
+  n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM c
+"""

@@ -9,11 +9,11 @@ from lexloom.llm import queries
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
-@pytest.mark.parametrize("name", ["op12_prefix_trie", "op13_exponion"])
+@pytest.mark.parametrize("name", ["op12_prefix_trie", "op13_exponion", "quality_counts"])
 def test_against_sql(spark, name, sf):
     folder = f"/root/testdata/{sf}"
     con = duckdb.connect()
-    for t in ("conversations", "embeddings"):
+    for t in ("conversations", "embeddings", "documents"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     own = queries.QUERIES[name](spark, folder)
     began = time.time()
