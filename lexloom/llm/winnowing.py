@@ -16,6 +16,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,6 +101,16 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
+def _by_key(of):
+    """A function of keys, for arrays of them: tables of ranges are searched, and not in the expression of every row."""
+
+    @F.pandas_udf("int")
+    def run(key: pd.Series) -> pd.Series:
+        return pd.Series(of(key.to_numpy()).astype(np.int32))
+
+    return run
+
+
 def neighbours(docs: DataFrame) -> DataFrame:
     """``docs`` (key, text) in ranges of falling key, each range ending with a copy (own = false) of the document that follows it.
 
@@ -111,23 +122,22 @@ def neighbours(docs: DataFrame) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = docs.select("key")
     cuts = sorted({float(c) for c in (keys.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10 * n)).first()[0] or [])}) if n > 1 else []
-    cuts = [int(c) for c in cuts]
-    ranges = F.lit(0).cast("int")
-    # The range of a key: how many bounds lie above it, so range 0 has the largest keys.
-    if cuts:
-        bounds = F.array(*[F.lit(c).cast("long") for c in cuts])
-        ranges = F.size(F.filter(bounds, lambda c: c > F.col("key"))).cast("int")
-    placed = docs.withColumn("range", ranges)
-    firsts = {r["range"]: r["key"] for r in placed.groupBy("range").agg(F.max("key").alias("key")).collect()}  # one row a range
-    order = sorted(firsts)
-    to = {firsts[b]: a for a, b in zip(order, order[1:], strict=False)}
-    to |= {firsts[order[0]]: order[-1]} if len(order) > 1 else {}
-    copies = F.create_map(*[x for key, at in to.items() for x in (F.lit(key).cast("long"), F.lit(at).cast("int"))]) if to else None
+    bounds = np.array([int(c) for c in cuts], dtype=np.int64)
+    placed = docs.withColumn("range", _by_key(lambda key: len(bounds) - np.searchsorted(bounds, key, side="right"))("key"))  # range 0 has the largest keys
+    found = placed.groupBy("range").agg(F.max("key").alias("key")).orderBy("range").collect()  # one row a range
+    order, firsts = [r["range"] for r in found], np.array([r["key"] for r in found], dtype=np.int64)[::-1]  # by rising key
+    # Where a range's first document goes besides: to the range before, and the very first one to the last range.
+    to = np.array([*order[-1:], *order[:-1]][::-1], dtype=np.int64)
+
+    def copy_of(key: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(firsts, key), len(firsts) - 1)
+        return np.where(firsts[at] == key, to[at], -1)
+
     own = F.struct(F.col("range"), F.lit(True).alias("own"))
     places = F.array(own)
-    if copies is not None:
-        extra = copies[F.col("key")]
-        places = F.when(extra.isNull(), places).otherwise(F.array(own, F.struct(extra.alias("range"), F.lit(False).alias("own"))))
+    if len(order) > 1:
+        extra = _by_key(copy_of)("key")
+        places = F.when(extra < 0, places).otherwise(F.array(own, F.struct(extra.alias("range"), F.lit(False).alias("own"))))
     rows = placed.select("key", "text", F.explode(places).alias("place")).select("place.*", "key", "text")
     dealt = rows.repartitionById(max(n, 1), F.col("range"))
     return dealt.sortWithinPartitions("range", F.desc("own"), F.desc("key"), "text")
