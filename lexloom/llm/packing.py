@@ -202,7 +202,7 @@ def intervals(sequences: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
 
 def ranked(found: DataFrame, buckets: int) -> DataFrame:
     """``found`` with ``rank``, from 0 within each length."""
-    rows = found.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    rows = found.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))  # ids may be null, or shared
     before = W.partitionBy("length").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = rows.groupBy("length", "__bucket").agg(F.count("*").alias("__n"))
     offsets = offsets.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
