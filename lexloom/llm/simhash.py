@@ -34,6 +34,8 @@ WORDS, RADIUS, SEED = 4, 4, 42
 BUCKET, TILE = 4096, 32768
 #: Blocks of 64 candidates that are compared at once.
 LIVE = 1 << 16
+#: Blocks whose pairs are spelled out at once.
+SPELLED = 1 << 12
 
 
 # --- fingerprints --------------------------------------------------------------------------
@@ -84,15 +86,15 @@ def within(queries: np.ndarray, candidates: np.ndarray, radius: int = RADIUS, af
     step = max(1, LIVE // max(words, 1))
     full = np.uint64(2**64 - 1)
     for at in range(0, len(queries), step):
-        own = queries[at : at + step]
-        q, w = np.divmod(np.arange(len(own) * words), words)
+        own_queries = queries[at : at + step]
+        q, w = np.divmod(np.arange(len(own_queries) * words), words)
         if after:
             keep = w * 64 + 63 > q + at
             q, w = q[keep], w[keep]
         ones = np.zeros(len(q), dtype=np.uint64)
         twos, fours, dead = ones.copy(), ones.copy(), ones.copy()
         for p in range(0, 64, 4):
-            a, b, c, d = (vertical[p + i][w] ^ (-((own[q] >> np.uint64(p + i)) & np.uint64(1))) for i in range(4))
+            a, b, c, d = (vertical[p + i][w] ^ (-((own_queries[q] >> np.uint64(p + i)) & np.uint64(1))) for i in range(4))
             x = ones ^ a
             carry, ones = ones & a | x & b, x ^ b
             x = ones ^ c
@@ -109,10 +111,14 @@ def within(queries: np.ndarray, candidates: np.ndarray, radius: int = RADIUS, af
                 break
         if len(q):
             near = ~(dead | exceeds(ones, twos, fours, radius))
-            block, bit = np.nonzero(np.unpackbits(near.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            i, j = q[block] + at, w[block] * 64 + bit
-            keep = (j < len(candidates)) & ((j > i) if after else True)
-            yield i[keep], j[keep]
+            some = np.flatnonzero(near)
+            # Where all are close to all, each block gives 64 pairs, so few blocks are spelled out at once.
+            for first in range(0, len(some), SPELLED):
+                own = some[first : first + SPELLED]
+                block, bit = np.nonzero(np.unpackbits(near[own].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+                i, j = q[own][block] + at, w[own][block] * 64 + bit
+                keep = (j < len(candidates)) & ((j > i) if after else True)
+                yield i[keep], j[keep]
 
 
 def exceeds(ones, twos, fours, radius: int):
