@@ -25,7 +25,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id, and of equal ids the one whose text hashes lowest.
+    """One document of each group of near-duplicates: that with the smallest id, of equal ids the one whose text hashes lowest, and of equal texts the one whose other columns do.
 
     Of a group's documents without an id one stays as well, for they can't be told to be the same as one with an id. Empty texts are one group.
     """
@@ -38,7 +38,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, those of small sources as often as their budgets say; rows with the same id and source are one unit.
+    """All documents, those of small sources as often as their budgets say; rows with the same id, source and text are one unit, and so are equal ones without an id.
 
     A null source is one of its own. The rows have no order, for the next stage gives them their places.
     """
