@@ -257,8 +257,12 @@ def _compare_buckets(cosine: float, least: int):
     return run
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding)."""
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, shared: float = SHARED, exact: bool = False) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding).
+
+    ``recall`` is that of the count of collisions, ``shared`` that of the bucket tables. ``exact``: all classes are one bucket, cut
+    into tiles, and every pair of tiles is verified whatever its collisions: no link is lost, at a cost that grows with the square of the classes.
+    """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     good = F.coalesce((F.size("embedding") > 0) & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0), F.lit(False))
@@ -269,8 +273,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     # Classes that have no id get a negative one that no other class is likely to have.
     unnamed = F.lit(-(2**62)) - F.pmod(F.col("h1"), F.lit(2**61))
     classes = staged(classes.select(F.coalesce("smallest", unnamed).alias("id"), "smallest", "n", "h1", "h2", F.size("embedding").alias("dim"), "embedding"), "classes")
-    bucketed = staged(with_buckets(classes.select("id", "n", "dim", "embedding"), *tables_for(classes.count(), cosine)), "bucketed")
-    found = staged(dealt(bucketed).mapInArrow(_compare_buckets(cosine, least_count(cosine, recall)), "a long, b long, links long"), "links")
+    bucketed = staged(with_buckets(classes.select("id", "n", "dim", "embedding"), *((1, 0, 1) if exact else tables_for(classes.count(), cosine, shared))), "bucketed")
+    least = 0 if exact else least_count(cosine, recall)
+    found = staged(dealt(bucketed).mapInArrow(_compare_buckets(cosine, least), "a long, b long, links long"), "links")
     counts = found.where("links IS NOT NULL").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "id")
     groups = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "id")
     named = classes.select("id", "n", "smallest", "h1", "h2").join(counts, "id", "left").join(groups, "id", "left")

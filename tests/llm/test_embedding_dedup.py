@@ -100,6 +100,22 @@ def test_many_buckets_against_brute_force(spark, monkeypatch, bucket, tile):
     assert sum(got[i] != want[i] for i in want) <= 0.02 * len(want)
 
 
+def test_exact_has_every_link(spark, monkeypatch):
+    """Of so many classes that tables of buckets would be approximate: pairs right at the threshold, and tiles."""
+    monkeypatch.setattr(E, "BUCKET", 16)
+    monkeypatch.setattr(E, "TILE", 128)
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((150, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    away = rng.standard_normal((150, 32))
+    away -= (away * base).sum(axis=1, keepdims=True) * base
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    near = 0.9005 * base + np.sqrt(1 - 0.9005**2) * away  # links that collide least often
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, near]))]
+    want = brute(rows)
+    assert sorted(map(tuple, E.near_duplicates(frame(spark, rows), exact=True).collect())) == sorted(want) and sum(r[1] for r in want) >= 300
+
+
 def test_buckets_stay_small_and_tables_few():
     rng = np.random.default_rng(5)
     u = rng.standard_normal((20_000, 32))
