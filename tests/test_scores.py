@@ -57,6 +57,7 @@ def test_lexicon_order_does_not_matter(spark):
     assert a == b
 
 
+# Percents and the scores that must follow from them.
 GIVEN = [
     ({"cognitive_process": 15, "tentative": 10, "negative_emotion": 12, "pronoun": 8, "article": 5, "inclusive": 3, "achievement": 4}, {"openness": 0.48, "conscientiousness": 0.30, "extraversion": 0.55, "agreeableness": 0.43, "neuroticism": 0.82}),
     ({"article": 20, "inclusive": 15}, {"openness": 0.85, "agreeableness": 0.67, "neuroticism": 0.36}),
