@@ -8,7 +8,7 @@ made, and squared changes of the score's logit under the swap are penalised, so
 mention moves no score. The model is a few thousand weights; scoring is one pass without shuffle.
 
 Cases: a null text is the empty text, whose score is the model's bias; label rows without a
-document, with a null label or id are ignored, of a document labelled twice the higher label
+document, with a null label or id, or a label that isn't 0 or 1 (as a number or a text), are ignored, of a document labelled twice the higher label
 holds; of rows that share a labelled id the fit sees one; without labels of both kinds every score
 is the share of toxic ones, or 0; documents without an id are scored and not held out; repeated
 rows each get a result; an empty table gives no rows; other columns, also those named like a label,
@@ -183,7 +183,8 @@ def fold(column: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits the classifier on labelled ``docs`` (doc_id, text) outside the held-out fold; ``labels`` has doc_id and toxic."""
-    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~fold()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").try_cast("int").alias("toxic"))
+    known = known.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~fold()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bounds = {1: SAMPLE_TOXIC, 0: SAMPLE_CLEAN}

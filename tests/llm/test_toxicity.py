@@ -136,3 +136,12 @@ def test_an_id_of_many_rows_is_one_text_of_the_fit(spark):
     once = docs.where("doc_id > 1").unionByName(docs.where("text = 'vile 0'"))
     a, b = T.train(docs, labels), T.train(once, labels)
     assert a.weights.keys() == b.weights.keys() and a.bias == pytest.approx(b.bias)
+
+
+def test_labels_as_texts(spark):
+    """Give the same model as numbers; what is neither 0 nor 1 is no label."""
+    docs = spark.createDataFrame([(i, f"{'vile' if i % 5 == 0 else 'fine'} word{i % 17} and more") for i in range(300)], "doc_id long, text string")
+    numbers = docs.select("doc_id", (F.col("doc_id") % 5 == 0).cast("int").alias("toxic"))
+    texts = numbers.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("toxic").cast("string").alias("toxic")).unionByName(spark.createDataFrame([("1", "yes"), ("2", None), ("3", "7"), (None, "1")], "doc_id string, toxic string"))
+    a, b = T.train(docs, numbers), T.train(docs, texts)
+    assert a == b and a.weights["vile"] > 0
