@@ -162,7 +162,7 @@ def test_against_sql(spark, duck, name):
     columns = sorted(df.columns)
     rows = sorted((tuple(r) for r in df.select(columns).collect()), key=repr)
     if name not in ORACLE:
-        assert name == "profile_pdf" and all(r[1:] == ("%PDF-", True) for r in rows)
+        assert name == "fitted_scores" and len(rows) == 200  # SQL solves no equations: test_versions has a plain solver
         return
     want = duck.sql(f"SELECT {', '.join(f'"{c}"' for c in columns)} FROM ({ORACLE[name]})").fetchall()
     assert rows == sorted(want, key=repr)
