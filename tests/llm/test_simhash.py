@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -71,6 +72,17 @@ def test_no_link_is_lost(spark, monkeypatch, blocks, tile):
     assert {n: got.get(n, n) for n in own} == want
 
 
+def test_few_pairs_are_spelled_out_at_once(monkeypatch):
+    """Of a bucket in which all are close to all, in pieces, every pair once."""
+    monkeypatch.setattr(simhash, "SPELLED", 8)
+    rng = np.random.default_rng(4)
+    fps = np.array([1 << int(a) | 1 << int(b) for a, b in rng.integers(0, 64, (300, 2))], dtype=np.uint64)
+    found = list(simhash.within(fps, fps, after=True))
+    assert max(len(i) for i, _ in found) <= 8 * 64 and len(found) > 50
+    pairs = Counter((int(a), int(b)) for i, j in found for a, b in zip(i, j, strict=True))
+    assert set(pairs.values()) == {1} and len(pairs) == 300 * 299 // 2
+
+
 def test_blocks_grow_with_the_fingerprints():
     assert [simhash.blocks_for(n) for n in (0, 10**6, 10**9, 10**11)] == [5, 5, 6, 7]
     assert [len(simhash.masks(b)) for b in (5, 6, 7)] == [5, 15, 35]
