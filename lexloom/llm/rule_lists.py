@@ -243,7 +243,7 @@ def labelled(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFra
     rows = counted(own.join(F.broadcast(sample), "doc_id"))  # SAMPLE ids at most
     pruning = F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(SPLIT)) == 0
     rows = rows.select("doc_id", (1 - F.col("__quality")).alias("rejected"), pruning.alias("pruning"), *[c.alias(n) for n, c in statistics().items()], base_failed().alias("failed"))
-    least = F.min(F.struct("rejected", "pruning", *statistics(), "failed")).alias("r")
+    least = F.min(F.struct("failed", "rejected", "pruning", *statistics())).alias("r")  # of rows that share an id one that passes, if any does
     # The filter comes last: Spark would move an earlier one below the join, to all documents.
     return staged(rows.groupBy("doc_id").agg(least).select("r.*").where("NOT failed").drop("failed"), "statistics")
 
