@@ -128,7 +128,9 @@ class Store:
         buckets, name = log[0]["buckets"], uuid.uuid4().hex
         path = f"{self.path}/data/save={name}"
         own = rows.select(*_names()).withColumn("bucket", self._bucket(F.col("id"), buckets))
-        own = own.repartition(buckets, "bucket").sortWithinPartitions("bucket", "id")
+        # A bucket's rows are dealt to several tasks, as many as there are for it; Spark joins small ones.
+        each = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // buckets)
+        own = own.repartition("bucket", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(each))).sortWithinPartitions("bucket", "id")
         own.write.option("parquet.bloom.filter.enabled#id", "true").partitionBy("bucket").parquet(path)
         try:
             ids = self.spark.read.schema(f"{SCHEMA}, bucket int").parquet(path).select("bucket", "id")
