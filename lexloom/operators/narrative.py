@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,6 +134,8 @@ def pdf_lines(profiles: DataFrame) -> DataFrame:
 #: Points of each style: size and line height; whether bold, whether centred.
 STYLES = {"title": (16, 24, True, True), "heading": (12, 18, True, False), "body": (9, 13, False, False), "small": (8, 11, False, False), "note": (8, 14, False, True), "gap": (8, 10, False, False)}
 PAGE, MARGIN = (595, 842), 57  # A4, 20 mm
+#: Files that a task renders before it passes them on.
+FILES = 256
 
 
 def pdf_bytes(lines: list[tuple[str, str]], title: str = "Psychological Profile") -> bytes:
@@ -184,9 +186,18 @@ def pdfs(profiles: DataFrame, key: str = "doc_id", render: Callable[[list[tuple[
     """
     kind = profiles.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "pdf": [render([(x["style"], x["text"] or "") for x in lines]) for lines in pdf["lines"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, FILES):  # Python objects of the lines of so many files at a time
+                part = batch.slice(at, FILES)
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(map(render, _lines_of(part.column("lines"))), pa.binary())], names=[key, "pdf"])
 
     own = profiles if "narrative" in profiles.columns else profiles.withColumn("narrative", F.lit(""))
-    return pdf_lines(own).select(key, "lines").mapInPandas(run, f"`{key}` {kind}, pdf binary")
+    return pdf_lines(own).select(key, "lines").mapInArrow(run, f"`{key}` {kind}, pdf binary")
+
+
+def _lines_of(column: pa.ListArray) -> Iterator[list[tuple[str, str]]]:
+    """The (style, text) lines of each row."""
+    for k in range(len(column)):
+        style, text = column[k].values.flatten()
+        yield [(s, t or "") for s, t in zip(style.to_pylist(), text.to_pylist(), strict=True)]

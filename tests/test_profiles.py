@@ -3,6 +3,7 @@
 import json
 import math
 import os
+import sys
 
 import duckdb
 import pytest
@@ -53,6 +54,19 @@ def test_pdf(profiles):
     assert all(bytes(r["pdf"]).startswith(b"%PDF-") for r in N.pdfs(none).collect())
 
 
+def test_pdfs_hold_the_lines_of_few_files_at_a_time(spark, profiles):
+    """Whatever the rows of an Arrow batch; each line is some four objects."""
+    one = profiles.limit(1).localCheckpoint().drop("doc_id")
+    held = lambda n: N.pdfs(spark.range(n).coalesce(1).withColumnRenamed("id", "doc_id").join(F.broadcast(one)), render=lambda lines: str(sys.getallocatedblocks()).encode()).agg(F.max(F.col("pdf").cast("string").cast("long"))).first()[0]
+    assert held(3000) < held(1) + 150_000
+
+
+def test_ids_of_pdfs_are_exact(spark, profiles):
+    ids = spark.createDataFrame([(2**53 + 1,), (None,)], "doc_id long").coalesce(1)
+    got = N.pdfs(ids.join(F.broadcast(profiles.limit(1).drop("doc_id")))).collect()
+    assert {r["doc_id"] for r in got} == {2**53 + 1, None} and all(bytes(r["pdf"]).startswith(b"%PDF-") for r in got)
+
+
 def test_store(spark, profiles, tmp_path):
     store = Store(spark, f"file://{tmp_path}/analyses")
     store.create()
