@@ -27,9 +27,11 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +54,8 @@ COPY_TOKENS, HELD_TOKENS = 1 << 20, 1 << 22
 MOST_COPIES = 2048
 #: Scoring: streams, steps whose outputs are computed at once, steps laid out at once (a multiple of SPAN).
 LANES, SPAN, LAID = 512, 32, 512
+#: Documents that are scored together at most: of fewer, the longest would leave most streams empty for most steps.
+SCORED = 8192
 END = b""
 
 
@@ -85,85 +89,137 @@ def shaped(values: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def step(gates: np.ndarray, h: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The next state; ``gates``: the input's part."""
-    own = h @ state
-    zr = 0.5 * np.tanh(0.5 * (gates[:, : 2 * WIDTH] + own[:, : 2 * WIDTH])) + 0.5
-    z, r = zr[:, :WIDTH], zr[:, WIDTH:]
-    n = np.tanh(gates[:, 2 * WIDTH :] + r * own[:, 2 * WIDTH :])
-    return n + z * (h - n), z, r, n, own[:, 2 * WIDTH :]
+class Room:
+    """Arrays of rows by name that are used again, for fresh large ones cost a page fault for each 4 KB."""
+
+    def __init__(self):
+        self.flat: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, rows: int, columns: int) -> np.ndarray:
+        size = rows * columns
+        if name not in self.flat or len(self.flat[name]) < size:
+            self.flat[name] = np.empty(size, np.float32)
+        return self.flat[name][:size].reshape(rows, columns)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """Makes probabilities of ``x``, in place; the logarithms of the sums that they were divided by."""
-    np.minimum(x, 60, out=x)  # far beyond trained values; keeps the exponentials finite
+def step(gates: np.ndarray, h: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The next state; ``gates``: the input's part. Fastest where the values of a feature, a column, lie together."""
+    gates, h = gates.T, h.T
+    own = state.T @ h
+    zr = gates[: 2 * WIDTH] + own[: 2 * WIDTH]
+    zr *= 0.5
+    np.tanh(zr, out=zr)
+    zr *= 0.5
+    zr += 0.5
+    z, r = zr[:WIDTH], zr[WIDTH:]
+    n = r * own[2 * WIDTH :]
+    n += gates[2 * WIDTH :]
+    np.tanh(n, out=n)
+    after = h - n
+    after *= z
+    after += n
+    return after.T, z.T, r.T, n.T, own[2 * WIDTH :].T
+
+
+def _softmax(x: np.ndarray, divided: bool) -> np.ndarray:
+    """Makes exponentials of ``x``, in place, or, ``divided``, probabilities by column; the logarithms of the columns' sums."""
+    if x.max(initial=0) > 60:  # far beyond trained values
+        np.minimum(x, 60, out=x)  # keeps the exponentials finite
     np.exp(x, out=x)
-    total = x @ np.ones(x.shape[1], x.dtype)
-    x /= total[:, None]
+    total = x.sum(axis=0)
+    if divided:
+        x *= 1 / total
     return np.log(total)
 
 
-def outputs(params, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+def outputs(params, h: np.ndarray, y: np.ndarray, grads: dict | None = None, room: Room | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """The log probability of each target symbol; with ``grads`` also the gradient of their mean's negative by ``h``."""
-    m = len(y)
+    m, room, y = len(y), room or Room(), y.astype(np.int16, copy=False)
     order = np.argsort(y // IN_CLASS, kind="stable")  # by class, so each class is one product
-    h, cls, word, rows = h[order], y[order] // IN_CLASS, y[order] % IN_CLASS, np.arange(m)
-    cuts = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+    y = y[order]
+    one = room("h", WIDTH + 1, m)  # with a row of ones, for what is added to a product
+    one[WIDTH] = 1
+    h = np.take(h.T.astype(np.float32, copy=False), order, axis=1, out=one[:WIDTH], mode="clip")
+    cls, word, rows = y // IN_CLASS, y % IN_CLASS, np.arange(m)
+    cuts = np.searchsorted(cls, np.arange(CLASSES + 1, dtype=np.int16)).tolist()
     slices = [(c, slice(cuts[c], cuts[c + 1])) for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
-    by_class = h @ params["classes"] + params["classes_bias"]
-    by_word = np.empty((m, IN_CLASS), h.dtype)
+    by_class, by_word = room("by_class", CLASSES, m), room("by_word", IN_CLASS, m)
+    np.matmul(np.concatenate([params["classes"], params["classes_bias"][None]]).T, one, out=by_class)
+    words = np.concatenate([params["words"], params["words_bias"][:, None]], axis=1)
     for c, own in slices:
-        np.matmul(h[own], params["words"][c], out=by_word[own])
-        by_word[own] += params["words_bias"][c]
-    picked = by_class[rows, cls] + by_word[rows, word]
-    picked -= _softmax(by_class) + _softmax(by_word)
+        np.matmul(words[c].T, one[:, own], out=by_word[:, own])
+    at_class, at_word = (x.astype(np.int64) * m + rows for x in (cls, word))
+    flat_class, flat_word = room.flat["by_class"], room.flat["by_word"]
+    picked = flat_class[at_class] + flat_word[at_word]
+    picked -= _softmax(by_class, grads is not None) + _softmax(by_word, grads is not None)
     log_p = np.empty(m)
     log_p[order] = picked
     if grads is None:
         return log_p, None
-    for p, target in ((by_class, cls), (by_word, word)):
-        p[rows, target] -= 1
-        p /= m
-    grads["classes"], grads["classes_bias"] = h.T @ by_class, by_class.sum(axis=0)
-    grads["words"], grads["words_bias"] = np.zeros_like(params["words"]), np.zeros_like(params["words_bias"])
-    by_h = by_class @ params["classes"].T
+    flat_class[at_class] -= 1
+    flat_word[at_word] -= 1
+    one /= m
+    d_classes, d_words = one @ by_class.T, np.zeros_like(words)
+    by_h = np.matmul(params["classes"], by_class, out=room("by_h", WIDTH, m))
     for c, own in slices:
-        grads["words"][c], grads["words_bias"][c] = h[own].T @ by_word[own], by_word[own].sum(axis=0)
-        by_h[own] += by_word[own] @ params["words"][c].T
-    dh = np.empty_like(by_h)
-    dh[order] = by_h
-    return log_p, dh
+        np.matmul(one[:, own], by_word[:, own].T, out=d_words[c])
+        by_h[:, own] += params["words"][c] @ by_word[:, own]
+    by_h /= m
+    grads["classes"], grads["classes_bias"], grads["words"], grads["words_bias"] = d_classes[:WIDTH], d_classes[WIDTH], d_words[:, :WIDTH], d_words[:, WIDTH]
+    back = np.empty_like(order)
+    back[order] = rows
+    return log_p, np.take(by_h, back, axis=1, out=room("dh", WIDTH, m), mode="clip").T
 
 
-def window(params, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
+def window(params, x: np.ndarray, y: np.ndarray, h: np.ndarray, room: Room | None = None) -> tuple[dict, np.ndarray, float]:
     """Gradients over one window (``x``, ``y``: steps by streams), the state after it, and the mean log probability."""
-    steps, streams = x.shape
-    by_symbol = params["embedding"] @ params["input"] + params["bias"]
-    gates, keep = by_symbol[x], (x != 0).astype(np.float32)[:, :, None]
-    before, z, r, n, own_n, after = (np.empty((steps, streams, WIDTH), np.float32) for _ in range(6))
+    (steps, streams), room, x = x.shape, room or Room(), x.astype(np.int16).ravel()
+    by_symbol = np.ascontiguousarray((params["embedding"] @ params["input"] + params["bias"]).T, np.float32)
+    # All arrays have features, steps, streams, so what one operation reads lies together.
+    gates = np.take(by_symbol, x, axis=1, out=room("gates", 3 * WIDTH, x.size), mode="clip").reshape(3 * WIDTH, steps, streams)
+    keep = (x != 0).astype(np.float32).reshape(steps, streams)
+    before, z, r, n, own_n, after, rest, d_own = (room(k, WIDTH, x.size).reshape(WIDTH, steps, streams) for k in ("before", "z", "r", "n", "own_n", "after", "rest", "d_own"))
+    h = h.T
     for t in range(steps):
-        before[t] = h * keep[t]
-        h, z[t], r[t], n[t], own_n[t] = step(gates[t], before[t], params["state"])
-        after[t] = h
+        np.multiply(h, keep[t], out=before[:, t])
+        for to, value in zip((after, z, r, n, own_n), step(gates[:, t].T, before[:, t].T, params["state"]), strict=True):
+            to[:, t] = value.T
+        h = after[:, t]
     grads: dict[str, np.ndarray] = {}
-    log_p, dout = outputs(params, after.reshape(-1, WIDTH), y.ravel(), grads)
-    dout = dout.reshape(after.shape)
-    d_gates, d_own, dh = np.empty_like(gates), np.empty_like(gates), np.zeros((streams, WIDTH), np.float32)
+    log_p, dout = outputs(params, after.reshape(WIDTH, -1).T, y.ravel(), grads, room)
+    dout, dh = dout.T.reshape(after.shape), np.zeros((WIDTH, streams), np.float32)
+    d_gates = room("d_gates", 3 * WIDTH, x.size).reshape(3, WIDTH, steps, streams)  # what the gradient by the state is multiplied by, then the gradients
+    dz, dr, dn = d_gates
+    np.subtract(1, z, out=rest)
+    np.subtract(before, n, out=dz)
+    dz *= z
+    dz *= rest
+    np.multiply(n, n, out=dn)
+    np.subtract(1, dn, out=dn)
+    dn *= rest
+    np.subtract(1, r, out=dr)
+    dr *= r
+    dr *= own_n
+    dr *= dn
+    both = d_gates.reshape(3 * WIDTH, steps, streams)[: 2 * WIDTH]
     for t in range(steps - 1, -1, -1):
-        dh = dh + dout[t]
-        dn = dh * (1 - z[t]) * (1 - n[t] ** 2)
-        dz = dh * (before[t] - n[t]) * z[t] * (1 - z[t])
-        dr = dn * own_n[t] * r[t] * (1 - r[t])
-        d_gates[t] = np.concatenate([dz, dr, dn], axis=1)
-        d_own[t] = np.concatenate([dz, dr, dn * r[t]], axis=1)
-        dh = (dh * z[t] + d_own[t] @ params["state"].T) * keep[t]
-    grads["state"] = before.reshape(-1, WIDTH).T @ d_own.reshape(-1, 3 * WIDTH)
-    order = np.argsort(x, axis=None, kind="stable")
-    symbols, starts = np.unique(x.ravel()[order], return_index=True)
-    d_symbol = np.zeros_like(by_symbol)
-    d_symbol[symbols] = np.add.reduceat(d_gates.reshape(-1, 3 * WIDTH)[order], starts, axis=0)
+        dh += dout[:, t]
+        d_gates[:, :, t] *= dh
+        np.multiply(dn[:, t], r[:, t], out=d_own[:, t])
+        dh *= z[:, t]
+        dh += params["state"][:, : 2 * WIDTH] @ both[:, t]
+        dh += params["state"][:, 2 * WIDTH :] @ d_own[:, t]
+        dh *= keep[t]
+    states = before.reshape(WIDTH, -1)
+    grads["state"] = np.concatenate([states @ both.reshape(2 * WIDTH, -1).T, states @ d_own.reshape(WIDTH, -1).T], axis=1)
+    order = np.argsort(x, kind="stable")
+    symbols = x[order]
+    starts = np.flatnonzero(np.diff(symbols, prepend=-1))
+    d_symbol = np.zeros((SYMBOLS, 3 * WIDTH), np.float32)
+    ordered = np.take(d_gates.reshape(3 * WIDTH, -1), order, axis=1, out=room("ordered", 3 * WIDTH, x.size), mode="clip")
+    d_symbol[symbols[starts]] = np.add.reduceat(ordered, starts, axis=1).T
     grads["embedding"], grads["input"], grads["bias"] = d_symbol @ params["input"].T, params["embedding"].T @ d_symbol, d_symbol.sum(axis=0)
-    return grads, h, float(log_p.mean())
+    return grads, h.copy().T, float(log_p.mean())
 
 
 class Trainer:
@@ -172,7 +228,7 @@ class Trainer:
     def __init__(self, params: dict[str, np.ndarray], rate: float = RATE):
         self.params = {k: v.copy() for k, v in params.items()}
         self.first, self.second = ({k: np.zeros_like(v) for k, v in params.items()} for _ in range(2))
-        self.rate, self.steps = rate, 0
+        self.rate, self.steps, self.room = rate, 0, Room()
 
     def update(self, grads: dict[str, np.ndarray]) -> None:
         self.steps += 1
@@ -193,10 +249,10 @@ class Trainer:
         length = -(-len(symbols) // streams)
         symbols = np.concatenate([symbols, symbols[: streams * length - len(symbols)]])  # the last stream is filled up from the start
         y = symbols.reshape(streams, length).T
-        x = np.concatenate([[0], symbols[:-1]]).reshape(streams, length).T
+        x = np.concatenate([np.zeros(1, symbols.dtype), symbols[:-1]]).reshape(streams, length).T
         h, total = np.zeros((streams, WIDTH), np.float32), 0.0
         for at in range(0, length, BACK):
-            grads, h, mean = window(self.params, x[at : at + BACK], y[at : at + BACK], h)
+            grads, h, mean = window(self.params, x[at : at + BACK], y[at : at + BACK], h, self.room)
             self.update(grads)
             total += mean * len(y[at : at + BACK])
         return total / length
@@ -214,23 +270,27 @@ def log_likelihoods(params, documents: list[np.ndarray]) -> np.ndarray:
         loads[lane] += lengths[d]
     order = np.argsort(-loads, kind="stable")
     loads = loads[order]
-    by_symbol = params["embedding"] @ params["input"] + params["bias"]
+    by_symbol = np.ascontiguousarray((params["embedding"] @ params["input"] + params["bias"]).T)
     symbols = [np.concatenate([documents[d] for d in lanes[lane]]) for lane in order.tolist()]
     owners = [np.repeat(np.array(lanes[lane], dtype=np.int32), lengths[lanes[lane]]) for lane in order.tolist()]
-    h = np.zeros((len(lanes), WIDTH), np.float32)
+    h, room = np.zeros((WIDTH, len(lanes)), np.float32), Room()
     longest = int(loads.max(initial=0))
     for at in range(0, longest, SPAN):
         stop = min(at + SPAN, longest)
         live = np.searchsorted(-loads, -np.arange(at, stop), side="left").tolist()  # lanes longer than t
         if at % LAID == 0:  # only so many steps of the live lanes are laid out, so one long document doesn't widen all lanes
             x, y, of = laid(symbols[: live[0]], owners[: live[0]], at, min(at + LAID, longest))
-        own, states = at % LAID, []
-        for t, n in enumerate(live, own):
-            h = step(by_symbol[x[t, :n]], h[:n] * (x[t, :n] != 0).astype(np.float32)[:, None], params["state"])[0]
-            states.append(h)
-        targets = np.concatenate([y[t, :n] for t, n in enumerate(live, own)]).astype(np.int64)
-        log_p, _ = outputs(params, np.concatenate(states), targets)
-        out += np.bincount(np.concatenate([of[t, :n] for t, n in enumerate(live, own)]), weights=log_p, minlength=len(out))
+        own = at % LAID
+        before, targets, owner = (np.concatenate([a[t, :n] for t, n in enumerate(live, own)]) for a in (x, y, of))
+        gates = np.take(by_symbol, before, axis=1, out=room("gates", 3 * WIDTH, len(before)), mode="clip")
+        keep, states, first = (before != 0).astype(np.float32), room("states", WIDTH, len(before)), 0
+        for n in live:
+            last = first + n
+            h = step(gates[:, first:last].T, (h[:, :n] * keep[first:last]).T, params["state"])[0].T
+            states[:, first:last] = h
+            first = last
+        log_p, _ = outputs(params, states.T, targets, room=room)
+        out += np.bincount(owner, weights=log_p, minlength=len(out))
     return out
 
 
@@ -282,7 +342,7 @@ class Vocabulary:
     def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Symbols with the end, places in the head (-1: not there), and the words that aren't there."""
         get = self.place.get
-        at = np.array([get(w, -1) for w in words] + [get(END, -1)], dtype=np.int64)
+        at = np.fromiter(map(get, chain(words, (END,)), repeat(-1)), np.int64, len(words) + 1)
         own = self.symbol[at] if len(self.symbol) else np.zeros(len(at), dtype=np.int16)
         missing = np.flatnonzero(at[:-1] < 0)
         tail = [words[i] for i in missing.tolist()]
@@ -366,6 +426,17 @@ def documents_of(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(x, "<i2") for x in batch.column("symbols").to_pylist()]
 
 
+def of_tokens(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of 2 * HELD_TOKENS symbols at most, or of one row."""
+    first, size = 0, 0
+    for row, n in enumerate(pc.binary_length(batch.column("symbols")).to_pylist()):
+        if row > first and size + n > 2 * HELD_TOKENS * 2:  # of two bytes
+            yield batch.slice(first, row - first)
+            first, size = row, 0
+        size += n
+    yield batch.slice(first)
+
+
 def averaged(trained: DataFrame) -> dict[str, np.ndarray] | None:
     """The mean of (n, params), weighted by n, by a tree of sums."""
     one = lambda r: (float(r["n"]), r["n"] * np.frombuffer(bytes(r["params"]), "<f4").astype(np.float64))
@@ -435,7 +506,7 @@ def network_scores(rows: DataFrame, params: dict[str, np.ndarray]) -> DataFrame:
     names = ["doc_id", "row", "n_tokens", "n_known", "base", "within"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2048):
+        for batch in (part for batch in slices(batches, SCORED) for part in of_tokens(batch)):
             found = log_likelihoods(weights.value, documents_of(batch)) / math.log(10)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found)], names=[*names, "network"])
 
